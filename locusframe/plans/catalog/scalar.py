@@ -1 +1,496 @@
+"""One query per scalar expression."""
 
+from pyspark.sql import functions as F
+
+from ...functions import alignment as A
+from ...functions import genotype as G
+from ...functions import sequence as S
+from ...functions import stats as ST
+from ...functions import text as X
+from ...functions import variant as V
+from ..registry import query
+
+c = F.col
+VC = "VARCHAR"
+
+
+def _raw(v):
+    """Calls with phased, reversed and bare-missing spellings."""
+    raw = F.expr(
+        "CASE WHEN gt = './.' AND pos % 2 = 0 THEN '.' WHEN gt = '0/1' AND pos % 2 = 0 THEN '1|0' "
+        "ELSE replace(gt, '/', '|') END"
+    )
+    return v.g_calls.withColumn("raw", raw)
+
+
+@query("scl_gt_norm", "SELECT id, sample_id, gt FROM g_calls")
+def gt_norm(v):
+    return _raw(v).select("id", "sample_id", G.gt_norm(c("raw")).alias("gt"))
+
+
+@query(
+    "scl_gt_class4",
+    """SELECT id, sample_id, CASE gt WHEN './.' THEN 'MISS' WHEN '0/0' THEN 'REF' WHEN '0/1' THEN 'HET' ELSE 'ALT' END AS cls,
+  CASE gt WHEN './.' THEN 3 WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 ELSE 2 END AS code FROM g_calls""",
+)
+def gt_class4(v):
+    return v.g_calls.select("id", "sample_id", G.gt_class4(c("gt")).alias("cls"), G.gt_code(c("gt")).alias("code"))
+
+
+@query(
+    "scl_gt_class3",
+    "SELECT id, sample_id, CASE gt WHEN './.' THEN 'MISS' WHEN '0/1' THEN 'HET' ELSE 'HOM' END AS cls FROM g_calls",
+)
+def gt_class3(v):
+    return v.g_calls.select("id", "sample_id", G.gt_class3(c("gt")).alias("cls"))
+
+
+@query(
+    "scl_gt_from_af",
+    """SELECT id, sample_id, CASE WHEN alt_depth < 0.25 * (ref_depth + alt_depth) THEN '0/0'
+  WHEN alt_depth < 0.75 * (ref_depth + alt_depth) THEN '0/1' ELSE '1/1' END AS gt FROM g_calls WHERE ref_depth > 0""",
+)
+def gt_from_af(v):
+    x = v.g_calls.filter("ref_depth > 0")
+    return x.select("id", "sample_id", G.gt_from_af(c("alt_depth") / (c("ref_depth") + c("alt_depth"))).alias("gt"))
+
+
+@query(
+    "scl_gt_to_seq",
+    """SELECT id, sample_id, CASE gt WHEN './.' THEN 'NN'
+  WHEN '0/0' THEN CASE WHEN length(ref) > 1 THEN ref ELSE concat(ref, ref) END
+  WHEN '1/1' THEN CASE WHEN length(alt) > 1 THEN alt ELSE concat(alt, alt) END
+  ELSE CASE WHEN length(ref) > 1 OR length(alt) > 1 THEN concat(ref, '/', alt) ELSE concat(ref, alt) END END AS bases FROM g_calls""",
+)
+def gt_to_seq(v):
+    return v.g_calls.select("id", "sample_id", G.gt_to_seq(c("gt"), c("ref"), c("alt"), "NN").alias("bases"))
+
+
+SHORT = """CASE WHEN length(ref) > length(alt) THEN concat('del', substr(ref, 2))
+  WHEN length(ref) < length(alt) THEN concat('ins', substr(alt, 2)) ELSE substr(alt, 1, 1) END"""
+
+
+@query("scl_allele_shorthand", f"SELECT id, {SHORT} AS short FROM g_sites")
+def allele_shorthand(v):
+    return v.g_sites.select("id", V.allele_shorthand(c("ref"), c("alt")).alias("short"))
+
+
+@query(
+    "scl_variant_class",
+    f"""SELECT id, CASE WHEN length(ref) > length(alt) THEN 'DEL' WHEN length(ref) < length(alt) THEN 'INS' ELSE 'SNP' END AS cls,
+  CASE WHEN length(ref) < length(alt) THEN 'INS' ELSE 'MIXED' END AS cls2 FROM g_sites""",
+)
+def variant_class(v):
+    s = V.allele_shorthand(c("ref"), c("alt"))
+    both = F.concat(s, F.lit(",insGG"))
+    return v.g_sites.select("id", V.variant_class(s).alias("cls"), V.variant_class(both).alias("cls2"))
+
+
+@query(
+    "scl_variant_class_len",
+    """SELECT id, CASE WHEN length(ref) = length(alt) THEN 'snp' WHEN length(ref) > length(alt) THEN 'del' ELSE 'ins' END AS kind,
+  CASE WHEN length(ref) > length(alt) THEN 'DEL' WHEN length(ref) < length(alt) THEN 'INS'
+    WHEN length(ref) = 1 OR substr(ref, 2) = substr(alt, 2) THEN 'SNP' ELSE 'MNP' END AS cls
+  FROM g_sites""",
+)
+def variant_class_len(v):
+    return v.g_sites.select(
+        "id", V.snp_ins_del(c("ref"), c("alt")).alias("kind"),
+        V.variant_class_len(F.concat_ws("/", "ref", "alt")).alias("cls"),
+    )
+
+
+@query("scl_indel_length", "SELECT id, CAST(greatest(abs(length(ref) - length(alt)), abs(length(ref) - 5)) AS INT) AS n FROM g_sites")
+def indel_length(v):
+    return v.g_sites.select("id", V.indel_length(c("ref"), F.concat("alt", F.lit(",AAAAA"))).alias("n"))
+
+
+@query(
+    "scl_indel_right_pos",
+    """SELECT id, CASE WHEN length(ref) > length(alt) THEN pos + length(ref) - length(alt) ELSE pos END AS right_pos,
+  pos + length(ref) - 1 AS ref_end FROM g_sites""",
+)
+def indel_right_pos(v):
+    cls = V.variant_class(V.allele_shorthand(c("ref"), c("alt")))
+    return v.g_sites.select(
+        "id", V.indel_right_pos(c("pos"), V.indel_length(c("ref"), c("alt")), cls).alias("right_pos"),
+        V.ref_right_pos(c("pos"), c("ref")).alias("ref_end"),
+    )
+
+
+COMP = "translate({}, 'ACGT', 'TGCA')"
+CHANGE = f"""CASE WHEN {{r}} IN ('C', 'T') THEN concat({{r}}, ':', {COMP.format('{r}')}, '>', {{a}}, ':', {COMP.format('{a}')})
+  ELSE concat({COMP.format('{r}')}, ':', {{r}}, '>', {COMP.format('{a}')}, ':', {{a}}) END"""
+SNP = "length(ref) = 1 AND length(alt) = 1"
+
+
+@query("scl_strand_change", f"SELECT id, {CHANGE.format(r='ref', a='alt')} AS change FROM g_sites WHERE {SNP}")
+def strand_change(v):
+    return v.g_sites.filter(SNP).select("id", V.strand_change(c("ref"), c("alt")).alias("change"))
+
+
+@query(
+    "scl_is_ems",
+    f"""SELECT id, (ref = 'G' AND alt = 'A') OR (ref = 'C' AND alt = 'T') AS ems,
+  CASE WHEN ref = 'C' AND alt = 'T' THEN 'C-T' WHEN ref = 'G' AND alt = 'A' THEN 'G-A' ELSE 'other' END AS change FROM g_sites""",
+)
+def is_ems(v):
+    return v.g_sites.select("id", V.is_ems(c("ref"), c("alt")).alias("ems"), V.ems_change(c("ref"), c("alt")).alias("change"))
+
+
+EFFECT = """CASE WHEN type LIKE 'stop_%' THEN 'stop_gained/lost' WHEN split_part(type, '&', 1) LIKE '%splice\\_%' ESCAPE '\\' THEN 'splice_site_variant'
+  ELSE split_part(type, '&', 1) END"""
+
+
+@query("scl_first_effect", f"SELECT DISTINCT type, {EFFECT} AS effect FROM g_db")
+def first_effect(v):
+    return v.g_db.select("type", V.first_effect(c("type")).alias("effect")).distinct()
+
+
+@query(
+    "scl_protein_change",
+    """SELECT id, CASE WHEN site_no % 4 = 0 THEN 'synonymous' WHEN site_no % 4 = 3 THEN 'other' ELSE 'non-synonymous' END AS change,
+  CASE site_no % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS rank FROM g_sites""",
+)
+def protein_change(v):
+    hgvs = F.expr(
+        "CASE site_no % 4 WHEN 0 THEN concat('p.Ala', pos, 'Ala') WHEN 1 THEN concat('p.Ala', pos, 'Gly') "
+        "WHEN 2 THEN concat('p.Ala', pos, '*') END"
+    )
+    impact = F.expr("CASE site_no % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'LOW' ELSE 'MODIFIER' END")
+    return v.g_sites.select("id", V.protein_change(hgvs).alias("change"), V.impact_rank(impact).alias("rank"))
+
+
+@query(
+    "scl_diversity_index",
+    """SELECT event_id, round(1 - (p * p + q * q) - 2 * (p * p) * (q * q), 6) AS pic,
+  round(CASE WHEN p = 0 OR q = 0 THEN 0 ELSE -(p * ln(p) + q * ln(q)) END, 6) AS shi,
+  round(1 - p * p - q * q, 6) AS he, round(CASE WHEN p <= 0.5 THEN p ELSE 1 - p END, 6) AS maf
+  FROM (SELECT event_id, CAST(event_id % 98 AS DOUBLE) / 97 AS p, 1 - CAST(event_id % 98 AS DOUBLE) / 97 AS q FROM events) x""",
+)
+def diversity_index(v):
+    p = (c("event_id") % 98).cast("double") / 97
+    return v.events.select("event_id", V.pic(p).alias("pic"), V.shannon(p, 1 - p).alias("shi"), V.he(p).alias("he"), V.fold_maf(p).alias("maf"))
+
+
+@query(
+    "scl_gc_fraction",
+    """SELECT seq_id, round(coalesce(gc * 1.0 / nullif(gc + ta, 0), 0), 6) AS gc, n AS n_count,
+  round(abs(coalesce(gc * 1.0 / nullif(gc + ta, 0), 0) - 0.5), 6) AS gc_bias
+  FROM (SELECT seq_id, length(seq) - length(replace(replace(seq, 'G', ''), 'C', '')) AS gc,
+    length(seq) - length(replace(replace(seq, 'A', ''), 'T', '')) AS ta, CAST(0 AS INT) AS n FROM g_seq) x""",
+)
+def gc_fraction(v):
+    return v.g_seq.select("seq_id", S.gc_fraction(c("seq")).alias("gc"), S.n_count(c("seq")).alias("n_count"), S.gc_bias(c("seq")).alias("gc_bias"))
+
+
+@query(
+    "scl_origin",
+    """SELECT a.id, CASE WHEN c.gt = a.gt AND c.gt = b.gt THEN 'all_same' WHEN c.gt = a.gt THEN 'p1' WHEN c.gt = b.gt THEN 'p2'
+  ELSE 'specific' END AS origin FROM g_calls a JOIN g_calls b ON a.id = b.id AND b.sample_id = 'S2'
+  JOIN g_calls c ON a.id = c.id AND c.sample_id = 'S3' WHERE a.sample_id = 'S1'""",
+)
+def origin(v):
+    one = lambda s, n: v.g_calls.filter(c("sample_id") == s).select("id", c("gt").alias(n))
+    j = one("S1", "p1").join(one("S2", "p2"), "id").join(one("S3", "k"), "id")
+    return j.select("id", G.origin(c("k"), c("p1"), c("p2")).alias("origin"))
+
+
+@query(
+    "scl_mendel_ok",
+    """WITH g AS (SELECT DISTINCT gt FROM g_calls WHERE gt <> './.')
+SELECT f.gt AS f, m.gt AS m, k.gt AS k, EXISTS (SELECT 1 FROM (VALUES ('0/0','0'),('0/1','0'),('0/1','1'),('1/1','1')) x(g, a),
+  (VALUES ('0/0','0'),('0/1','0'),('0/1','1'),('1/1','1')) y(g, a)
+  WHERE x.g = f.gt AND y.g = m.gt AND concat(least(x.a, y.a), '/', greatest(x.a, y.a)) = k.gt) AS ok
+FROM g f, g m, g k""",
+)
+def mendel_ok(v):
+    g = v.g_calls.filter("gt <> './.'").select("gt").distinct()
+    # three genotypes at most on each side
+    pick = lambda n: g.select(c("gt").alias(n))
+    x = pick("f").join(pick("m"), F.lit(True)).join(pick("k"), F.lit(True))
+    return x.select("f", "m", "k", G.mendel_ok(c("f"), c("m"), c("k")).alias("ok"))
+
+
+@query(
+    "scl_array_call",
+    f"""SELECT id, sample_id, gt, CASE gt WHEN '0/0' THEN concat(ref, '/', ref) WHEN '0/1' THEN concat(ref, '/', alt)
+  WHEN '1/1' THEN concat(alt, '/', alt) ELSE '---' END AS pair FROM g_calls WHERE {SNP} AND ref <> alt""",
+)
+def array_call(v):
+    x = v.g_calls.filter(f"{SNP} AND ref <> alt")
+    call = F.expr("CASE gt WHEN '0/0' THEN concat(ref, ref) WHEN '0/1' THEN concat(ref, alt) WHEN '1/1' THEN concat(alt, alt) ELSE '---' END")
+    gt = G.array_call(call, c("ref"))
+    return x.select("id", "sample_id", gt.alias("gt"), G.gt_base_pair(gt, c("ref"), c("alt")).alias("pair"))
+
+
+@query(
+    "scl_phenotype",
+    f"""SELECT id, sample_id, CASE gt WHEN './.' THEN 'Missing' WHEN '0/0' THEN 'Tall' WHEN '1/1' THEN 'Short' ELSE 'Heterozygous' END AS phenotype
+  FROM g_calls WHERE {SNP} AND ref <> alt""",
+)
+def phenotype(v):
+    x = v.g_calls.filter(f"{SNP} AND ref <> alt")
+    bases = G.gt_to_seq(c("gt"), c("ref"), c("alt"), "NN")
+    return x.select("id", "sample_id", G.phenotype(c("ref"), c("alt"), F.lit("tall"), F.lit("SHORT"), bases).alias("phenotype"))
+
+
+@query(
+    "scl_linkage_code",
+    """SELECT id, sample_id, CASE gt WHEN './.' THEN '--' WHEN '0/0' THEN 'AA' WHEN '1/1' THEN 'BB' ELSE 'AB' END AS code,
+  CASE gt WHEN './.' THEN 'N' WHEN '0/0' THEN concat(ref, ref) WHEN '1/1' THEN concat(alt, alt) ELSE concat(ref, alt) END AS bases FROM g_calls""",
+)
+def linkage_code(v):
+    p1, p2 = F.lit("0/0"), F.lit("1/1")
+    return v.g_calls.select(
+        "id", "sample_id", G.linkage_code(c("gt"), p1, p2, "--").alias("code"),
+        G.linkage_code(c("gt"), p1, p2, "N", "base", c("ref"), c("alt")).alias("bases"),
+    )
+
+
+@query(
+    "scl_probe_start",
+    """SELECT id, kind, CASE kind WHEN 'center' THEN start - 1 - (p_size + 50) // 2 + 3 WHEN 'left' THEN start - 1 - (p_size + 50) + 3
+  ELSE start + 2 END AS probe_start FROM (SELECT *, CASE p_size % 3 WHEN 0 THEN 'center' WHEN 1 THEN 'left' ELSE 'right' END AS kind FROM g_intervals) x""",
+)
+def probe_start(v):
+    kind = F.expr("CASE p_size % 3 WHEN 0 THEN 'center' WHEN 1 THEN 'left' ELSE 'right' END")
+    x = v.g_intervals.withColumn("kind", kind)
+    return x.select("id", "kind", A.probe_start(c("start"), c("p_size") + 50, c("kind"), F.lit(3)).alias("probe_start"))
+
+
+# the alignment of a site: 40M 2I 30M 3D 50M; offset o runs over 0..139
+@query(
+    "scl_lift_pos",
+    """SELECT event_id, CAST(CASE WHEN o > 120 THEN NULL WHEN o = 70 THEN NULL WHEN o < 40 THEN 1000 + o + 1
+  WHEN o < 70 THEN 1000 + o + 1 - 2 ELSE 1000 + o + 1 - 2 + 3 END AS BIGINT) AS pos, 120 AS matched
+  FROM (SELECT event_id, event_id % 140 AS o FROM events) x""",
+)
+def lift_pos(v):
+    cigar, o = F.lit("40M2I30M3D50M"), c("event_id") % 140
+    strand = F.when(c("event_id") % 2 == 0, "+").otherwise("-")
+    plus = F.when(strand == "+", o).otherwise(0)
+    minus = F.when(strand == "-", o).otherwise(0)
+    return v.events.select(
+        "event_id", A.lift_pos(cigar, strand, plus, minus, F.lit(1000), F.lit(0)).alias("pos"),
+        A.cigar_match_length(cigar).alias("matched"),
+    )
+
+
+@query(
+    "scl_real_match_length",
+    """SELECT match_len, mismatch, gapopen, count(*) AS n, CASE WHEN match_len > 120 THEN 120 - mismatch + gapopen
+  ELSE match_len - mismatch - gapopen END AS real_len FROM g_hits GROUP BY match_len, mismatch, gapopen""",
+)
+def real_match_length(v):
+    x = v.g_hits.groupBy("match_len", "mismatch", "gapopen").agg(F.count("*").alias("n"))
+    return x.withColumn("real_len", A.real_match_length(c("match_len"), c("mismatch"), c("gapopen"), F.lit(120)))
+
+
+@query(
+    "scl_hypergeom_sf",
+    """SELECT k, m, n, round(list_sum(list_transform(range(k, least(m, n) + 1),
+    lambda i: exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + lgamma(t - m + 1) - lgamma(n - i + 1) - lgamma(t - m - n + i + 1)
+      - lgamma(t + 1) + lgamma(n + 1) + lgamma(t - n + 1)))), 4) AS p
+  FROM (SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS k, CAST(l_quantity AS BIGINT) + 7 AS m, l_suppkey % 20 + 7 AS n, CAST(5000 AS BIGINT) AS t FROM lineitem) x""",
+)
+def hypergeom_sf(v):
+    x = v.lineitem.select(
+        c("l_linenumber").cast("bigint").alias("k"), (c("l_quantity").cast("bigint") + 7).alias("m"), (c("l_suppkey") % 20 + 7).alias("n")
+    ).distinct()
+    return x.withColumn("p", F.round(ST.hypergeom_sf(c("k"), F.lit(5000), c("m"), c("n")), 4))
+
+
+@query(
+    "scl_probe_score",
+    """WITH t AS (SELECT id, gc, alleles, score, match_0, match_60, match_100, maf,
+    CASE WHEN gc < 0.5 THEN 0.35 - gc ELSE gc - 0.65 END AS off FROM g_candidates)
+SELECT id, CAST(trunc(10 * (4 - score)
+    + CASE WHEN gc BETWEEN 0.35 AND 0.65 THEN 1000.0 WHEN off > 0.1 THEN -pow((off - 0.1) / 0.1, 2) * 1000 ELSE (1 - pow(off / 0.1, 2)) * 1000 END
+    + CASE WHEN length(alleles) > 3 THEN -50 ELSE 0 END + CASE WHEN maf < 0.1 THEN -150 WHEN maf < 0.2 THEN -50 ELSE 0 END
+    - 500 * (abs(match_0 - 1) + abs(match_60 - 1) * 1.5 + pow(abs(match_100 - 1), 2))) AS BIGINT) AS v2,
+  round(CASE WHEN gc BETWEEN 0.35 AND 0.65 THEN 100 ELSE 0 END + CASE WHEN length(alleles) > 3 THEN -5 ELSE 0 END
+    + CASE WHEN maf < 0.1 THEN -150 WHEN maf < 0.2 THEN -50 ELSE 0 END - 10 * (match_0 - 1) + 1000 * (4 - score) + 0.0E0, 6) AS v1,
+  round(CASE WHEN gc BETWEEN 0.35 AND 0.65 THEN 100 ELSE 0 END + CASE WHEN length(alleles) > 3 THEN -5 ELSE 0 END
+    - 10 * (match_0 - 1) + 1000 * (4 - score) + 0.0E0, 6) AS side FROM t""",
+)
+def probe_score(v):
+    from ...operators import probes as P
+
+    a = [c(x) for x in ("gc", "alleles", "score", "match_0")]
+    v2 = P.probe_score(*a, c("match_60"), c("match_100"), c("maf"))
+    return v.g_candidates.select("id", v2.alias("v2"), P.simple_score(*a, c("maf")).alias("v1"), P.side_score(*a).alias("side"))
+
+
+@query(
+    "scl_parse_marker",
+    """SELECT seq_id, concat(substr(seq, 1, 10), 'A', substr(seq, 12)) = ref_seq AS same, 10 AS left_len, 'A/G' AS alleles FROM (
+  SELECT seq_id, seq, concat(substr(seq, 1, 10), 'A', substr(seq, 12)) AS ref_seq FROM g_seq WHERE length(seq) > 20) x""",
+)
+def parse_marker(v):
+    x = v.g_seq.filter("length(seq) > 20").withColumn("m", F.expr("concat(substr(seq, 1, 10), '[A/G]', substr(seq, 12))"))
+    p = S.parse_marker(c("m"))
+    same = p["ref_seq"] == F.expr("concat(substr(seq, 1, 10), 'A', substr(seq, 12))")
+    return x.select("seq_id", same.alias("same"), p["left_len"].alias("left_len"), S.marker_alleles(c("m")).alias("alleles"))
+
+
+@query(
+    "scl_probe_reference",
+    """SELECT seq_id, CASE seq_id % 5 WHEN 0 THEN 'no marker' WHEN 1 THEN 'more than one marker' WHEN 2 THEN 'illegal marker base'
+    WHEN 3 THEN 'illegal base' END AS error,
+  CASE WHEN seq_id % 5 = 4 THEN md5(concat('R', seq)) END AS ref_md5 FROM g_seq""",
+)
+def probe_reference(v):
+    m = F.expr(
+        "CASE seq_id % 5 WHEN 0 THEN seq WHEN 1 THEN concat('[A/C]', seq, '[G/T]') WHEN 2 THEN concat('[A/X]', seq) "
+        "WHEN 3 THEN concat('[A/C]', seq, 'x') ELSE concat('[R/Y]', seq) END"
+    )
+    r = S.probe_reference(m)
+    return v.g_seq.select("seq_id", r["error"].alias("error"), F.md5(r["ref_seq"]).alias("ref_md5"))
+
+
+@query(
+    "scl_iupac_bases",
+    """SELECT code, bases, (SELECT count(*) FROM g_seq WHERE substr(seq, 1, 1) = code) AS n FROM
+  (VALUES ('A','A'), ('C','C'), ('G','G'), ('T','T')) t(code, bases) WHERE EXISTS (SELECT 1 FROM g_seq WHERE substr(seq, 1, 1) = code)""",
+)
+def iupac_bases(v):
+    first = F.substring("seq", 1, 1)
+    return v.g_seq.filter("length(seq) > 0").groupBy(first.alias("code")).agg(F.count("*").alias("n")).withColumn("bases", S.iupac_bases(c("code")))
+
+
+@query(
+    "scl_hamming",
+    """SELECT id, CAST((substr(x, 1, 1) <> substr(y, 1, 1))::INT + (substr(x, 2, 1) <> substr(y, 2, 1))::INT + (substr(x, 3, 1) <> substr(y, 3, 1))::INT AS INT) AS d
+  FROM (SELECT id, concat(substr(ref, 1, 1), 'AC') AS x, concat(substr(alt, 1, 1), CASE WHEN pos % 2 = 0 THEN 'AG' ELSE 'TG' END) AS y FROM g_sites) t""",
+)
+def hamming(v):
+    x = F.expr("concat(substr(ref, 1, 1), 'AC')")
+    y = F.expr("lower(concat(substr(alt, 1, 1), CASE WHEN pos % 2 = 0 THEN 'AG' ELSE 'TG' END))")
+    return v.g_sites.select("id", V.hamming(x, y).alias("d"))
+
+
+@query("scl_site_id", "SELECT concat('x_', id) AS id, concat('x_', chrom) AS chrom, pos FROM g_sites")
+def site_id(v):
+    sid = V.site_id(F.concat(F.lit("x_"), "chrom"), c("pos"))
+    chrom, pos = V.split_site_id(sid)
+    return v.g_sites.select(sid.alias("id"), chrom.alias("chrom"), pos.alias("pos"))
+
+
+@query(
+    "scl_parse_accession",
+    """SELECT id, sample_id, gt, CAST(CASE WHEN gt = './.' THEN 0 ELSE ref_depth END AS INT) AS ref_depth,
+  CAST(CASE WHEN gt = './.' OR alt_depth % 5 = 0 THEN 0 ELSE alt_depth END AS INT) AS alt_depth,
+  round(CASE WHEN gt = './.' THEN 0 ELSE CASE WHEN alt_depth % 5 = 0 THEN 0 ELSE alt_depth END * 1.0
+    / (ref_depth + CASE WHEN alt_depth % 5 = 0 THEN 0 ELSE alt_depth END) END, 6) AS af FROM g_calls""",
+)
+def parse_accession(v):
+    text = F.expr("concat(sample_id, '=', gt, ';', ref_depth, ',', CASE WHEN alt_depth % 5 = 0 THEN '.' ELSE CAST(alt_depth AS STRING) END)")
+    return v.g_calls.select("id", V.parse_accession(text).alias("a")).select("id", "a.*")
+
+
+@query(
+    "scl_gtf_attr",
+    "SELECT id AS gene_id, concat('T', CAST(p_size AS VARCHAR)) AS transcript_id, id AS gff_id, CAST(p_size AS VARCHAR) AS size FROM g_intervals",
+)
+def gtf_attr(v):
+    gtf = F.expr("""concat('gene_id "', id, '"; transcript_id "T', p_size, '"; note "x";')""")
+    gff = F.expr("concat('ID=', id, ';size=', p_size, ';')")
+    return v.g_intervals.select(
+        S.gtf_attr(gtf, "gene_id").alias("gene_id"), S.gtf_attr(gtf, "transcript_id").alias("transcript_id"),
+        S.gff_attrs(gff)["ID"].alias("gff_id"), S.gff_attrs(gff)["size"].alias("size"),
+    )
+
+
+@query(
+    "scl_protein_header",
+    """SELECT s_suppkey, s_name AS species, CAST(s_nationkey AS VARCHAR) AS taxon_id, concat('g', CAST(s_suppkey AS VARCHAR)) AS gene,
+  concat('R', CAST(s_suppkey AS VARCHAR)) AS rep_id FROM supplier""",
+)
+def protein_header(v):
+    sp = S.parse_swissprot_header(F.expr("concat('Some protein OS=', s_name, ' OX=', s_nationkey, ' GN=g', s_suppkey, ' PE=1 SV=2')"))
+    ur = S.parse_uniref_header(F.expr("concat('Cluster n=1 Tax=', s_name, ' TaxID=', s_nationkey, ' RepID=R', s_suppkey)"))
+    return v.supplier.select(
+        "s_suppkey", sp["species"].alias("species"), ur["taxon_id"].alias("taxon_id"), sp["gene"].alias("gene"), ur["rep_id"].alias("rep_id")
+    )
+
+
+@query(
+    "scl_names",
+    """SELECT DISTINCT libid, replace(replace(replace(concat(libid, '.', sample_id, '-x'), '.', '_'), '#', '_'), ' ', '_') AS clean,
+  CASE WHEN CAST(substr(sample_id, 2) AS INT) % 2 = 0 THEN concat(libid, '-1') ELSE libid END AS lib, libid AS chip, concat('ko000', substr(sample_id, 2)) AS ko FROM g_sheet""",
+)
+def names(v):
+    folder = F.expr("concat('Sample_X-', libid, CASE WHEN CAST(substr(sample_id, 2) AS INT) % 2 = 0 THEN '-1' ELSE '' END)")
+    report = F.expr("concat('/a/b/', libid, '_S12.capture.report.tsv')")
+    return v.g_sheet.select(
+        "libid", X.clean_name(F.expr("concat(' ', libid, '.', sample_id, '-x ')")).alias("clean"), X.lib_id(folder).alias("lib"),
+        X.chip_code(report).alias("chip"), X.kegg_id(F.expr("concat('KEGG: 000', substr(sample_id, 2), '+1.1.1.1')")).alias("ko"),
+    ).distinct()
+
+
+@query("scl_read_type", "SELECT path, read_type FROM g_files")
+def read_type(v):
+    return v.g_files.select("path", X.read_type(c("path")).alias("read_type"))
+
+
+@query(
+    "scl_strand_bounds",
+    """SELECT id, chrom, start, CASE WHEN gapopen % 2 = 0 THEN '+' ELSE '-' END AS strand, (start + "end") // 2 AS center,
+  start AS lo, start + 500 + match_len AS hi FROM g_hits""",
+)
+def strand_bounds(v):
+    flip = c("gapopen") % 2 == 1
+    s, e = F.when(flip, c("end")).otherwise(c("start")), F.when(flip, c("start")).otherwise(c("end"))
+    b = A.pair_bounds(s, e, e + 500, s + 500)
+    return v.g_hits.select(
+        "id", "chrom", "start", A.hit_strand(s, e).alias("strand"), A.hit_center(s, e).alias("center"), b["start"].alias("lo"),
+        (F.when(flip, c("start") + 500 + c("match_len")).otherwise(b["end"])).alias("hi"),
+    )
+
+
+@query(
+    "scl_blast_to_paf",
+    """SELECT id, start, CASE WHEN gapopen % 2 = 0 THEN 0 ELSE 200 - match_len END AS probe_start,
+  CASE WHEN gapopen % 2 = 0 THEN '+' ELSE '-' END AS strand, start - 1 AS match_start FROM g_hits""",
+)
+def blast_to_paf(v):
+    flip = c("gapopen") % 2 == 1
+    s, e = F.when(flip, c("end")).otherwise(c("start")), F.when(flip, c("start")).otherwise(c("end"))
+    p = A.blast_to_paf(F.lit(1), c("match_len"), s, e, F.lit(200))
+    return v.g_hits.select("id", "start", p["probe_start"].alias("probe_start"), p["strand"].alias("strand"), p["match_start"].alias("match_start"))
+
+
+@query(
+    "scl_flank_window",
+    """SELECT id, greatest(0, start - CAST(floor((200 - ("end" - start)) / 2.0) AS BIGINT)) AS lo,
+  least(400000, "end" + CAST(floor((200 - ("end" - start)) / 2.0) AS BIGINT)) AS hi FROM g_intervals""",
+)
+def flank_window(v):
+    w = A.flank_window(c("start"), c("end"), 200, F.lit(400000).cast("bigint"))
+    return v.g_intervals.select("id", w["start"].alias("lo"), w["end"].alias("hi"))
+
+
+@query(
+    "scl_logs",
+    "SELECT event_id, round(log2(value + 1), 6) AS l2, round(-log10(value + 0.001), 6) AS nl FROM events",
+)
+def logs(v):
+    return v.events.select("event_id", ST.log2p1(c("value")).alias("l2"), ST.neglog10(c("value") + 0.001).alias("nl"))
+
+
+@query("scl_quality_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, CAST(2 AS INT) AS n FROM events")
+def quality_json(v):
+    text = F.expr("""concat('{"read1_before_filtering": {"quality_curves": {"mean": [', get_json_object(props, '$.k'), ', 2.5]}}}')""")
+    q = X.quality_curves(text)["read1_before_filtering"]["quality_curves"]["mean"]
+    return v.events.select("event_id", q[0].alias("k"), F.size(q).alias("n"))
+
+
+@query(
+    "scl_split_band",
+    """SELECT o_orderkey, round(greatest(0.3, 1 - 500e6 / size) * size, 6) AS lo, round(size - greatest(0.3, 1 - 500e6 / size) * size, 6) AS hi
+  FROM (SELECT o_orderkey, o_totalprice * 2000 AS size FROM orders WHERE o_totalprice > 0) x""",
+)
+def split_band(v):
+    b = A.split_band(c("o_totalprice") * 2000)
+    return v.orders.filter("o_totalprice > 0").select("o_orderkey", b["lo"].alias("lo"), b["hi"].alias("hi"))
