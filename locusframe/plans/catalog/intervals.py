@@ -72,8 +72,8 @@ def merge_intervals(v):
 
 @query(
     "win_segment_overlaps",
-    """WITH p AS (SELECT chrom, start AS at FROM g_intervals UNION SELECT chrom, "end" FROM g_intervals),
-s AS (SELECT chrom, at AS start, lead(at) OVER (PARTITION BY chrom ORDER BY at) AS stop FROM p)
+    """WITH p AS (SELECT chrom, start AS x FROM g_intervals UNION SELECT chrom, "end" FROM g_intervals),
+s AS (SELECT chrom, x AS start, lead(x) OVER (PARTITION BY chrom ORDER BY x) AS stop FROM p)
 SELECT s.chrom, s.start, s.stop AS "end", string_agg(g.id, ',' ORDER BY g.id) AS labels FROM s JOIN g_intervals g
   ON g.chrom = s.chrom AND g.start < s.stop AND s.start < g."end" GROUP BY s.chrom, s.start, s.stop""",
 )
@@ -166,21 +166,28 @@ def _points(v):
     return I.split_points(v.g_sizes, repeats, v.g_genes, max_len=400_000, min_repeat=100)
 
 
-@query(
-    "win_split_points",
-    """WITH r AS (SELECT id, chrom, start, "end", "end" - start AS repeat_size FROM g_intervals WHERE p_size >= 25),
+SPLIT_POINTS = """
+r AS (SELECT id, chrom, start, "end", "end" - start AS repeat_size FROM g_intervals WHERE p_size >= 25),
 free AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM g_genes g WHERE g.chrom = r.chrom AND r.start < g."end" AND g.start < r."end" AND g.start < g."end")),
 z AS (SELECT *, greatest(0.3, 1 - 400000.0 / size) * size AS lo FROM g_sizes),
 b AS (SELECT f.*, row_number() OVER (PARTITION BY f.chrom ORDER BY repeat_size DESC, f.start) AS k FROM free f JOIN z ON f.chrom = z.chrom
-  WHERE z.size >= 400000 AND f.start >= lo AND f."end" <= size - lo AND repeat_size >= 100)
-SELECT s.chrom, s.size, s.rank, s.size >= 400000 AS is_long, (b.start + b."end") // 2 AS cut, b.id AS repeat_id
-FROM g_sizes s LEFT JOIN b ON s.chrom = b.chrom AND b.k = 1""",
-)
+  WHERE z.size >= 400000 AND f.start >= lo AND f."end" <= size - lo AND repeat_size >= 100),
+pts AS (SELECT s.chrom, s.size, s.rank, s.size >= 400000 AS is_long, (b.start + b."end") // 2 AS cut, b.id AS repeat_id
+  FROM g_sizes s LEFT JOIN b ON s.chrom = b.chrom AND b.k = 1)
+"""
+
+
+@query("win_split_points", "WITH " + SPLIT_POINTS + "SELECT * FROM pts")
 def split_points(v):
     return _points(v)
 
 
-@query("win_split_pieces")
+@query(
+    "win_split_pieces",
+    "WITH " + SPLIT_POINTS + """SELECT chrom, CAST(0 AS BIGINT) AS start, CASE WHEN is_long THEN cut ELSE size END AS "end",
+  CASE WHEN is_long THEN concat(chrom, 'a') ELSE chrom END AS part FROM pts
+UNION ALL SELECT chrom, cut, size, concat(chrom, 'b') FROM pts WHERE is_long""",
+)
 def split_pieces(v):
     return I.split_pieces(_points(v))
 
