@@ -1 +1,414 @@
+"""Alignment-hit, genome-access and probe-design queries."""
 
+from pyspark.sql import functions as F
+
+from ...functions import sequence as S
+from ...operators import hits as H
+from ...operators import probes as P
+from ..flows import calling_bed, choose_probes, filter_probes_by_overlap, lift_probes, ssr_locations, target_bed
+from ..registry import query
+
+c = F.col
+CHUNK = 1000
+
+
+def genome(v):
+    return P.genome_chunks(v.g_contigs.select(c("chrom").alias("seq_id"), "seq"), CHUNK)
+
+
+@query(
+    "flt_filter_hits",
+    """SELECT id, chrom, start, match_len, mismatch, gapopen FROM g_hits WHERE match_len >= 100 AND identity >= 90 AND mismatch <= 5 AND gapopen <= 3""",
+)
+def filter_hits(v):
+    return H.filter_hits(v.g_hits, 100, 90.0, 5, 3).select("id", "chrom", "start", "match_len", "mismatch", "gapopen")
+
+
+@query(
+    "agg_hit_summary",
+    """WITH r AS (SELECT *, CAST(CASE WHEN match_len > 120 THEN 120 - mismatch + gapopen ELSE match_len - mismatch - gapopen END AS INT) AS real_len FROM g_hits),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY real_len DESC, mismatch, gapopen) AS n, count(*) OVER (PARTITION BY id) AS blast_match FROM r)
+SELECT id, any_value(blast_match) AS blast_match, max(real_len) FILTER (WHERE n = 1) AS max_length, max(gapopen) FILTER (WHERE n = 1) AS best_gapopen,
+  max(mismatch) FILTER (WHERE n = 1) AS best_mismatch, coalesce(max(real_len) FILTER (WHERE n = 2), 0) AS second_max_length,
+  coalesce(max(gapopen) FILTER (WHERE n = 2), 0) AS second_gapopen, coalesce(max(mismatch) FILTER (WHERE n = 2), 0) AS second_mismatch
+FROM k GROUP BY id HAVING any_value(blast_match) <= 6""",
+)
+def hit_summary(v):
+    return H.hit_summary(v.g_hits, 120, 6)
+
+
+@query(
+    "agg_match_counts",
+    """SELECT s.id, count(*) FILTER (WHERE h.match_len >= 0) AS match_0, count(*) FILTER (WHERE h.match_len >= 100) AS match_100,
+  count(*) FILTER (WHERE h.match_len >= 120) AS match_120 FROM (SELECT DISTINCT concat('H', CAST(o_orderkey AS VARCHAR)) AS id FROM orders) s
+  LEFT JOIN g_hits h ON h.id = s.id GROUP BY s.id""",
+)
+def match_counts(v):
+    probes = v.orders.select(F.concat(F.lit("H"), "o_orderkey").alias("id"))
+    return H.match_counts(v.g_hits.select("id", c("match_len").alias("matches")), probes, [0, 100, 120])
+
+
+@query(
+    "win_best_hits",
+    """SELECT id, chrom, start, match_len, gapopen, mismatch FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY match_len DESC, gapopen, mismatch) AS k FROM g_hits) x WHERE k = 1""",
+)
+def best_hits(v):
+    x = H.best_hits(v.g_hits, "id", [F.desc("match_len"), F.asc("gapopen"), F.asc("mismatch")])
+    return x.select("id", "chrom", "start", "match_len", "gapopen", "mismatch")
+
+
+SIDES = """
+nm AS (SELECT concat('P', CAST(CAST(substr(id, 2) AS INT) % 500 AS VARCHAR)) AS name, * FROM g_hits),
+l AS (SELECT name, chrom, start AS s, "end" AS e, match_len, gapopen, mismatch, (start + "end") // 2 AS p FROM nm WHERE gapopen <= 3),
+r AS (SELECT name, chrom, start AS s, "end" AS e, match_len, gapopen, mismatch, (start + "end") // 2 AS p FROM nm WHERE gapopen > 3),
+j AS (SELECT l.name, l.chrom, CASE WHEN l.p < r.p THEN l.s ELSE r.s END AS ssr_left, CASE WHEN l.p < r.p THEN r.e ELSE l.e END AS ssr_right,
+  abs(l.p - r.p) AS distance, l.match_len + r.match_len AS total_length, l.gapopen + r.gapopen AS total_gap, l.mismatch + r.mismatch AS total_mismatch
+  FROM l JOIN r ON l.name = r.name AND l.chrom = r.chrom WHERE abs(l.p - r.p) < 1000)
+"""
+
+
+def _sides(v):
+    name = F.concat(F.lit("P"), (F.substr("id", F.lit(2)).cast("int") % 500).cast("string"))
+    x = v.g_hits.select(name.alias("name"), "chrom", "start", "end", "match_len", "gapopen", "mismatch")
+    right = x.filter("gapopen > 3").withColumns({"start": c("end"), "end": c("start")})
+    return x.filter("gapopen <= 3"), right
+
+
+@query("jn_pair_hits", "WITH " + SIDES + "SELECT name, chrom, ssr_left, ssr_right, distance, ssr_right - ssr_left AS ssr_length FROM j")
+def pair_hits(v):
+    return H.pair_hits(*_sides(v)).select("name", "chrom", "ssr_left", "ssr_right", "distance", "ssr_length")
+
+
+@query(
+    "flow_ssr_locations",
+    "WITH " + SIDES + """SELECT name, chrom, ssr_left, ssr_right FROM (SELECT *, rank() OVER (PARTITION BY name
+  ORDER BY total_length DESC, total_gap, total_mismatch) AS k FROM j) x WHERE k = 1""",
+)
+def ssr(v):
+    return ssr_locations(*_sides(v)).select("name", "chrom", "ssr_left", "ssr_right")
+
+
+@query(
+    "win_number_copies",
+    """SELECT pos, CASE WHEN k = 1 THEN key ELSE concat(key, '-', CAST(k AS VARCHAR)) END AS id FROM (
+  SELECT pos, concat(chrom, ref) AS key, row_number() OVER (PARTITION BY concat(chrom, ref) ORDER BY pos) AS k FROM g_sites) x""",
+)
+def number_copies(v):
+    x = v.g_sites.select("pos", F.concat("chrom", "ref").alias("key"))
+    return H.number_copies(x, "key", "pos", 50_000).select("pos", "id")
+
+
+@query(
+    "flow_frequent_and_best",
+    """WITH g AS (SELECT id AS raw_id, chrom, start, count(*) AS n, min(mismatch) AS mismatch FROM g_hits WHERE mismatch <= 5 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY mismatch, chrom, start) AS k FROM g)
+SELECT raw_id, chrom, start, n, mismatch FROM k WHERE n >= 2 OR k = 1""",
+)
+def frequent_and_best(v):
+    return H.frequent_and_best(v.g_hits.withColumnRenamed("id", "raw_id"))
+
+
+# two alignments of each interval; the better one is 60M1I39M2D20M
+def _paf(v):
+    x = v.g_intervals.select(
+        "id", "chrom", F.lit(120).cast("bigint").alias("probe_length"), F.lit(0).cast("bigint").alias("probe_start"),
+        F.when(c("p_size") % 2 == 0, "+").otherwise("-").alias("strand"), c("start").alias("match_start"),
+        F.lit(60).cast("bigint").alias("mapq"), "p_size",
+    )
+    best = x.withColumns({"match_length": F.lit(119), "n_mismatch": c("p_size") % 4, "cigar": F.lit("60M1I39M2D20M")})
+    poor = x.withColumns({"match_length": F.lit(90), "n_mismatch": F.lit(0), "cigar": F.lit("90M"), "match_start": c("match_start") + 7})
+    return best.unionByName(poor)
+
+
+def _offsets(v):
+    return v.g_intervals.select("id", (c("p_size") * 2).alias("offset_start"), (119 - c("p_size") * 2).alias("offset_end"))
+
+
+LIFT = """
+o AS (SELECT id, chrom, start, p_size, CASE WHEN p_size % 2 = 0 THEN p_size * 2 ELSE 119 - p_size * 2 END AS o FROM g_intervals),
+m AS (SELECT id, chrom, CAST(CASE WHEN o < 60 THEN start + o + 1 WHEN o < 99 THEN start + o + 1 - 1 WHEN o = 99 THEN NULL ELSE start + o + 1 - 1 + 2 END AS BIGINT) AS pos,
+  CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand FROM o WHERE o <= 119)
+"""
+
+
+@query(
+    "flow_lift_sites",
+    "WITH " + LIFT + """SELECT id, concat(chrom, '_', CAST(pos AS VARCHAR)) AS new_id, chrom, pos, CAST(60 AS BIGINT) AS mapq, strand FROM m WHERE pos IS NOT NULL""",
+)
+def lift_sites(v):
+    return H.lift_sites(_paf(v), _offsets(v), 0.8)
+
+
+def _anno(v):
+    kind = F.expr("CASE p_size % 3 WHEN 0 THEN 'center' WHEN 1 THEN 'left' ELSE 'right' END")
+    return v.g_intervals.select(
+        "id", "chrom", (c("start") + 61).alias("pos"), c("start").alias("probe_start"), (c("start") + 120).alias("probe_end"),
+        kind.alias("probe_type"), (c("p_size") % 2).alias("offset"),
+    )
+
+
+@query(
+    "flow_lift_probes",
+    "WITH " + LIFT + """SELECT m.id, m.chrom, m.pos, m.pos - 1 - CASE i.p_size % 3 WHEN 0 THEN 60 WHEN 1 THEN 120 ELSE 0 END + i.p_size % 2 AS probe_start,
+  m.pos - 1 - CASE i.p_size % 3 WHEN 0 THEN 60 WHEN 1 THEN 120 ELSE 0 END + i.p_size % 2 + 120 AS probe_end FROM m JOIN g_intervals i ON m.id = i.id WHERE m.pos IS NOT NULL""",
+)
+def lift_flow(v):
+    return lift_probes(_paf(v), _offsets(v), _anno(v), 0.8).select("id", "chrom", "pos", "probe_start", "probe_end")
+
+
+@query("jn_relocate", "SELECT id, chrom, pos + 5 AS pos, start - CASE p_size % 3 WHEN 0 THEN 60 WHEN 1 THEN 120 ELSE 0 END + 65 + p_size % 2 AS probe_start FROM (SELECT *, start + 61 AS pos FROM g_intervals) x")
+def relocate(v):
+    a = _anno(v)
+    idmap = a.select("id", F.concat_ws("_", "chrom", (c("pos") + 5).cast("string")).alias("new_id"))
+    return H.relocate(a, idmap).select("id", "chrom", "pos", "probe_start")
+
+
+# --- genome access -----------------------------------------------------------
+
+
+@query("src_genome_sizes", "SELECT chrom, size FROM g_contigs")
+def genome_sizes(v):
+    return P.chrom_sizes(genome(v))
+
+
+@query(
+    "src_genome_fetch",
+    """SELECT chrom, start, start + 2350 AS "end", substr(seq, CAST(start + 1 AS INT), 2350) AS seq
+  FROM (SELECT chrom, seq, unnest(range(0, size, 7000)) AS start FROM g_contigs) x""",
+)
+def genome_fetch(v):
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), c("size") - 1, F.lit(7000).cast("bigint")))
+    r = v.g_contigs.select("chrom", starts.alias("start")).withColumn("end", c("start") + 2350)
+    return P.fetch(r, genome(v), CHUNK)
+
+
+SITE_SEQ = "g_ctg_sites s JOIN g_contigs g ON s.chrom = g.chrom"
+
+
+@query(
+    "jn_check_ref",
+    f"SELECT s.chrom, s.pos, s.id, s.ref, s.alt, substr(g.seq, CAST(s.pos AS INT), 1) AS check_ref FROM {SITE_SEQ} WHERE s.ref <> substr(g.seq, CAST(s.pos AS INT), 1)",
+)
+def check_ref(v):
+    return P.check_ref(v.g_ctg_sites, genome(v), CHUNK)
+
+
+@query(
+    "scl_flank_marker",
+    f"""SELECT s.chrom, s.pos, s.id, s.ref, s.alt, concat(substr(g.seq, CAST(greatest(s.pos - 100, 1) AS INT), CAST(least(s.pos - 1, 100) AS INT)), '[', s.ref, '/', s.alt, ']',
+  substr(g.seq, CAST(s.pos + 1 AS INT), 100)) AS sequence FROM {SITE_SEQ}""",
+)
+def flank_marker(v):
+    return P.flank_markers(v.g_ctg_sites, genome(v), 100, CHUNK)
+
+
+@query(
+    "scl_probe_with_marker",
+    f"""SELECT s.id, concat(substr(g.seq, CAST(greatest(0, s.pos - 61) + 1 AS INT), CAST(s.pos - 1 - greatest(0, s.pos - 61) AS INT)), '[', s.ref, '/', s.alt, ']',
+    substr(g.seq, CAST(s.pos + 1 AS INT), 59)) AS sequence FROM {SITE_SEQ}
+  UNION ALL SELECT concat(id, 'x'), repeat('N', CAST(s.pos + 59 - greatest(0, s.pos - 61) AS INT)) FROM g_ctg_sites s""",
+)
+def probe_with_marker(v):
+    x = v.g_ctg_sites.select(
+        "chrom", "pos", "id", F.greatest(F.lit(0), c("pos") - 61).alias("probe_start"), (c("pos") + 59).alias("probe_end"),
+        F.concat_ws("/", "ref", "alt").alias("alleles"),
+    )
+    lost = x.withColumns({"chrom": F.concat("chrom", F.lit("x")), "id": F.concat("id", F.lit("x"))})
+    return P.probe_sequences(x.unionByName(lost), genome(v), CHUNK).select("id", "sequence")
+
+
+@query(
+    "scl_centre_probe",
+    """WITH w AS (SELECT s.id, g.seq, s.pos - 1 - 60 + sh AS i, sh, rk FROM g_ctg_sites s JOIN g_contigs g ON s.chrom = g.chrom,
+    (VALUES (0, 0), (-10, 1), (10, 2), (-20, 3), (20, 4)) t(sh, rk)),
+q AS (SELECT id, sh, rk, CASE WHEN i >= 0 THEN substr(seq, CAST(i + 1 AS INT), 120) ELSE '' END AS p FROM w),
+z AS (SELECT *, coalesce((length(p) - length(replace(replace(p, 'G', ''), 'C', ''))) * 1.0 / nullif(length(p), 0), 0) AS gc FROM q),
+k AS (SELECT *, max(CASE WHEN sh = 0 AND abs(gc - 0.5) <= 0.15 THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS good,
+  row_number() OVER (PARTITION BY id, sh = 0 ORDER BY round(abs(gc - 0.5), 12), rk) AS r FROM z)
+SELECT id, sh AS shift, p AS sequence, 0 AS n_count, round(gc, 6) AS gc FROM k WHERE (good = 1 AND sh = 0) OR (good = 0 AND sh <> 0 AND r = 1)""",
+)
+def centre_probe(v):
+    return P.centre_probes(v.g_ctg_sites.select("chrom", "pos", "id"), genome(v), 120, chunk=CHUNK).drop("chrom", "pos")
+
+
+@query(
+    "scl_side_probes",
+    f"""SELECT s.id, 'left' AS sequence_type, substr(g.seq, CAST(greatest(s.pos - 120, 1) AS INT), CAST(least(s.pos - 1, 120) AS INT)) AS sequence FROM {SITE_SEQ} WHERE length(s.alt) > 1
+  UNION ALL SELECT s.id, 'right', substr(g.seq, CAST(s.pos + 1 AS INT), 120) FROM {SITE_SEQ} WHERE length(s.alt) > 1""",
+)
+def side_probes(v):
+    return P.side_probes(v.g_ctg_sites, genome(v), 120, CHUNK).select("id", "sequence_type", "sequence")
+
+
+# --- tiles -------------------------------------------------------------------
+
+
+@query(
+    "win_tile_sequence",
+    """SELECT seq_id, count(*) AS tiles, min(gc) AS min_gc, max(gc) AS max_gc FROM (
+  SELECT seq_id, CAST(length(t) - length(replace(replace(t, 'G', ''), 'C', '')) AS INT) AS gc FROM (
+    SELECT seq_id, substr(seq, CAST(i AS INT), 120) AS t FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 118)) AS i FROM g_seq WHERE length(seq) >= 120) a) b) d GROUP BY seq_id""",
+)
+def tile_sequence(v):
+    t = P.tile_sequence(v.g_seq.select("seq_id", "seq"), 120).withColumn("gc", S.gc_count(c("tile_seq")))
+    return t.groupBy("seq_id").agg(F.count("*").alias("tiles"), F.min("gc").alias("min_gc"), F.max("gc").alias("max_gc"))
+
+
+@query(
+    "win_select_tiles",
+    """WITH s AS (SELECT seq_id, seq, length(seq) AS n FROM g_seq WHERE length(seq) > 0),
+m AS (SELECT seq_id, i, substr(seq, CAST(i AS INT), 120) AS t FROM (SELECT seq_id, seq, unnest(range(1, n - 118)) AS i FROM s WHERE n > 120 AND n <= 200) x),
+mg AS (SELECT *, 100.0 * (length(t) - length(replace(replace(t, 'G', ''), 'C', ''))) / 120 AS gc FROM m),
+a AS (SELECT seq_id, 1 AS tile, seq AS t FROM s WHERE n <= 120
+  UNION ALL SELECT seq_id, i, t FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY abs(gc - 50), i) AS k FROM mg) y WHERE k = 1
+  UNION ALL SELECT seq_id, 1, substr(seq, 1, 120) FROM s WHERE n > 200
+  UNION ALL SELECT seq_id, n - 119, substr(seq, CAST(n - 119 AS INT), 120) FROM s WHERE n > 200)
+SELECT seq_id, CAST(tile AS INT) AS tile, t AS tile_seq, round(100.0 * (length(t) - length(replace(replace(t, 'G', ''), 'C', ''))) / length(t), 6) AS gc FROM a""",
+)
+def select_tiles(v):
+    return P.select_tiles(v.g_seq.select("seq_id", "seq"))
+
+
+@query(
+    "scl_probe_overlay",
+    """SELECT concat('p', CAST(seq_id AS VARCHAR)) AS probe_id, concat(substr(seq, 1, 4), 'A', substr(seq, 6, 4), 'C', substr(seq, 11)) AS ref_seq
+  FROM g_seq WHERE length(seq) > 20""",
+)
+def probe_overlay(v):
+    x = v.g_seq.filter("length(seq) > 20")
+    rec = lambda at, marker, n: x.selectExpr(
+        f"concat('p', seq_id, '_{at}') AS id", f"{n} AS line_no",
+        f"concat(substr(seq, 1, {at - 1}), '{marker}', substr(seq, {at + 1})) AS seq",
+    )
+    return P.probe_references(rec(5, "[A/G]", 1).unionByName(rec(10, "[C/T]", 2)))
+
+
+# --- choice ------------------------------------------------------------------
+
+WINDOWED = """
+w AS (SELECT *, CAST(ceil(pos / 5000.0) * 5000 - 5000 AS BIGINT) AS start, CAST(ceil(pos / 5000.0) * 5000 AS BIGINT) AS "end" FROM g_candidates)
+"""
+
+
+def _windowed(v):
+    end = (F.ceil(c("pos") / 5000) * 5000).cast("bigint")
+    return v.g_candidates.withColumns({"start": end - 5000, "end": end})
+
+
+@query(
+    "win_pick_per_region",
+    "WITH " + WINDOWED + """, k AS (SELECT *, count(*) FILTER (WHERE score <= 0) OVER (PARTITION BY chrom, start) AS h,
+  row_number() OVER (PARTITION BY chrom, start, score <= 0 ORDER BY maf DESC, id) AS r FROM w)
+SELECT id, start, "end" FROM k WHERE score <= 0 OR r <= 12 - h""",
+)
+def pick_per_region(v):
+    return P.pick_per_region(_windowed(v), 12, 0, score="maf").select("id", "start", "end")
+
+
+@query(
+    "win_drop_dups",
+    """SELECT chrom, ref, id FROM (SELECT chrom, ref, id, row_number() OVER (PARTITION BY chrom, ref ORDER BY pos DESC, id) AS k FROM g_sites) x WHERE k = 1""",
+)
+def drop_dups(v):
+    return P.drop_dups(v.g_sites, ["chrom", "ref"], [F.desc("pos"), F.asc("id")]).select("chrom", "ref", "id")
+
+
+@query(
+    "win_auto_fill",
+    """WITH sel AS (SELECT id, maf FROM g_candidates WHERE pos % 40 = 0), l AS (SELECT id, maf FROM g_candidates WHERE pos % 40 <> 0 ORDER BY maf DESC, id)
+SELECT id, round(maf, 6) AS maf FROM sel UNION ALL
+SELECT id, round(maf, 6) FROM (SELECT *, row_number() OVER (ORDER BY maf DESC, id) AS k FROM l) x WHERE k <= (SELECT count(*) / 30 FROM g_candidates) - (SELECT count(*) FROM sel)""",
+)
+def auto_fill(v):
+    cand = v.g_candidates.select("id", "pos", "maf")
+    # a panel of a thirtieth of the candidates
+    n = cand.count() // 30
+    return P.auto_fill(cand.filter("pos % 40 = 0"), cand, n, "maf").select("id", "maf")
+
+
+SCORED = """
+sc AS (SELECT chrom, pos, id, maf, score AS sequence_score, match_0 AS region_score FROM g_candidates),
+j AS (SELECT sc.*, i.id AS region, i.start, i."end", CASE WHEN 20000 >= i."end" - i.start THEN 200 ELSE (i."end" - i.start) // 100 END AS sz
+  FROM sc JOIN g_intervals i ON sc.chrom = i.chrom AND sc.pos > i.start AND sc.pos <= i."end"),
+b AS (SELECT *, (pos - start) // sz AS bin FROM j WHERE (pos - start) // sz < ("end" - start) // sz),
+k AS (SELECT *, row_number() OVER (PARTITION BY region, bin ORDER BY sequence_score DESC, region_score DESC, maf DESC, id) AS r FROM b)
+"""
+
+
+@query(
+    "win_sites_per_region",
+    "WITH " + SCORED + "SELECT chrom, pos, id, string_agg(DISTINCT region, ',' ORDER BY region) AS regions FROM k WHERE r <= 1 GROUP BY chrom, pos, id",
+)
+def sites_per_region(v):
+    s = v.g_candidates.select("chrom", "pos", "id", "maf", c("score").alias("sequence_score"), c("match_0").alias("region_score"))
+    return P.sites_per_region(v.g_intervals, s).select("chrom", "pos", "id", "regions")
+
+
+@query(
+    "flt_remove_add",
+    """SELECT id, pos FROM g_sites WHERE pos % 10 <> 0 UNION ALL SELECT concat('new_', id), pos FROM g_sites WHERE pos % 10 = 0""",
+)
+def remove_add(v):
+    x = v.g_sites.select("id", "pos")
+    old = x.filter("pos % 10 = 0")
+    return P.remove_add(x, old, old.withColumn("id", F.concat(F.lit("new_"), "id")))
+
+
+DESIGN = """
+d AS (SELECT id, chrom, start + 61 AS pos, start AS probe_start, start + 120 AS probe_end FROM g_intervals),
+f AS (SELECT d.*, greatest(0, probe_start - 40) AS start, least(z.size, probe_end + 40) AS "end" FROM d JOIN g_sizes z ON d.chrom = z.chrom)
+"""
+
+
+def _design(v):
+    return v.g_intervals.select("id", "chrom", (c("start") + 61).alias("pos"), c("start").alias("probe_start"), (c("start") + 120).alias("probe_end"))
+
+
+@query("flow_panel_targets", "WITH " + DESIGN + """SELECT id, chrom, start, "end" FROM f""")
+def panel_targets(v):
+    return P.panel_targets(_design(v), v.g_sizes)
+
+
+@query(
+    "flow_calling_bed",
+    "WITH " + DESIGN + """, a AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f),
+b AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM a)
+SELECT chrom, min(start) AS start, max("end") AS "end" FROM b GROUP BY chrom, run""",
+)
+def calling(v):
+    return calling_bed(_design(v), v.g_sizes)
+
+
+@query("flow_target_bed", """WITH """ + DESIGN + """SELECT DISTINCT chrom, pos - 1 AS start, pos AS "end", concat(chrom, '_', CAST(pos AS VARCHAR)) AS id FROM d""")
+def targets(v):
+    return target_bed(_design(v))
+
+
+@query(
+    "flow_filter_probes",
+    """WITH o AS (SELECT p.id, count(s.id) AS va, count(s.id) FILTER (WHERE length(s.ref) > 1 OR length(s.alt) > 1) AS indel FROM g_probes p
+  LEFT JOIN g_sites s ON s.chrom = p.chrom AND s.pos > p.start AND s.pos <= p."end" GROUP BY p.id)
+SELECT id, va AS variant_overlap, indel AS indel_overlap FROM o WHERE va <= 1 AND indel <= 0""",
+)
+def filter_probes(v):
+    indels = v.g_sites.filter("length(ref) > 1 OR length(alt) > 1")
+    return filter_probes_by_overlap(v.g_probes, v.g_sites, indels, 1, 0).select("id", "variant_overlap", "indel_overlap")
+
+
+@query(
+    "flow_choose_probes",
+    """WITH t AS (SELECT *, CASE WHEN gc < 0.5 THEN 0.35 - gc ELSE gc - 0.65 END AS off FROM g_candidates),
+s AS (SELECT *, CAST(trunc(10 * (4 - score)
+    + CASE WHEN gc BETWEEN 0.35 AND 0.65 THEN 1000.0 WHEN off > 0.1 THEN -pow((off - 0.1) / 0.1, 2) * 1000 ELSE (1 - pow(off / 0.1, 2)) * 1000 END
+    + CASE WHEN length(alleles) > 3 THEN -50 ELSE 0 END + CASE WHEN maf < 0.1 THEN -150 WHEN maf < 0.2 THEN -50 ELSE 0 END
+    - 500 * (abs(match_0 - 1) + abs(match_60 - 1) * 1.5 + pow(abs(match_100 - 1), 2))) AS BIGINT) AS score2,
+    CAST(ceil(pos / 5000.0) * 5000 - 5000 AS BIGINT) AS start FROM t),
+a AS (SELECT *, CASE WHEN lag(pos) OVER w IS NULL OR pos - lag(pos) OVER w >= 100 THEN 1 ELSE 0 END AS brk FROM s WINDOW w AS (PARTITION BY chrom, start ORDER BY pos)),
+b AS (SELECT *, sum(brk) OVER (PARTITION BY chrom, start ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM a),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chrom, start, run ORDER BY score2 DESC, id) AS k FROM b) x WHERE k = 1),
+f AS (SELECT *, count(*) FILTER (WHERE score <= 0) OVER (PARTITION BY chrom, start) AS h,
+  row_number() OVER (PARTITION BY chrom, start, score <= 0 ORDER BY score2 DESC, id) AS r FROM d)
+SELECT id, start, score2 FROM f WHERE score <= 0 OR r <= 10 - h""",
+)
+def choose(v):
+    return choose_probes(v.g_candidates, 5000, 10, 100).select("id", "start", "score2")

@@ -101,14 +101,12 @@ def any_p(v):
     "flow_gwas_subsets",
     """WITH an AS (SELECT DISTINCT chrom, pos, concat('G', CAST(pos % 500 AS VARCHAR)) AS gene FROM g_sites WHERE pos % 2 = 0),
 h AS (SELECT a.*, an.gene, least(p_wald, p_lrt, p_score) AS p FROM g_assoc a JOIN an ON a.chrom = an.chrom AND a.pos = an.pos)
-SELECT id, gene, 1e-5 AS p_cutoff FROM h WHERE p <= 1e-5 UNION ALL SELECT id, gene, 5e-8 FROM h WHERE p <= 5e-8""",
+SELECT id, gene, 'suggestive' AS level FROM h WHERE p <= 1e-5 UNION ALL SELECT id, gene, 'strict' FROM h WHERE p <= 5e-8""",
 )
 def gwas(v):
     anno = v.g_sites.filter("pos % 2 = 0").selectExpr("chrom", "pos", "concat('G', CAST(pos % 500 AS STRING)) AS gene", "alt AS effect")
-    x = gwas_subsets(v.g_assoc, anno)
-    return x.select("id", "gene", c("p_cutoff").cast("decimal(20,10)").cast("double").alias("p_cutoff")).withColumn(
-        "p_cutoff", c("p_cutoff")
-    )
+    level = F.when(c("p_cutoff") > 1e-6, "suggestive").otherwise("strict")
+    return gwas_subsets(v.g_assoc, anno).select("id", "gene", level.alias("level"))
 
 
 @query(
