@@ -16,22 +16,26 @@ MARKER = r"\[([A-Za-z]+/[A-Za-z]+)\]"
 
 
 def _count_of(seq: Column, chars: str) -> Column:
-    return F.length(seq) - F.length(F.translate(seq, chars, ""))
+    """Number of the given capital letters, in either case."""
+    left = F.upper(seq)
+    for x in chars:
+        left = F.replace(left, F.lit(x), F.lit(""))
+    return F.length(seq) - F.length(left)
 
 
 def gc_count(seq: Column) -> Column:
-    return _count_of(seq, "GCSgcs")
+    return _count_of(seq, "GCS")
 
 
 def gc_fraction(seq: Column) -> Column:
     """GC share of the unambiguous bases (N and other codes are left out)."""
     gc = gc_count(seq)
-    n = gc + _count_of(seq, "ATWUatwu")
+    n = gc + _count_of(seq, "ATWU")
     return F.when(n == 0, F.lit(0.0)).otherwise(gc / n)
 
 
 def n_count(seq: Column) -> Column:
-    return _count_of(seq, "Nn")
+    return _count_of(seq, "N")
 
 
 def gc_bias(seq: Column) -> Column:

@@ -28,10 +28,18 @@ def hypergeom_sf(k: Column, total: Column, marked: Column, drawn: Column) -> Col
     """P(X >= k) for ``drawn`` of ``total`` with ``marked`` marked ones."""
     lo = F.greatest(k, F.lit(0), drawn + marked - total)
     hi = F.least(marked, drawn)
-    base = log_choose(total, drawn)
-    term = lambda i: F.exp(log_choose(marked, i) + log_choose(total - marked, drawn - i) - base)
+    first = (
+        log_choose(marked, lo) + log_choose(total - marked, drawn - lo) - log_choose(total, drawn)
+    )
+    # each term follows from the one before it, kept as a logarithm
+    grow = lambda i: ((marked - i) * (drawn - i)) / ((i + 1) * (total - marked - drawn + i + 1))
     tail = F.aggregate(
-        F.sequence(lo, F.greatest(lo, hi)), F.lit(0.0), lambda acc, i: acc + term(i)
+        F.sequence(lo, F.greatest(lo, hi)),
+        F.struct(F.lit(0.0).alias("s"), first.alias("t")),
+        lambda acc, i: F.struct(
+            (acc["s"] + F.exp(acc["t"])).alias("s"), (acc["t"] + F.ln(grow(i))).alias("t")
+        ),
+        lambda acc: acc["s"],
     )
     return F.when(lo > hi, F.lit(0.0)).otherwise(F.least(F.lit(1.0), tail))
 

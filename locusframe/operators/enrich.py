@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import hypergeom_sf, magnitude_bin
@@ -27,6 +27,18 @@ def bh_adjust(df: DataFrame, p: str, keys: list[str] = [], name: str = "p_adjust
     return df.join(adj, [*keys, p])
 
 
+def _bh_small(df: DataFrame, p: str, keys: list[str], name: str) -> DataFrame:
+    """The same adjustment for groups of bounded size, by plain windows."""
+    w = Window.partitionBy(*keys)
+    rank = F.count("*").over(w.orderBy(p).rangeBetween(Window.unboundedPreceding, 0))
+    raw = F.col(p) * F.count("*").over(w) / F.col("_rank")
+    tail = w.orderBy(p).rangeBetween(0, Window.unboundedFollowing)
+    return (
+        df.withColumn("_rank", rank).withColumn("_raw", raw)
+        .withColumn(name, F.least(F.lit(1.0), F.min("_raw").over(tail))).drop("_rank", "_raw")
+    )
+
+
 def enrich(gene_term: DataFrame, picked: DataFrame, by: list[str] = []) -> DataFrame:
     """Over-representation of each term among the picked genes of each list.
 
@@ -52,8 +64,8 @@ def enrich(gene_term: DataFrame, picked: DataFrame, by: list[str] = []) -> DataF
             "bg_ratio": F.concat_ws("|", "bg_count", "bg_total"),
         }
     )
-    # tied terms must compare equal when the adjusted values are joined back
-    return bh_adjust(c, "pvalue", by)
+    # a list has at most one row per term of the ontology
+    return _bh_small(c, "pvalue", by, "p_adjust")
 
 
 def name_terms(result: DataFrame, names: DataFrame) -> DataFrame:

@@ -17,15 +17,20 @@ from .intervals import RANGE_BIN, points_in_regions
 CHUNK = 10_000
 
 
+def _pieces(seq: Column | str, n: int) -> Column:
+    """Sequence cut into pieces of ``n`` bases in one pass.
+
+    ``substr`` walks a string from its start, so cutting by offsets would take
+    quadratic time on a long sequence.
+    """
+    return F.regexp_extract_all(seq, F.lit(".{1,%d}" % n), F.lit(0))
+
+
 def genome_chunks(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Sequence records ``seq_id, seq`` to a chunk table."""
-    n = F.floor((F.length("seq") - 1) / chunk)
-    at = F.explode(F.sequence(F.lit(0).cast("bigint"), n))
-    return (
-        records.filter(F.length("seq") > 0)
-        .select(F.col("seq_id").alias("chrom"), "seq", at.alias("chunk_no"))
-        .select("chrom", "chunk_no", F.substr("seq", (F.col("chunk_no") * chunk + 1).cast("int"), F.lit(chunk)).alias("seq"))
-    )
+    return records.filter(F.length("seq") > 0).select(
+        F.col("seq_id").alias("chrom"), F.posexplode(_pieces("seq", chunk)).alias("chunk_no", "seq")
+    ).withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
 
 
 def chrom_sizes(genome: DataFrame) -> DataFrame:
@@ -142,7 +147,7 @@ def centre_probes(
         seq = F.when(i >= 0, F.substr("_seq", (i + 1).cast("int"), F.lit(length))).otherwise(F.lit(""))
         bias = S.gc_bias(seq)
         return F.struct(
-            S.n_count(seq).alias("n"), F.round(bias, 12).alias("bias"),
+            S.n_count(seq).alias("n"), bias.alias("bias"),
             F.lit(shifts.index(shift)).alias("rank"), F.lit(shift).alias("shift"), seq.alias("sequence"),
         )
 
@@ -176,11 +181,28 @@ def side_probes(sites: DataFrame, genome: DataFrame, length: int = 120, chunk: i
 
 def tile_sequence(records: DataFrame, width: int = 120) -> DataFrame:
     """Every window of ``width`` bases, step 1; 1-based ``tile``."""
-    last = F.length("seq") - width + 1
+    step = max(1000, width)
+    x = records.filter(F.length("seq") >= width).select("seq_id", _pieces("seq", step).alias("_p"))
+    # each piece takes along the start of the next one
+    part = F.explode(
+        F.transform(
+            "_p",
+            lambda p, i: F.struct(
+                i.alias("no"),
+                F.concat(p, F.substring(F.coalesce(F.get("_p", i + 1), F.lit("")), 1, width - 1)).alias("s"),
+                F.length(p).alias("own"),
+            ),
+        )
+    )
+    x = x.select("seq_id", part.alias("x")).select("seq_id", "x.*")
+    last = F.least(F.col("own"), F.length("s") - width + 1)
     return (
-        records.filter(last >= 1)
-        .select("seq_id", "seq", F.explode(F.sequence(F.lit(1), last)).alias("tile"))
-        .select("seq_id", "tile", F.substr("seq", F.col("tile"), F.lit(width)).alias("tile_seq"))
+        x.filter(last >= 1)
+        .select("seq_id", "no", "s", F.explode(F.sequence(F.lit(1), last)).alias("i"))
+        .select(
+            "seq_id", (F.col("no") * step + F.col("i")).alias("tile"),
+            F.substr("s", F.col("i"), F.lit(width)).alias("tile_seq"),
+        )
     )
 
 

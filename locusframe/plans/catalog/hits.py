@@ -224,7 +224,7 @@ def probe_with_marker(v):
 q AS (SELECT id, sh, rk, CASE WHEN i >= 0 THEN substr(seq, CAST(i + 1 AS INT), 120) ELSE '' END AS p FROM w),
 z AS (SELECT *, coalesce((length(p) - length(replace(replace(p, 'G', ''), 'C', ''))) * 1.0 / nullif(length(p), 0), 0) AS gc FROM q),
 k AS (SELECT *, max(CASE WHEN sh = 0 AND abs(gc - 0.5) <= 0.15 THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS good,
-  row_number() OVER (PARTITION BY id, sh = 0 ORDER BY round(abs(gc - 0.5), 12), rk) AS r FROM z)
+  row_number() OVER (PARTITION BY id, sh = 0 ORDER BY abs(gc - 0.5), rk) AS r FROM z)
 SELECT id, sh AS shift, p AS sequence, 0 AS n_count, round(gc, 6) AS gc FROM k WHERE (good = 1 AND sh = 0) OR (good = 0 AND sh <> 0 AND r = 1)""",
 )
 def centre_probe(v):
