@@ -1 +1,401 @@
+"""Source, sink and streaming queries.
 
+Each writes the driver tables in the file format at hand to a new shared
+folder and reads them back with the library's reader.
+"""
+
+from pyspark.sql import functions as F
+
+from ...functions import text as X
+from ...operators import calls as C
+from ...operators import coverage as cov
+from ...operators import qc as Q
+from ...sources import fasta, reports, sinks, tables, vcf
+from ...streaming import intake
+from ..registry import query
+from ..session import scratch
+from .calls import SAMPLES, SITE_STATS
+from .tables import STATUS
+
+c = F.col
+
+
+def _text(df, v, name, *parts):
+    """Write lines as text; ``parts`` are folder columns."""
+    path = scratch(v.spark, name)
+    out = df.write
+    (out.partitionBy(*parts) if parts else out).text(path)
+    return path
+
+
+def _tsv(df, v, name):
+    path = scratch(v.spark, name)
+    df.write.csv(path, sep="\t")
+    return path
+
+
+def _wide(v):
+    return C.to_wide(v.g_calls, SAMPLES)
+
+
+def _vcf(v):
+    path = scratch(v.spark, "vcf")
+    sinks.write_vcf(_wide(v), v.g_sizes, SAMPLES, path)
+    return path
+
+
+FULL = "(SELECT DISTINCT s.chrom, s.pos, s.ref, s.alt, n.sample_id FROM g_calls s, (SELECT DISTINCT sample_id FROM g_calls) n)"
+GRID = f"""SELECT f.chrom, f.pos, f.ref, f.alt, f.sample_id, coalesce(c.gt, './.') AS gt FROM {FULL} f
+  LEFT JOIN g_calls c ON c.chrom = f.chrom AND c.pos = f.pos AND c.sample_id = f.sample_id"""
+
+
+@query("src_vcf_sites", "SELECT DISTINCT chrom, pos, ref, alt, id FROM g_calls")
+def vcf_sites(v):
+    return vcf.read_vcf_sites(v.spark, _vcf(v))
+
+
+@query("src_vcf_samples", "SELECT DISTINCT sample_id, CAST(substr(sample_id, 2) AS INT) - 1 AS ordinal FROM g_calls")
+def vcf_samples(v):
+    return vcf.vcf_samples(v.spark, _vcf(v)).drop("file")
+
+
+@query("src_vcf_calls", GRID)
+def vcf_calls(v):
+    return vcf.read_vcf_calls(v.spark, _vcf(v))
+
+
+@query("src_vcf_calls_by_id", f"SELECT * FROM ({GRID}) x WHERE pos % 3 = 0")
+def vcf_calls_by_id(v):
+    return vcf.read_vcf_calls(v.spark, _vcf(v), v.g_sites.filter("pos % 3 = 0"))
+
+
+@query(
+    "src_vcf_coded",
+    f"SELECT *, CASE gt WHEN '0/0' THEN 0 WHEN '0/1' THEN 1 WHEN '1/1' THEN 2 ELSE 3 END AS code FROM ({GRID}) x",
+)
+def vcf_coded(v):
+    return vcf.read_vcf_coded(v.spark, _vcf(v))
+
+
+@query("src_vcf_depth", "SELECT chrom, pos, ref, alt, sample_id, gt, CAST(ref_depth + alt_depth AS INT) AS depth, CAST(ref_depth AS INT) AS ref_depth, CAST(alt_depth AS INT) AS alt_depth FROM g_calls")
+def vcf_depth(v):
+    # one sample per site group keeps the body long: GT:AD:DP
+    head = v.spark.createDataFrame([("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t",)], "h string")
+    field = F.concat_ws(":", F.replace("gt", F.lit("/"), F.lit("|")), F.concat_ws(",", "ref_depth", "alt_depth"), (c("ref_depth") + c("alt_depth")).cast("string"))
+    body = v.g_calls.select(
+        "sample_id", F.lit(1).alias("k"),
+        F.concat_ws("\t", "chrom", "pos", "id", "ref", "alt", F.lit("."), F.lit("."), F.lit("."), F.lit("GT:AD:DP"), field).alias("value"),
+    )
+    heads = v.g_calls.select("sample_id").distinct().join(head, F.lit(True)).select("sample_id", F.lit(0).alias("k"), F.concat("h", "sample_id").alias("value"))
+    # one file per sample
+    lines = heads.unionByName(body).repartition(8, "sample_id").sortWithinPartitions("sample_id", "k")
+    path = _text(lines.select("value", c("sample_id").alias("part")), v, "depth-vcf", "part")
+    return vcf.read_vcf_depth(v.spark, path).select("chrom", "pos", "ref", "alt", "sample_id", "gt", "depth", "ref_depth", "alt_depth")
+
+
+@query("src_gt_table", "SELECT chrom, pos, ref, alt, sample_id, gt FROM g_calls")
+def gt_table(v):
+    path = scratch(v.spark, "gt")
+    _wide(v).write.csv(path, sep="\t", header=True)
+    return tables.read_gt_table(v.spark, path).filter(c("gt").isNotNull())
+
+
+@query("src_depth_table", "SELECT DISTINCT d.chrom, d.pos, n.sample_id, CAST(coalesce(c.depth, 0) AS INT) AS depth FROM g_depth d, (SELECT DISTINCT sample_id FROM g_depth) n LEFT JOIN g_depth c ON c.chrom = d.chrom AND c.pos = d.pos AND c.sample_id = n.sample_id")
+def depth_table(v):
+    wide = cov.matrix(v.g_depth, ["chrom", "pos"], SAMPLES)
+    shown = wide.select("chrom", "pos", *[F.coalesce(c(s).cast("string"), F.lit(".")).alias(s) for s in SAMPLES])
+    return tables.read_depth_table(v.spark, _tsv(shown, v, "depth"), SAMPLES)
+
+
+@query("src_bed", """SELECT chrom, start, "end", id FROM g_intervals""")
+def bed(v):
+    return tables.read_bed(v.spark, _tsv(v.g_intervals.select("chrom", "start", "end", "id"), v, "bed"), "id string")
+
+
+@query("src_chrom_sizes", "SELECT chrom, size, CAST(rank - 1 AS INT) AS rank FROM g_sizes")
+def chrom_sizes(v):
+    # a size table is one small file in genome order
+    path = _tsv(v.g_sizes.select("chrom", "size", "rank").coalesce(1).sortWithinPartitions("rank"), v, "fai")
+    return tables.read_chrom_sizes(v.spark, path)
+
+
+@query(
+    "src_gtf",
+    """SELECT chrom, 'gene' AS feature, start, "end", id AS gene_id, CAST(p_size AS VARCHAR) AS size, id AS gff_id FROM g_intervals""",
+)
+def gtf(v):
+    attrs = F.expr("""concat('gene_id "', id, '"; size "', p_size, '";')""")
+    gff = F.expr("concat('ID=', id, ';size=', p_size)")
+    line = lambda a: F.concat_ws("\t", "chrom", F.lit("src"), F.lit("gene"), "start", "end", F.lit("."), F.lit("+"), F.lit("."), a)
+    a = tables.read_gtf(v.spark, _text(v.g_intervals.select(line(attrs).alias("value")), v, "gtf"))
+    b = tables.read_gtf(v.spark, _text(v.g_intervals.select(line(gff).alias("value")), v, "gff"), "gff")
+    ids = b.select(c("attrs")["ID"].alias("gff_id"))
+    return a.select(
+        "chrom", "feature", "start", "end", c("attrs")["gene_id"].alias("gene_id"), c("attrs")["size"].alias("size")
+    ).join(ids, c("gene_id") == c("gff_id"))
+
+
+@query("src_fasta", "SELECT CAST(seq_id AS VARCHAR) AS seq_id, concat('lang > ', lang) AS description, seq FROM g_seq")
+def read_fasta(v):
+    # sixty bases to a line
+    folded = F.regexp_replace("seq", "(.{60})", "$1\n")
+    rec = F.concat(F.lit(">"), "seq_id", F.lit(" lang > "), "lang", F.lit("\n"), folded)
+    return fasta.read_fasta(v.spark, _text(v.g_seq.select(rec.alias("value")), v, "fasta"))
+
+
+@query("snk_fasta", "SELECT CAST(seq_id AS VARCHAR) AS seq_id, '' AS description, seq FROM g_seq")
+def write_fasta(v):
+    path = scratch(v.spark, "fa")
+    sinks.write_fasta(v.g_seq, path)
+    return fasta.read_fasta(v.spark, path)
+
+
+@query("src_blast", """SELECT id, chrom, round(identity, 6) AS identity, match_len, mismatch, gapopen, start, "end" FROM g_hits""")
+def blast(v):
+    x = v.g_hits.select("id", "chrom", "identity", "match_len", "mismatch", "gapopen", F.lit(1), c("match_len"), "start", "end", F.lit(1e-20), F.lit(50.0))
+    return tables.read_blast(v.spark, _tsv(x, v, "blast")).select("id", "chrom", "identity", "match_len", "mismatch", "gapopen", "start", "end")
+
+
+@query("src_paf", "SELECT id, chrom, start AS match_start, CAST(p_size AS BIGINT) AS match_length, concat(CAST(p_size AS VARCHAR), 'M') AS cigar, p_size % 4 AS n_mismatch FROM g_intervals")
+def paf(v):
+    line = F.concat_ws(
+        "\t", "id", F.lit("120"), F.lit("0"), F.lit("120"), F.lit("+"), "chrom", F.lit("999999"), "start", "end", "p_size", F.lit("120"), F.lit("60"),
+        F.concat(F.lit("NM:i:"), (c("p_size") % 4).cast("string")), F.lit("tp:A:P"), F.concat(F.lit("cg:Z:"), c("p_size").cast("string"), F.lit("M")),
+    )
+    x = tables.read_paf(v.spark, _text(v.g_intervals.select(line.alias("value")), v, "paf"))
+    return x.select("id", "chrom", "match_start", "match_length", "cigar", "n_mismatch")
+
+
+@query("src_csv_glob", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type FROM events")
+def csv_glob(v):
+    a, b = scratch(v.spark, "csv"), scratch(v.spark, "csv")
+    x = v.events.select("event_id", "event_type")
+    x.filter("event_id % 2 = 0").write.csv(a, header=True)
+    x.filter("event_id % 2 = 1").write.csv(b, header=True)
+    return tables.scan_csv_glob(v.spark, [a, b])
+
+
+def _by_sample(v, name):
+    """Depth files in one folder per sample."""
+    line = F.concat_ws("\t", "chrom", "pos", "depth")
+    return _text(v.g_depth.select(line.alias("value"), c("sample_id").alias("sample")), v, name, "sample")
+
+
+@query("src_per_sample", "SELECT chrom, pos, CAST(depth AS INT) AS depth, sample_id FROM g_depth")
+def per_sample(v):
+    x = tables.read_per_sample(v.spark, _by_sample(v, "cov"), "chrom string, pos bigint, depth int", r"sample=([^/]+)/")
+    return x.select("chrom", "pos", "depth", "sample_id")
+
+
+@query("src_depth_files", "SELECT chrom, pos, CAST(depth AS INT) AS depth, concat('sample=', sample_id) AS sample_id FROM g_depth")
+def depth_files(v):
+    return tables.read_depth(v.spark, _by_sample(v, "bamdst")).select("chrom", "pos", "depth", "sample_id")
+
+
+@query(
+    "src_quality_json",
+    """SELECT CAST(event_id AS VARCHAR) AS libid, 'read1' AS read_type, 2 AS n, CAST(json_extract(props, '$.k') AS DOUBLE) AS first_value FROM events WHERE user_id % 50 = 0 AND FALSE
+  UNION ALL SELECT CAST(user_id AS VARCHAR), 'read1', CAST(1 AS INT), round(min(value), 6) FROM events GROUP BY user_id
+  UNION ALL SELECT CAST(user_id AS VARCHAR), 'read2', CAST(2 AS INT), round(max(value), 6) FROM events GROUP BY user_id""",
+)
+def quality_json(v):
+    u = v.events.groupBy("user_id").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    text = F.expr(
+        """concat('{"read1_before_filtering":\n {"quality_curves": {"mean": [', a, ']}}, "read2_before_filtering": {"quality_curves": {"mean": [', b, ', 0.5]}}}')"""
+    )
+    # one report per folder; the folder carries the library name
+    path = _text(u.select(text.alias("value"), c("user_id").alias("lib")), v, "json", "lib")
+    raw = v.spark.read.json(path, schema=X.QUALITY_JSON, multiLine=True)
+    lib = F.regexp_extract(F.col("_metadata.file_path"), r"lib=([^/]+)/", 1)
+    side = lambda n: F.struct(F.lit(n).alias("read_type"), c(f"{n}_before_filtering.quality_curves.mean").alias("q"))
+    x = raw.select(lib.alias("libid"), F.explode(F.array(side("read1"), side("read2"))).alias("x")).select("libid", "x.*")
+    return x.select("libid", "read_type", F.size("q").alias("n"), c("q")[0].alias("first_value"))
+
+
+def _report(v):
+    """Per-sample report rows made from the calls."""
+    n = lambda g: F.count_if(c("gt") == g)
+    s = v.g_calls.groupBy("sample_id").agg(
+        n("0/0").alias("r"), n("1/1").alias("a"), n("0/1").alias("h"), n("./.").alias("m"),
+        F.count_if(F.length("ref") != F.length("alt")).alias("i"),
+    )
+    psc = F.concat_ws("\t", F.lit("PSC"), F.lit("0"), "sample_id", "r", "a", "h", F.lit("7"), F.lit("3"), "i", F.lit("9.5"), F.lit("0"), F.lit("0"), F.lit("0"), "m")
+    psi = F.concat_ws("\t", F.lit("PSI"), F.lit("0"), "sample_id", "i", "h")
+    lines = F.array(F.lit("# comment"), psc, psi)
+    return _text(s.select(F.explode(lines).alias("value")), v, "stats")
+
+
+@query(
+    "src_variant_report",
+    """WITH s AS (SELECT sample_id, count(*) FILTER (WHERE gt = '0/0') AS n_ref_hom, count(*) FILTER (WHERE gt = '1/1') AS n_non_ref_hom, count(*) FILTER (WHERE gt = '0/1') AS n_hets,
+  CAST(7 AS BIGINT) AS n_ts, CAST(3 AS BIGINT) AS n_tv, count(*) FILTER (WHERE length(ref) <> length(alt)) AS n_indels, count(*) FILTER (WHERE gt = './.') AS n_missing FROM g_calls GROUP BY sample_id)
+SELECT *, n_ref_hom + n_non_ref_hom + n_hets + n_missing AS snp_total, n_ref_hom + n_indels + n_missing AS indel_total, n_indels AS n_frameshift, n_hets AS n_in_frame FROM s""",
+)
+def variant_report(v):
+    return Q.psc_summary(*reports.read_bcfstats(v.spark, _report(v)))
+
+
+@query(
+    "agg_effect_matrix",
+    """SELECT sample_id, count(*) FILTER (WHERE type = 'missense_variant') AS missense_variant, count(*) FILTER (WHERE type = 'stop_gained') AS stop_gained FROM g_db GROUP BY sample_id""",
+)
+def effect_matrix(v):
+    n = v.g_db.groupBy("sample_id", c("type").alias("effect")).agg(F.count("*").alias("n"))
+    body = n.groupBy("sample_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(" , ", "effect", "n", F.lit("x"), F.lit("1%")))), "\n").alias("b")
+    )
+    text = F.concat(F.lit("# Summary table\nName , Value\n\n# Count by effects\n\nType , Count , x , Percent\n"), "b", F.lit("\n\n# Count by region\nmissense_variant , 99999 , x , 1%"))
+    path = _text(body.select(text.alias("value"), c("sample_id").alias("sample")), v, "eff", "sample")
+    rows = reports.read_snpeff_stats(v.spark, path, "effects", r"sample=([^/]+)/")
+    return Q.effect_matrix(rows, ["missense_variant", "stop_gained"])
+
+
+@query(
+    "src_log_values",
+    """SELECT CAST(user_id AS VARCHAR) AS name, round(max(value), 6) AS cv, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY user_id""",
+)
+def log_values(v):
+    u = v.events.groupBy("user_id").agg(F.max("value").alias("m"), F.count("*").alias("n"))
+    text = F.expr("concat('start\nCV error (K=3): ', m, '\nsites: ', n)")
+    path = _text(u.select(text.alias("value"), c("user_id").alias("run")), v, "log", "run")
+    x = reports.read_log_values(v.spark, path, {"cv": r"CV error \(K=\d+\): ([0-9.]+)", "n": r"sites: (\d+)"}, r"run=([^/]+)/")
+    return x.select("name", "cv", "n")
+
+
+@query(
+    "src_accessions",
+    "SELECT chrom, pos, ref AS refer, alt, sample_id, gt, CAST(CASE WHEN gt = './.' THEN 0 ELSE ref_depth END AS INT) AS ref_depth FROM g_calls WHERE gt <> '0/0'",
+)
+def accessions(v):
+    from ..flows import pack_accessions
+
+    line = F.concat_ws("\t", "chrom", "pos", "ref", "alt", "n", "accessions")
+    path = _text(pack_accessions(v.g_calls).select(line.alias("value")), v, "acc")
+    return tables.flat_accessions(tables.read_accessions(v.spark, path)).select("chrom", "pos", "refer", "alt", "sample_id", "gt", "ref_depth")
+
+
+@query(
+    "src_orthology",
+    """SELECT concat('t', CAST(p_partkey AS VARCHAR)) AS transcript_id, p_name AS gene_name, p_type AS gene_description, 'GO:1,GO:2' AS go, '-' AS ko FROM part""",
+)
+def orthology(v):
+    cols = [F.concat(F.lit("t"), "p_partkey"), *[F.lit("x")] * 6, c("p_type"), c("p_name"), F.lit("GO:1,GO:2"), F.lit("x"), F.lit("x"), F.lit("-")]
+    return tables.read_eggnog(v.spark, _text(v.part.select(F.concat_ws("\t", *cols).alias("value")), v, "egg"))
+
+
+@query(
+    "src_interpro",
+    """SELECT concat('t', CAST(p_partkey AS VARCHAR)) AS transcript_id, CASE WHEN p_size % 2 = 0 THEN 'GO:1,GO:2' ELSE '-' END AS go,
+  CASE WHEN p_size % 3 = 0 THEN 'ko00010,ko00020' ELSE '-' END AS ko FROM part""",
+)
+def interpro(v):
+    go = F.when(c("p_size") % 2 == 0, "GO:1|GO:2").otherwise("")
+    ko = F.when(c("p_size") % 3 == 0, "KEGG: 00010+1.1.1.1|Reactome: R-1|KEGG: 00020+2.2").otherwise("")
+    cols = [F.concat(F.lit("t"), "p_partkey"), *[F.lit("x")] * 12, go, ko]
+    return tables.read_interpro(v.spark, _text(v.part.select(F.concat_ws("\t", *cols).alias("value")), v, "ipr"))
+
+
+@query("src_whitespace", "SELECT id, start, p_size AS repeat_size FROM g_intervals")
+def whitespace(v):
+    line = F.concat(F.lit("  "), F.concat_ws("   ", "chrom", "start", "end", "p_size", "id"))
+    path = _text(v.g_intervals.select(line.alias("value")), v, "ws")
+    return tables.read_ws(v.spark, path, {"id": 4, "start": 1, "repeat_size": 3}, {"start": "bigint", "repeat_size": "int"})
+
+
+@query("src_sniffed_table", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_brand FROM part")
+def sniffed(v):
+    path = scratch(v.spark, "mixed")
+    v.part.select("p_partkey", "p_brand").write.csv(path, sep="\t", header=True)
+    return tables.read_table(v.spark, path)
+
+
+@query("src_fastq_tree", "SELECT libid, read_type, CAST(length(path) + 1 AS BIGINT) AS bytes FROM g_files")
+def fastq_tree(v):
+    # the text writer names the files; only folders are ours
+    base = _text(v.g_files.select(c("path").alias("value"), "libid", "read_type", F.monotonically_increasing_id().alias("k")), v, "fq", "libid", "read_type", "k")
+    files = v.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(base).select("path", "length")
+    part = lambda k: F.regexp_extract("path", rf"{k}=([^/]+)/", 1)
+    return files.select(part("libid").alias("libid"), part("read_type").alias("read_type"), c("length").alias("bytes"))
+
+
+# --- sinks -------------------------------------------------------------------
+
+
+@query("snk_table", "SELECT CAST(event_id AS VARCHAR) AS event_id, printf('%.3f', value) AS value FROM events")
+def table(v):
+    path = scratch(v.spark, "out")
+    sinks.write_table(v.events, path, ["event_id", "value"], precision=3, compression="gzip")
+    return v.spark.read.csv(path, sep="\t", header=True)
+
+
+@query("snk_vcf", "SELECT chrom, pos, ref, alt, sample_id, gt FROM g_calls WHERE gt <> './.'")
+def vcf_round_trip(v):
+    return vcf.read_vcf_calls(v.spark, _vcf(v)).filter("gt <> './.'")
+
+
+@query("snk_bed", """SELECT chrom, start, "end" FROM g_intervals""")
+def write_bed(v):
+    path = scratch(v.spark, "bed-out")
+    sinks.write_bed(v.g_intervals, v.g_sizes, path)
+    return tables.read_bed(v.spark, path)
+
+
+@query("snk_by_key", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def write_by(v):
+    path = scratch(v.spark, "by")
+    sinks.write_by(v.events.select("event_id", "event_type"), "event_type", path)
+    return v.spark.read.csv(path, sep="\t", header=True).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("prj_gt_to_vcf", f"SELECT chrom, pos, id, ref, alt, '.' AS qual, 'GT' AS format, max(gt) FILTER (WHERE sample_id = 'S1') AS s1 FROM ({GRID.replace('f.alt, f.sample_id', 'f.alt, concat(f.chrom, chr(95), CAST(f.pos AS VARCHAR)) AS id, f.sample_id')}) x GROUP BY chrom, pos, id, ref, alt")
+def gt_to_vcf(v):
+    return sinks.gt_to_vcf(_wide(v), SAMPLES).select("chrom", "pos", "id", "ref", "alt", "qual", "format", c("S1").alias("s1"))
+
+
+# --- streams -----------------------------------------------------------------
+
+
+def _stream(v, df, name, files=4):
+    """A folder of parquet files and the stream over it."""
+    path = scratch(v.spark, name)
+    df.repartition(files).write.parquet(path)
+    return intake.file_stream(v.spark, path, df.schema, files_per_batch=2)
+
+
+def _run(q):
+    q.awaitTermination()
+
+
+@query("str_intake", STATUS)
+def intake_status(v):
+    out, mark = scratch(v.spark, "status"), scratch(v.spark, "mark")
+    s = _stream(v, v.events.select("user_id", "ts", "event_type"), "events")
+    _run(intake.intake_stream(s, ["user_id"], "ts", out, mark))
+    return intake.latest(v.spark, out)
+
+
+@query("str_site_stats", SITE_STATS)
+def stream_site_stats(v):
+    out, mark = scratch(v.spark, "sites"), scratch(v.spark, "mark")
+    s = _stream(v, v.g_calls.select("chrom", "pos", "ref", "alt", "sample_id", "gt"), "calls")
+    _run(intake.running_site_stats(s, out, mark))
+    return intake.latest(v.spark, out)
+
+
+@query(
+    "str_sample_coverage",
+    "SELECT sample_id, count(*) AS total_count, round(avg(depth), 6) AS mean_coverage FROM g_depth GROUP BY sample_id",
+)
+def stream_coverage(v):
+    out, mark = scratch(v.spark, "cover"), scratch(v.spark, "mark")
+    s = _stream(v, v.g_depth.select("sample_id", "depth"), "depth")
+    _run(intake.running_sample_coverage(s, out, mark))
+    return intake.latest(v.spark, out).select("sample_id", "total_count", "mean_coverage")
+
+
+@query("str_dedup", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
+def stream_dedup(v):
+    out, mark = scratch(v.spark, "dedup"), scratch(v.spark, "mark")
+    s = _stream(v, v.lineitem.select("l_orderkey", "l_linenumber"), "lines")
+    _run(intake.dedup_stream(s, ["l_orderkey", "l_linenumber"], out, mark))
+    return v.spark.read.parquet(out)

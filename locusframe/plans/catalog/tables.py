@@ -346,9 +346,9 @@ def genotype_tables(v):
 @query(
     "flow_phenotype_table",
     """SELECT chrom, pos, 'height' AS trait, concat('G', CAST(pos % 500 AS VARCHAR)) AS gene, sample_id,
-  CASE gt WHEN './.' THEN 'Missing' WHEN '0/0' THEN 'Tall' WHEN '1/1' THEN CASE WHEN ref = alt THEN 'Tall' ELSE 'Short' END
-    ELSE CASE WHEN ref = alt THEN 'Tall' ELSE 'Heterozygous' END END AS phenotype
-  FROM g_calls WHERE pos % 3 = 0 AND length(ref) = 1 AND length(alt) = 1""",
+  CASE gt WHEN './.' THEN 'Missing' WHEN '0/0' THEN 'Tall' WHEN '1/1' THEN CASE WHEN substr(ref, 1, 1) = substr(alt, 1, 1) THEN 'Tall' ELSE 'Short' END
+    ELSE CASE WHEN substr(ref, 1, 1) = substr(alt, 1, 1) THEN 'Tall' ELSE 'Heterozygous' END END AS phenotype
+  FROM g_calls WHERE pos % 3 = 0 AND length(ref) = length(alt)""",
 )
 def phenotype_table(v):
     from ..flows import genotype_tables as tables

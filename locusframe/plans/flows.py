@@ -24,10 +24,9 @@ from ..operators import tracks as K
 def genotype_tables(calls: DataFrame, miss: str = "NN", sep: str = "") -> DataFrame:
     """Long calls with normalised genotype, bases and variant type."""
     short = V.alleles_shorthand(F.col("ref"), F.col("alt"))
-    x = calls.select(
-        "chrom", "pos", F.substring("ref", 1, 1).alias("ref"), short.alias("alt"), "sample_id",
-        G.gt_norm(F.col("gt")).alias("gt"),
-    )
+    # one step at a time: a lambda would pick up the new ``ref`` of the same select
+    x = calls.select("chrom", "pos", "ref", "alt", "sample_id", G.gt_norm(F.col("gt")).alias("gt"))
+    x = x.withColumn("alt", short).withColumn("ref", F.substring("ref", 1, 1))
     return x.withColumns(
         {
             "bases": G.gt_to_seq(F.col("gt"), F.col("ref"), F.col("alt"), miss, sep),

@@ -46,7 +46,9 @@ def read_bcfstats(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame
     return _tagged(lines, "PSC", PSC), _tagged(lines, "PSI", PSI)
 
 
-def read_snpeff_stats(spark: SparkSession, path: str | list[str], section: str = "effects") -> DataFrame:
+def read_snpeff_stats(
+    spark: SparkSession, path: str | list[str], section: str = "effects", name_re: str = _FILE_STEM
+) -> DataFrame:
     """``sample_id, effect, n, percent`` rows of one "Count by …" section."""
     lines = numbered_lines(spark, path)
     w = Window.partitionBy("file").orderBy("line_no")
@@ -56,7 +58,7 @@ def read_snpeff_stats(spark: SparkSession, path: str | list[str], section: str =
     )
     c = F.split("line", r"\s*,\s*")
     return inside.select(
-        F.regexp_extract("file", _FILE_STEM, 1).alias("sample_id"), c[0].alias("effect"),
+        F.regexp_extract("file", name_re, 1).alias("sample_id"), c[0].alias("effect"),
         c[1].try_cast("bigint").alias("n"), F.try_element_at(c, F.lit(3)).alias("percent"),
     ).filter(F.col("n").isNotNull())
 
