@@ -9,8 +9,6 @@ whether that table is broadcast is left to the planner's size check.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -338,26 +336,26 @@ def compare_samples(calls: DataFrame, pairs: DataFrame, by_chrom: bool = False)
     return _pair_report(c, keys)
 
 
-def _block_counts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame] | pd.DataFrame:
+def _block_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pair counts of one block from a sample x site matrix of codes.
+
+    A code is ``1000 a + b`` of the two alleles, or -1 for a missing call.
+    """
     samples, s_ix = np.unique(pdf["sample_id"].to_numpy(dtype=str), return_inverse=True)
-    site_ix = pd.factorize(pd.MultiIndex.from_frame(pdf[SITE]))[0]
-    codes, gts = pd.factorize(pdf["gt"])
-    alleles = [g.split("/") for g in gts]
-    missing = np.array([g in ("./.", ".") for g in gts])
-    hom = np.array([not m and a[0] == a[-1] for a, m in zip(alleles, missing)])
-    grid = np.full((len(samples), site_ix.max() + 1), -1, dtype=np.int32)
-    grid[s_ix, site_ix] = codes
-    present = (grid >= 0).astype(np.float64)
-    # index -1 reads the appended False
-    valid = np.append(~missing, False)[grid].astype(np.float64)
-    homs = np.append(hom, False)[grid].astype(np.float64)
-    equal = np.zeros((len(samples), len(samples)))
+    site_ix = pdf.groupby(SITE, sort=False).ngroup().to_numpy()
+    code = pdf["code"].to_numpy()
+    grid = np.full((len(samples), site_ix.max() + 1), -2, dtype=np.int32)
+    grid[s_ix, site_ix] = code
+    hom_code = (grid >= 0) & (grid // 1000 == grid % 1000)
+    present, valid, homs = ((m).astype(np.float32) for m in (grid > -2, grid >= 0, hom_code))
+    # float32 is exact here: a block has far fewer than 2**24 sites
+    equal = np.zeros((len(samples), len(samples)), dtype=np.float32)
     hom_equal = np.zeros_like(equal)
-    for k in np.flatnonzero(~missing):
-        one = (grid == k).astype(np.float64)
+    for k in np.unique(code[code >= 0]):
+        one = (grid == k).astype(np.float32)
         both = one @ one.T
         equal += both
-        if hom[k]:
+        if k // 1000 == k % 1000:
             hom_equal += both
     i, j = np.triu_indices(len(samples), 1)
     pick = lambda m: m[i, j].astype(np.int64)
@@ -373,18 +371,20 @@ def _block_counts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame] | pd.DataFrame:
     )
 
 
-def compare_all_samples(calls: DataFrame, width: int = 50_000) -> DataFrame:
+def compare_all_samples(calls: DataFrame, width: int = 10_000) -> DataFrame:
     """Agreement of every sample pair.
 
     Joining all pairs at each site would give samples^2 rows per site.  Instead
     each block of ``width`` bases becomes a sample x site matrix whose products
     are the pair counts, so a block emits one row per pair and Spark sums the
-    blocks.
+    blocks.  A block holds at most ``width`` positions of each sample.
     """
     schema = "sample_a string, sample_b string, " + ", ".join(f"{c} bigint" for c in _PAIR_COUNTS)
     block = F.floor(F.col("pos") / width)
-    parts = calls.select(*SITE, "sample_id", "gt", block.alias("block")).groupBy("chrom", "block")
-    out = parts.applyInPandas(_block_counts, schema)
+    part = lambda i: F.split_part("gt", F.lit("/"), F.lit(i)).try_cast("int")
+    code = F.coalesce(part(1) * 1000 + part(2), F.lit(-1))
+    x = calls.select(*SITE, "sample_id", code.alias("code"), block.alias("block"))
+    out = x.groupBy("chrom", "block").applyInPandas(_block_counts, schema)
     c = out.groupBy("sample_a", "sample_b").agg(*[F.sum(x).alias(x) for x in _PAIR_COUNTS])
     return _pair_report(c, ["sample_a", "sample_b"])
 

@@ -309,13 +309,17 @@ def sniffed(v):
     return tables.read_table(v.spark, path)
 
 
-@query("src_fastq_tree", "SELECT libid, read_type, CAST(length(path) + 1 AS BIGINT) AS bytes FROM g_files")
+@query("src_fastq_tree", "SELECT path, libid, read_type FROM g_files")
 def fastq_tree(v):
-    # the text writer names the files; only folders are ours
-    base = _text(v.g_files.select(c("path").alias("value"), "libid", "read_type", F.monotonically_increasing_id().alias("k")), v, "fq", "libid", "read_type", "k")
-    files = v.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(base).select("path", "length")
-    part = lambda k: F.regexp_extract("path", rf"{k}=([^/]+)/", 1)
-    return files.select(part("libid").alias("libid"), part("read_type").alias("read_type"), c("length").alias("bytes"))
+    return tables.fastq_fields(v.g_files.select("path", F.lit(0).alias("length"))).select("path", "libid", "read_type")
+
+
+@query("src_file_inventory", "SELECT sample_id AS folder, CAST(sum(length(id) + 1) AS BIGINT) AS bytes FROM g_calls GROUP BY sample_id")
+def file_inventory(v):
+    base = _text(v.g_calls.select(c("id").alias("value"), "sample_id"), v, "tree", "sample_id")
+    files = tables.file_inventory(v.spark, base, "*.txt")
+    folder = F.regexp_extract("path", r"sample_id=([^/]+)/", 1)
+    return files.groupBy(folder.alias("folder")).agg(F.sum("length").alias("bytes"))
 
 
 # --- sinks -------------------------------------------------------------------
@@ -371,7 +375,7 @@ def intake_status(v):
     out, mark = scratch(v.spark, "status"), scratch(v.spark, "mark")
     s = _stream(v, v.events.select("user_id", "ts", "event_type"), "events")
     _run(intake.intake_stream(s, ["user_id"], "ts", out, mark))
-    return intake.latest(v.spark, out)
+    return intake.latest(v.spark, out, ["user_id"], "ts")
 
 
 @query("str_site_stats", SITE_STATS)
@@ -379,7 +383,7 @@ def stream_site_stats(v):
     out, mark = scratch(v.spark, "sites"), scratch(v.spark, "mark")
     s = _stream(v, v.g_calls.select("chrom", "pos", "ref", "alt", "sample_id", "gt"), "calls")
     _run(intake.running_site_stats(s, out, mark))
-    return intake.latest(v.spark, out)
+    return intake.latest(v.spark, out, C.SITE)
 
 
 @query(
@@ -390,7 +394,7 @@ def stream_coverage(v):
     out, mark = scratch(v.spark, "cover"), scratch(v.spark, "mark")
     s = _stream(v, v.g_depth.select("sample_id", "depth"), "depth")
     _run(intake.running_sample_coverage(s, out, mark))
-    return intake.latest(v.spark, out).select("sample_id", "total_count", "mean_coverage")
+    return intake.latest(v.spark, out, ["sample_id"]).select("sample_id", "total_count", "mean_coverage")
 
 
 @query("str_dedup", "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")

@@ -187,17 +187,25 @@ def read_jdbc(
     )
 
 
-def scan_fastq_tree(spark: SparkSession, base: str) -> DataFrame:
-    """Inventory ``libid, read_type, path, bytes`` of a delivery tree.
-
-    Only paths and lengths are read; the content column is pruned.
-    """
-    files = (
+def file_inventory(spark: SparkSession, base: str, glob: str) -> DataFrame:
+    """``path, length`` of the files below a folder; contents are not read."""
+    return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.fastq.gz").load(base).select("path", "length")
+        .option("pathGlobFilter", glob).load(base).select("path", "length")
     )
+
+
+def fastq_fields(files: DataFrame) -> DataFrame:
+    """``libid, read_type, path, bytes``; files of no known read side are dropped."""
     folder = F.substring_index(F.substring_index("path", "/", -2), "/", 1)
+    # the folder is named Sample_<library> or Sample-<library>
+    lib = X.lib_id(F.regexp_replace(folder, "^Sample_", ""))
     name = F.substring_index("path", "/", -1)
     return files.select(
-        X.lib_id(folder).alias("libid"), X.read_type(name).alias("read_type"), "path", F.col("length").alias("bytes")
+        lib.alias("libid"), X.read_type(name).alias("read_type"), "path", F.col("length").alias("bytes")
     ).filter(F.col("read_type").isNotNull())
+
+
+def scan_fastq_tree(spark: SparkSession, base: str) -> DataFrame:
+    """Inventory of a sequencing delivery tree."""
+    return fastq_fields(file_inventory(spark, base, "*.fastq.gz"))

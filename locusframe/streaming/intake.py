@@ -1,8 +1,8 @@
 """Structured Streaming forms of the file-intake and chunk loops.
 
-Each writer is a ``foreachBatch`` that keeps its state in a table of numbered
-versions: batch n reads version n - 1 and overwrites version n, so a replayed
-batch gives the same result.
+Writers append one folder of changed rows per batch and overwrite it when the
+batch is replayed, so a batch costs what it holds and a lost executor changes
+nothing.  :func:`latest` resolves the newest row of each key.
 """
 
 from __future__ import annotations
@@ -15,23 +15,27 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.calls import site_stats
 from ..operators.coverage import sample_coverage
-from ..operators.tables import upsert_latest
 
 
-def _versioned(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]):
+def newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Newest row per key; aggregated map-side, so a busy key stays small."""
+    rest = [c for c in df.columns if c not in keys]
+    by = F.struct(*order, *[c for c in rest if c not in order])
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_x"))
+    return best.select(*keys, "_x.*").select(*df.columns)
+
+
+def _log(path: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df):
     def save(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/version={n - 1}") if n else batch.limit(0)
-        merge(old, batch).write.mode("overwrite").parquet(f"{path}/version={n}")
+        shape(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return save
 
 
-def latest(spark: SparkSession, path: str) -> DataFrame:
-    """Newest version of a table kept by the writers here."""
+def latest(spark: SparkSession, path: str, keys: list[str], ts: str | None = None) -> DataFrame:
+    """Current table of a writer here: newest by ``ts``, else by batch."""
     df = spark.read.parquet(path)
-    newest = df.agg(F.max("version")).scalar()
-    return df.filter(F.col("version") == newest).drop("version")
+    return newest(df, keys, [ts] if ts else ["batch"]).drop("batch")
 
 
 def _start(stream: DataFrame, save, checkpoint: str, mode: str) -> StreamingQuery:
@@ -49,25 +53,17 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", fi
 
 
 def intake_stream(stream: DataFrame, keys: list[str], ts: str, path: str, checkpoint: str) -> StreamingQuery:
-    """One status row per key, the newest wins, over all files seen so far."""
-    return _start(stream, _versioned(path, lambda old, new: upsert_latest(old, new, keys, ts)), checkpoint, "append")
-
-
-def _replace(keys: list[str]):
-    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-        return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
-
-    return merge
+    """One status row per key and batch, the newest by ``ts``."""
+    return _start(stream, _log(path, lambda b: newest(b, keys, [ts])), checkpoint, "append")
 
 
 def running_site_stats(calls: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Site statistics that are updated as call files arrive."""
-    keys = ["chrom", "pos", "ref", "alt"]
-    return _start(site_stats(calls), _versioned(path, _replace(keys)), checkpoint, "update")
+    return _start(site_stats(calls), _log(path), checkpoint, "update")
 
 
 def running_sample_coverage(depth: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return _start(sample_coverage(depth), _versioned(path, _replace(["sample_id"])), checkpoint, "update")
+    return _start(sample_coverage(depth), _log(path), checkpoint, "update")
 
 
 def dedup_stream(
