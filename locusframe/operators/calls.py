@@ -336,42 +336,47 @@ def compare_samples(calls: DataFrame, pairs: DataFrame, by_chrom: bool = False)
     return _pair_report(c, keys)
 
 
-def _block_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pair counts of one block from a sample x site matrix of codes.
-
-    A code is ``1000 a + b`` of the two alleles, or -1 for a missing call.
-    """
-    samples, s_ix = np.unique(pdf["sample_id"].to_numpy(dtype=str), return_inverse=True)
-    site_ix = pdf.groupby(SITE, sort=False).ngroup().to_numpy()
-    code = pdf["code"].to_numpy()
-    grid = np.full((len(samples), site_ix.max() + 1), -2, dtype=np.int32)
-    grid[s_ix, site_ix] = code
-    hom_code = (grid >= 0) & (grid // 1000 == grid % 1000)
-    present, valid, homs = ((m).astype(np.float32) for m in (grid > -2, grid >= 0, hom_code))
-    # float32 is exact here: a block has far fewer than 2**24 sites
-    equal = np.zeros((len(samples), len(samples)), dtype=np.float32)
-    hom_equal = np.zeros_like(equal)
-    for k in np.unique(code[code >= 0]):
-        one = (grid == k).astype(np.float32)
-        both = one @ one.T
-        equal += both
-        if k // 1000 == k % 1000:
-            hom_equal += both
-    i, j = np.triu_indices(len(samples), 1)
-    pick = lambda m: m[i, j].astype(np.int64)
-    vv, hv, hh = valid @ valid.T, homs @ valid.T, homs @ homs.T
-    return pd.DataFrame(
-        {
-            "sample_a": samples[i], "sample_b": samples[j],
-            "sites": pick(present @ present.T), "valid": pick(vv),
-            "a_hom": pick(hv), "a_het": pick(vv - hv),
-            "b_hom": pick(hv.T), "b_het": pick(vv - hv.T),
-            "both_hom": pick(hh), "equal": pick(equal), "hom_equal": pick(hom_equal),
-        }
-    )
-
-
-def compare_all_samples(calls: DataFrame, width: int = 10_000) -> DataFrame:
+def _block_counter():
+    """The per-block function, nested so that workers need not import this package."""
+
+    def block_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pair counts of one block from a sample x site matrix of codes.
+
+        A code is ``1000 a + b`` of the two alleles, or -1 for a missing call.
+        """
+        samples, s_ix = np.unique(pdf["sample_id"].to_numpy(dtype=str), return_inverse=True)
+        site_ix = pdf.groupby(["pos", "alleles"], sort=False).ngroup().to_numpy()
+        code = pdf["code"].to_numpy()
+        grid = np.full((len(samples), site_ix.max() + 1), -2, dtype=np.int32)
+        grid[s_ix, site_ix] = code
+        hom_code = (grid >= 0) & (grid // 1000 == grid % 1000)
+        present, valid, homs = ((m).astype(np.float32) for m in (grid > -2, grid >= 0, hom_code))
+        # float32 is exact here: a block has far fewer than 2**24 sites
+        equal = np.zeros((len(samples), len(samples)), dtype=np.float32)
+        hom_equal = np.zeros_like(equal)
+        for k in np.unique(code[code >= 0]):
+            one = (grid == k).astype(np.float32)
+            both = one @ one.T
+            equal += both
+            if k // 1000 == k % 1000:
+                hom_equal += both
+        i, j = np.triu_indices(len(samples), 1)
+        pick = lambda m: m[i, j].astype(np.int64)
+        vv, hv, hh = valid @ valid.T, homs @ valid.T, homs @ homs.T
+        return pd.DataFrame(
+            {
+                "sample_a": samples[i], "sample_b": samples[j],
+                "sites": pick(present @ present.T), "valid": pick(vv),
+                "a_hom": pick(hv), "a_het": pick(vv - hv),
+                "b_hom": pick(hv.T), "b_het": pick(vv - hv.T),
+                "both_hom": pick(hh), "equal": pick(equal), "hom_equal": pick(hom_equal),
+            }
+        )
+
+    return block_counts
+
+
+def compare_all_samples(calls: DataFrame, width: int = 20_000) -> DataFrame:
     """Agreement of every sample pair.
 
     Joining all pairs at each site would give samples^2 rows per site.  Instead
@@ -383,8 +388,12 @@ def compare_all_samples(calls: DataFrame, width: int = 10_000) -> DataFrame:
     block = F.floor(F.col("pos") / width)
     part = lambda i: F.split_part("gt", F.lit("/"), F.lit(i)).try_cast("int")
     code = F.coalesce(part(1) * 1000 + part(2), F.lit(-1))
-    x = calls.select(*SITE, "sample_id", code.alias("code"), block.alias("block"))
-    out = x.groupBy("chrom", "block").applyInPandas(_block_counts, schema)
+    # numbers stand for the allele texts; they only tell records of one position apart
+    x = calls.select(
+        "chrom", block.alias("block"), "pos", F.xxhash64("ref", "alt").alias("alleles"),
+        "sample_id", code.alias("code"),
+    )
+    out = x.groupBy("chrom", "block").applyInPandas(_block_counter(), schema)
     c = out.groupBy("sample_a", "sample_b").agg(*[F.sum(x).alias(x) for x in _PAIR_COUNTS])
     return _pair_report(c, ["sample_a", "sample_b"])
 

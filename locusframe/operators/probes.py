@@ -181,7 +181,8 @@ def side_probes(sites: DataFrame, genome: DataFrame, length: int = 120, chunk: i
 
 def tile_sequence(records: DataFrame, width: int = 120) -> DataFrame:
     """Every window of ``width`` bases, step 1; 1-based ``tile``."""
-    step = max(1000, width)
+    # short pieces: cutting a tile walks the piece from its start
+    step = 2 * width
     x = records.filter(F.length("seq") >= width).select("seq_id", _pieces("seq", step).alias("_p"))
     # each piece takes along the start of the next one
     part = F.explode(
@@ -195,6 +196,9 @@ def tile_sequence(records: DataFrame, width: int = 120) -> DataFrame:
         )
     )
     x = x.select("seq_id", part.alias("x")).select("seq_id", "x.*")
+    # the pieces, not their many tiles, are spread over the tasks, so that one
+    # long sequence does not keep a single task busy
+    x = x.repartition("seq_id", "no")
     last = F.least(F.col("own"), F.length("s") - width + 1)
     return (
         x.filter(last >= 1)

@@ -50,7 +50,7 @@ VIEWS: dict[str, str] = {
           concat('T', CAST(l_suppkey % 50 AS STRING)) AS term FROM {lineitem}""",
     "g_seq": """
         SELECT doc_id AS seq_id, source, lang,
-          translate(regexp_replace(lower(text), '[^a-z]', ''/*g*/),
+          translate(regexp_replace(lower(text), '[^a-z]+', ''/*g*/),
             'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM {documents}""",
     # every contig is one document
     "g_contigs": """
