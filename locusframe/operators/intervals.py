@@ -12,38 +12,71 @@ from ..functions.alignment import split_band
 from .ordered import BIN, BIN_WIDTH, carry_neighbour, running, with_bin
 
 RANGE_BIN = 10_000
+# An interval in more than FINE bins goes by bins COARSE times as wide, so that it
+# is copied a bounded number of times whatever its length.
+FINE, COARSE = 16, 256
 
 
-def _bins(start: str, end: str, width: int) -> Column:
-    return F.explode(
-        F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))
-    )
+def _at(pos: str | Column, width: int) -> Column:
+    return F.floor((F.col(pos) if isinstance(pos, str) else pos) / width).cast("bigint")
+
+
+def _cell(tier: int, b: Column) -> Column:
+    return F.struct(F.lit(tier).alias("t"), b.alias("b"))
+
+
+def _cells(tier: int, start: str, end: str, width: int) -> Column:
+    return F.transform(F.sequence(_at(start, width), _at(end, width)), lambda b: _cell(tier, b))
+
+
+def _is_long(start: str, end: str, width: int) -> Column:
+    return _at(end, width) - _at(start, width) > FINE
 
 
 def points_in_regions(
     points: DataFrame, regions: DataFrame, width: int = RANGE_BIN,
     pos: str = "pos", start: str = "start", end: str = "end", how: str = "inner",
+    long_regions: bool = True,
 ) -> DataFrame:
     """Every (point, region) with ``start <= pos <= end`` on one chromosome.
 
-    An equi join on (chrom, bin) with a range residual: a region is repeated
-    once per bin it touches, a point is never repeated, so no pair is doubled.
-    ``how='left_semi'`` keeps the points only.
+    An equi join on (chrom, tier, bin) with a range residual.  A region lies in
+    one tier and is repeated once per bin it touches, so no pair is doubled.  A
+    point looks into both tiers, or, with ``long_regions=False``, into the fine
+    one alone.  ``how='left_semi'`` keeps the points only.
     """
-    r = regions.withColumn("_rb", _bins(start, end, width)).withColumnRenamed("chrom", "_rc")
-    p = points.withColumn("_pb", F.floor(F.col(pos) / width))
+    fine = _cells(0, start, end, width)
+    if long_regions:
+        cells = F.when(_is_long(start, end, width), _cells(1, start, end, width * COARSE)).otherwise(fine)
+        looks = F.explode(F.array(_cell(0, _at(pos, width)), _cell(1, _at(pos, width * COARSE))))
+    else:
+        cells, looks = fine, _cell(0, _at(pos, width))
+    r = regions.withColumn("_x", F.explode(cells)).withColumns({"_rt": F.col("_x.t"), "_rb": F.col("_x.b")})
+    r = r.withColumnRenamed("chrom", "_rc").drop("_x")
+    p = points.withColumn("_y", looks).withColumns({"_pt": F.col("_y.t"), "_pb": F.col("_y.b")}).drop("_y")
     cond = (
-        (F.col("chrom") == F.col("_rc"))
-        & (F.col("_pb") == F.col("_rb"))
+        (F.col("chrom") == F.col("_rc")) & (F.col("_pt") == F.col("_rt")) & (F.col("_pb") == F.col("_rb"))
         & F.col(pos).between(F.col(start), F.col(end))
     )
-    out = p.join(r, cond, how)
-    return out.drop("_pb", "_rb", "_rc")
+    return p.join(r, cond, how).drop("_pt", "_pb", "_rt", "_rb", "_rc")
 
 
-def _side(df: DataFrame, tag: str, start: str, end: str) -> DataFrame:
-    cols = [F.col(c).alias(f"{c}{tag}") for c in df.columns]
-    return df.select(*cols)
+def _in_cells(df: DataFrame, start: str, end: str, width: int, tag: str) -> DataFrame:
+    """Interval rows per cell; a short interval is in both tiers, a long one in
+    the coarse tier."""
+    coarse = _cells(1, start, end, width * COARSE)
+    is_long = _is_long(start, end, width)
+    cells = F.when(is_long, coarse).otherwise(F.concat(_cells(0, start, end, width), coarse))
+    x = df.withColumn(f"_long{tag}", is_long).withColumn("_x", F.explode(cells))
+    return x.withColumns({f"_t{tag}": F.col("_x.t"), f"_c{tag}": F.col("_x.b")}).drop("_x")
+
+
+def _same_cell(ta: str, tb: str) -> Column:
+    """Two short intervals meet in the fine tier, others in the coarse one."""
+    return (
+        (F.col(f"_t{ta}") == F.col(f"_t{tb}")) & (F.col(f"_c{ta}") == F.col(f"_c{tb}"))
+        & ((F.col(f"_t{ta}") == 0) | F.col(f"_long{ta}") | F.col(f"_long{tb}"))
+    )
 
 
 def overlap_join(
@@ -56,17 +89,20 @@ def overlap_join(
     no de-duplication shuffle is needed.
     """
     ta, tb = tags
-    left = _side(a, ta, start, end).withColumn("_ba", _bins(start + ta, end + ta, width))
-    right = _side(b, tb, start, end).withColumn("_bb", _bins(start + tb, end + tb, width))
+    side = lambda df, t: _in_cells(
+        df.select(*[F.col(c).alias(f"{c}{t}") for c in df.columns]), start + t, end + t, width, t
+    )
+    left, right = side(a, ta), side(b, tb)
     s1, e1, s2, e2 = (F.col(c) for c in (start + ta, end + ta, start + tb, end + tb))
     touch = ((s1 <= e2) & (s2 <= e1)) if closed else ((s1 < e2) & (s2 < e1))
+    later = F.greatest(s1, s2)
+    home = F.when(F.col(f"_t{ta}") == 0, _at(later, width)).otherwise(_at(later, width * COARSE))
     cond = (
-        (F.col("chrom" + ta) == F.col("chrom" + tb))
-        & (F.col("_ba") == F.col("_bb"))
-        & touch
-        & (F.col("_ba") == F.floor(F.greatest(s1, s2) / width))
+        (F.col("chrom" + ta) == F.col("chrom" + tb)) & _same_cell(ta, tb) & touch
+        & (F.col(f"_c{ta}") == home)
     )
-    return left.join(right, cond).drop("_ba", "_bb")
+    extra = [f"{c}{t}" for c in ("_t", "_c", "_long") for t in tags]
+    return left.join(right, cond).drop(*extra)
 
 
 def count_overlaps(
@@ -112,6 +148,7 @@ def count_overlaps(
 def map_overlap(
     a: DataFrame, b: DataFrame, value: str, agg: str = "sum", name: str = "mapped",
     width: int = RANGE_BIN, start: str = "start", end: str = "end", pos: str = "pos", key: str = "id",
+    long_regions: bool = False,
 ) -> DataFrame:
     """Sum or count of ``value`` over the points of ``b`` inside each interval.
 
@@ -121,7 +158,7 @@ def map_overlap(
     """
     pts = b.groupBy("chrom", pos).agg(F.sum(value).alias("_v"), F.count(value).alias("_c"))
     iv = a.select("chrom", start, end, key).withColumn(start, F.col(start) + 1)
-    hit = points_in_regions(pts, iv, width, pos=pos, start=start, end=end)
+    hit = points_in_regions(pts, iv, width, pos=pos, start=start, end=end, long_regions=long_regions)
     total = hit.groupBy(key).agg(F.sum("_v" if agg == "sum" else "_c").alias(name))
     return a.join(total, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
@@ -131,24 +168,26 @@ def subtract_overlapping(
     start: str = "start", end: str = "end",
 ) -> DataFrame:
     """Intervals of ``a`` that overlap nothing in ``b``."""
-    left = a.select(
-        F.col("chrom").alias("_c"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(key).alias("_k")
-    ).withColumn("_ba", _bins("_s", "_e", width))
+    left = _in_cells(
+        a.select(F.col("chrom").alias("_k1"), F.col(start).alias("_s1"), F.col(end).alias("_e1"), F.col(key).alias("_id")),
+        "_s1", "_e1", width, "1",
+    )
     merged = merge_intervals(b, start=start, end=end)
-    right = merged.select(
-        F.col("chrom").alias("_c2"), F.col(start).alias("_s2"), F.col(end).alias("_e2")
-    ).withColumn("_bb", _bins("_s2", "_e2", width))
+    right = _in_cells(
+        merged.select(F.col("chrom").alias("_k2"), F.col(start).alias("_s2"), F.col(end).alias("_e2")),
+        "_s2", "_e2", width, "2",
+    )
     cond = (
-        (F.col("_c") == F.col("_c2")) & (F.col("_ba") == F.col("_bb"))
-        & (F.col("_s") < F.col("_e2")) & (F.col("_s2") < F.col("_e"))
+        (F.col("_k1") == F.col("_k2")) & _same_cell("1", "2")
+        & (F.col("_s1") < F.col("_e2")) & (F.col("_s2") < F.col("_e1"))
     )
-    hit = left.join(right, cond, "left_semi").select(F.col("_k").alias(key))
+    hit = left.join(right, cond, "left_semi").select(F.col("_id").alias(key))
     return a.join(hit, key, "left_anti")
 
 
 def merge_intervals(df: DataFrame, start: str = "start", end: str = "end", width: int = BIN_WIDTH) -> DataFrame:
     """Union of intervals per chromosome; touching intervals (``s <= end``) merge."""
-    flat = df.groupBy("chrom", start).agg(F.max(end).alias(end))
+    flat = df.filter(F.col("chrom").isNotNull()).groupBy("chrom", start).agg(F.max(end).alias(end))
     inner = Window.partitionBy("chrom", BIN).orderBy(start)
     before = Window.partitionBy("chrom").orderBy(BIN).rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max(end).over(inner.rowsBetween(Window.unboundedPreceding, -1))

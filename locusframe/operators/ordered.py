@@ -19,14 +19,27 @@ BIN = "_bin"
 Values = Callable[[str], Column]
 
 
-def with_bin(df: DataFrame, pos: str, width: int = BIN_WIDTH, name: str = BIN) -> DataFrame:
-    return df.withColumn(name, F.floor(F.col(pos) / width).cast("bigint"))
+def with_bin(df: DataFrame, pos: str, width: int = BIN_WIDTH) -> DataFrame:
+    """Add the position bin; rows without a position have no place in the order."""
+    binned = df.withColumn(BIN, F.floor(F.col(pos) / width).cast("bigint"))
+    return binned.filter(F.col(BIN).isNotNull())
+
+
+def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Drop null keys up front, as the join with the summary would on one side.
+
+    Both sides then have the same plan below the shuffle and share its output.
+    """
+    for k in keys:
+        df = df.filter(F.col(k).isNotNull())
+    return df
 
 
 def carry_neighbour(
     df: DataFrame, keys: list[str], order: str, cols: list[str], following: bool = False
 ) -> DataFrame:
     """Add ``prev_<col>`` (or ``next_<col>``) of a binned frame."""
+    df = _keyed(df, keys)
     tag = "next" if following else "prev"
     direction = F.desc if following else F.asc
     inner = Window.partitionBy(*keys, BIN).orderBy(direction(order))
@@ -55,6 +68,7 @@ def running(
 
     ``values`` maps an output name to (how, column); all share one summary.
     """
+    df = _keyed(df, keys)
     direction = F.desc if descending else F.asc
     aggs = {"sum": F.sum, "max": F.max, "min": F.min}
     upto = Window.unboundedPreceding
@@ -94,7 +108,7 @@ def assign_runs(
     cols = list(dict.fromkeys([order, *cols]))
     inner = Window.partitionBy(*keys, BIN).orderBy(order)
     outer = Window.partitionBy(*keys).orderBy(BIN)
-    local = with_bin(df, order, width).withColumns(
+    local = _keyed(with_bin(df, order, width), keys).withColumns(
         {"_row": F.row_number().over(inner)} | {f"_p_{c}": F.lag(c).over(inner) for c in cols}
     )
     opened = (F.col("_row") > 1) & opens(F.col, lambda c: F.col(f"_p_{c}"))

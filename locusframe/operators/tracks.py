@@ -46,6 +46,7 @@ def above_quantile(
     """Points inside the windows whose count exceeds the quantile."""
     high = windows.filter(F.col(count) > quantile_nearest(windows, count, q))
     regions = high.select("chrom", "start", "end")
+    # windows of one size: short of the coarse tier when the bin fits them
     return points_in_regions(points, regions, width).drop("start", "end")
 
 
