@@ -16,13 +16,24 @@ def _tail(c: Column) -> Column:
     return F.substr(c, F.lit(2))
 
 
-def allele_shorthand(ref: Column, alt: Column) -> Column:
-    """``del…`` / ``ins…`` without the anchor base, or the alternate base."""
+def allele_shorthand(ref: Column, alt: Column, prefix: bool = False) -> Column:
+    """``del…`` / ``ins…`` without the anchor base, or the alternate base.
+
+    ``prefix`` strips the whole shorter allele where it leads the longer one,
+    instead of one base.
+    """
     lr, la = F.length(ref), F.length(alt)
+
+    def tail(longer: Column, shorter: Column) -> Column:
+        if not prefix:
+            return _tail(longer)
+        rest = F.substr(longer, F.length(shorter) + 1)
+        return F.when(F.startswith(longer, shorter), rest).otherwise(longer)
+
     return (
         F.when(alt == "*", F.concat(F.lit("del"), ref))
-        .when(lr > la, F.concat(F.lit("del"), _tail(ref)))
-        .when(lr < la, F.concat(F.lit("ins"), _tail(alt)))
+        .when(lr > la, F.concat(F.lit("del"), tail(ref, alt)))
+        .when(lr < la, F.concat(F.lit("ins"), tail(alt, ref)))
         .when(lr > 1, F.substring(alt, 1, 1))
         .otherwise(alt)
     )

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import genotype as G
@@ -251,10 +251,18 @@ def polymorphic_sites(calls: DataFrame, p1: list[str], p2: list[str]) -> DataFra
 
 
 def sample_pairs(samples: DataFrame) -> DataFrame:
-    """All unordered pairs of a sample list (the list itself, not the calls)."""
-    a = samples.select(F.col("sample_id").alias("sample_a")).distinct()
-    b = samples.select(F.col("sample_id").alias("sample_b")).distinct()
-    return a.join(b, F.col("sample_a") < F.col("sample_b"))
+    """All unordered pairs of a sample list (the list itself, not the calls).
+
+    Each sample names the ordinals behind it and meets them by an equi join.
+    """
+    names = samples.select("sample_id").distinct()
+    # one row per sample
+    ids = names.withColumn("n", F.row_number().over(Window.orderBy("sample_id")))
+    total = names.agg(F.count("*").cast("int")).scalar()
+    a = ids.filter(F.col("n") < total).select(
+        F.col("sample_id").alias("sample_a"), F.explode(F.sequence(F.col("n") + 1, total)).alias("n")
+    )
+    return a.join(ids.withColumnRenamed("sample_id", "sample_b"), "n").select("sample_a", "sample_b")
 
 
 def _families(table: DataFrame, roles: dict[str, str]) -> DataFrame:

@@ -43,8 +43,11 @@ def points_in_regions(
     An equi join on (chrom, tier, bin) with a range residual.  A region lies in
     one tier and is repeated once per bin it touches, so no pair is doubled.  A
     point looks into both tiers, or, with ``long_regions=False``, into the fine
-    one alone.  ``how='left_semi'`` keeps the points only.
+    one alone.  ``how='left_semi'`` keeps the points only; the regions are merged
+    for it, as a point may then meet just one.
     """
+    if how == "left_semi":
+        regions = merge_intervals(regions, start=start, end=end)
     fine = _cells(0, start, end, width)
     if long_regions:
         cells = F.when(_is_long(start, end, width), _cells(1, start, end, width * COARSE)).otherwise(fine)

@@ -141,3 +141,18 @@ def numbered(
     """1-based row number per key without one task per key."""
     df = with_bin(df, pos or order, width)
     return running(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}).drop(BIN)
+
+
+def apply_per_bin(
+    df: DataFrame, fn: Callable, schema: str, width: int = BIN_WIDTH, keys: list[str] = ["chrom"],
+    pos: str = "pos",
+) -> DataFrame:
+    """A user's own pandas function on each (key, position bin).
+
+    Bins, not whole chromosomes, so that no task holds a chromosome; the
+    function must not look across a bin border.
+    """
+    cols = df.columns
+    parts = with_bin(df, pos, width).groupBy(*keys, BIN)
+    # ``fn`` sees the frame without the bin column
+    return parts.applyInPandas(lambda pdf: fn(pdf[cols]), schema)

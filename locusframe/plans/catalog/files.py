@@ -80,13 +80,13 @@ def vcf_coded(v):
 @query("src_vcf_depth", "SELECT chrom, pos, ref, alt, sample_id, gt, CAST(ref_depth + alt_depth AS INT) AS depth, CAST(ref_depth AS INT) AS ref_depth, CAST(alt_depth AS INT) AS alt_depth FROM g_calls")
 def vcf_depth(v):
     # one sample per site group keeps the body long: GT:AD:DP
-    head = v.spark.createDataFrame([("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t",)], "h string")
+    head = F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t")
     field = F.concat_ws(":", F.replace("gt", F.lit("/"), F.lit("|")), F.concat_ws(",", "ref_depth", "alt_depth"), (c("ref_depth") + c("alt_depth")).cast("string"))
     body = v.g_calls.select(
         "sample_id", F.lit(1).alias("k"),
         F.concat_ws("\t", "chrom", "pos", "id", "ref", "alt", F.lit("."), F.lit("."), F.lit("."), F.lit("GT:AD:DP"), field).alias("value"),
     )
-    heads = v.g_calls.select("sample_id").distinct().join(head, F.lit(True)).select("sample_id", F.lit(0).alias("k"), F.concat("h", "sample_id").alias("value"))
+    heads = v.g_calls.select("sample_id").distinct().select("sample_id", F.lit(0).alias("k"), F.concat(head, "sample_id").alias("value"))
     # one file per sample
     lines = heads.unionByName(body).repartition(8, "sample_id").sortWithinPartitions("sample_id", "k")
     path = _text(lines.select("value", c("sample_id").alias("part")), v, "depth-vcf", "part")

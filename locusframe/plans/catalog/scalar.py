@@ -205,10 +205,9 @@ SELECT f.gt AS f, m.gt AS m, k.gt AS k, EXISTS (SELECT 1 FROM (VALUES ('0/0','0'
 FROM g f, g m, g k""",
 )
 def mendel_ok(v):
-    g = v.g_calls.filter("gt <> './.'").select("gt").distinct()
-    # three genotypes at most on each side
-    pick = lambda n: g.select(c("gt").alias(n))
-    x = pick("f").join(pick("m"), F.lit(True)).join(pick("k"), F.lit(True))
+    g = v.g_calls.filter("gt <> './.'").select(c("gt").alias("f")).distinct()
+    other = F.array(*[F.lit(x) for x in ("0/0", "0/1", "1/1")])
+    x = g.withColumn("m", F.explode(other)).withColumn("k", F.explode(other))
     return x.select("f", "m", "k", G.mendel_ok(c("f"), c("m"), c("k")).alias("ok"))
 
 
@@ -494,3 +493,28 @@ def quality_json(v):
 def split_band(v):
     b = A.split_band(c("o_totalprice") * 2000)
     return v.orders.filter("o_totalprice > 0").select("o_orderkey", b["lo"].alias("lo"), b["hi"].alias("hi"))
+
+
+@query(
+    "udf_sql_functions",
+    """SELECT id, sample_id, gt, CASE gt WHEN './.' THEN 'MISS' WHEN '0/0' THEN 'REF' WHEN '0/1' THEN 'HET' ELSE 'ALT' END AS cls,
+  concat(chrom, '_', CAST(pos AS VARCHAR)) AS sid, concat(ref, alt) IN ('GA', 'CT') AS ems FROM g_calls""",
+)
+def sql_functions(v):
+    from ...functions import sql
+
+    sql.register(v.spark)
+    return _raw(v).selectExpr(
+        "id", "sample_id", "gt_norm(raw) AS gt", "gt_class4(gt_norm(raw)) AS cls", "site_id(chrom, pos) AS sid", "is_ems(ref, alt) AS ems"
+    )
+
+
+@query("udf_per_bin", "SELECT chrom, pos, id, CAST(pos % 7 AS BIGINT) AS k FROM g_sites")
+def per_bin(v):
+    from ...operators.ordered import apply_per_bin
+
+    def mark(pdf):
+        return pdf.assign(k=pdf["pos"] % 7)
+
+    x = v.g_sites.select("chrom", "pos", "id")
+    return apply_per_bin(x, mark, "chrom string, pos bigint, id string, k bigint")

@@ -61,6 +61,12 @@ def rename_keys(v):
     return B.rename_keys(v.g_sites.select("chrom", "pos", "id"), m, "chrom")
 
 
+@query("jn_rename_keys_inner", "SELECT concat('NC_', substr(chrom, 4)) AS chrom, pos, id FROM g_sites WHERE chrom IN ('chr1', 'chr2')")
+def rename_keys_inner(v):
+    m = v.g_sizes.filter("rank <= 2").select(c("chrom").alias("old"), F.concat(F.lit("NC_"), "rank").alias("new"))
+    return B.rename_keys(v.g_sites.select("chrom", "pos", "id"), m, "chrom", keep=False)
+
+
 @query("prj_rename_map", "SELECT p_partkey AS id, p_name AS description, CASE WHEN p_size > 25 THEN p_brand ELSE '--' END AS pfam FROM part")
 def rename_map(v):
     x = v.part.withColumn("p_brand", F.when(c("p_size") > 25, c("p_brand")))

@@ -154,7 +154,7 @@ def test_segment_overlaps(interval_df, intervals):
     assert tuples(got, "chrom", "start", "end", "labels") == sorted(want)
 
 
-@pytest.mark.parametrize("width", [10, 10_000])
+@pytest.mark.parametrize("width", [3, 10, 10_000])
 def test_overlaps_and_counts(interval_df, intervals, width):
     pairs, counts = [], []
     for rows in by_chrom(intervals).values():
@@ -172,8 +172,11 @@ def test_points_in_regions(site_df, interval_df, sites, intervals):
     )
     assert tuples(I.points_in_regions(site_df.drop("id"), interval_df, 16), "pos", "id") == want
     inside = {(r[0], p) for r in intervals for p, _ in sites[r[0]] if r[1] <= p <= r[2]}
-    semi = I.points_in_regions(site_df, interval_df.drop("id"), 16, how="left_semi")
-    assert tuples(semi, "chrom", "pos") == sorted(inside)
+    # bins of 3 make the longer regions go by the coarse tier
+    for width in (3, 16):
+        semi = I.points_in_regions(site_df, interval_df.drop("id"), width, how="left_semi")
+        assert tuples(semi, "chrom", "pos") == sorted(inside)
+        assert tuples(I.points_in_regions(site_df.drop("id"), interval_df, width), "pos", "id") == want
 
 
 def test_split_then_restore(spark, interval_df):

@@ -25,6 +25,14 @@ def test_indel_length(spark):
     assert values(spark, rows, "r string, a string", V.indel_length(c("r"), c("a"))) == [2, 1, 3, 0]
 
 
+def test_allele_shorthand(spark):
+    rows = [("ATG", "A"), ("A", "ATG"), ("ATG", "AT"), ("A", "G"), ("AC", "*"), ("GC", "GTC")]
+    one = values(spark, rows, "r string, a string", V.allele_shorthand(c("r"), c("a")))
+    assert one == ["delTG", "insTG", "delTG", "G", "delAC", "insTC"]
+    whole = values(spark, rows, "r string, a string", V.allele_shorthand(c("r"), c("a"), prefix=True))
+    assert whole == ["delTG", "insTG", "delG", "G", "delAC", "insGTC"]
+
+
 CLASSES = {
     "SNP": ["A/T", "G/C", "A/G,T"], "MNP": ["AA/TT", "GC/CG"],
     "DEL": ["A/-", "A/del", "AT/A", "ATG/A", "ATGC/AT", "AT/A,ATG"],
