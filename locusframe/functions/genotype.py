@@ -72,11 +72,12 @@ def gt_to_seq(
     A homozygous indel is written once and a pair with a multi-base allele is
     joined by ``/``; ``alts`` is the comma list of alternate alleles.
     """
-    pool = F.split(F.concat_ws(",", ref, alts), ",")
 
     def base(part: Column) -> Column:
-        return F.when(part == ".", "N").otherwise(
-            F.try_element_at(pool, part.try_cast("int") + 1)
+        nth = part.try_cast("int")
+        return (
+            F.when(part == ".", "N").when(nth == 0, ref)
+            .when(nth > 0, F.nullif(F.split_part(alts, F.lit(","), nth), F.lit("")))
         )
 
     a, b = base(_first(gt)), base(_second(gt))

@@ -40,23 +40,22 @@ def allele_shorthand(ref: Column, alt: Column, prefix: bool = False) -> Column:
 
 
 def alleles_shorthand(ref: Column, alts: Column) -> Column:
-    """Shorthand of a comma list of alternates."""
-    return F.array_join(
+    """Shorthand of a comma list of alternates; one alternate skips the list."""
+    many = F.array_join(
         F.transform(F.split(alts, ","), lambda a: allele_shorthand(ref, a)), ","
     )
+    return F.when(alts.contains(","), many).otherwise(allele_shorthand(ref, alts))
+
+
+def _kind(short: Column) -> Column:
+    return F.when(short.contains("ins"), "INS").when(short.contains("del"), "DEL").otherwise("SNP")
 
 
 def variant_class(alts: Column) -> Column:
     """SNP / INS / DEL / MIXED from a comma list of shorthands."""
-    kinds = F.array_distinct(
-        F.transform(
-            F.split(alts, ","),
-            lambda a: F.when(a.contains("ins"), "INS")
-            .when(a.contains("del"), "DEL")
-            .otherwise("SNP"),
-        )
-    )
-    return F.when(F.size(kinds) == 1, F.element_at(kinds, 1)).otherwise("MIXED")
+    kinds = F.array_distinct(F.transform(F.split(alts, ","), _kind))
+    many = F.when(F.size(kinds) == 1, F.element_at(kinds, 1)).otherwise("MIXED")
+    return F.when(alts.contains(","), many).otherwise(_kind(alts))
 
 
 def snp_ins_del(ref: Column, alt: Column) -> Column:

@@ -230,8 +230,9 @@ def array_call(v):
 )
 def phenotype(v):
     x = v.g_calls.filter(f"{SNP} AND ref <> alt")
-    bases = G.gt_to_seq(c("gt"), c("ref"), c("alt"), "NN")
-    return x.select("id", "sample_id", G.phenotype(c("ref"), c("alt"), F.lit("tall"), F.lit("SHORT"), bases).alias("phenotype"))
+    # a column of its own, as the phenotype reads it several times
+    x = x.withColumn("bases", G.gt_to_seq(c("gt"), c("ref"), c("alt"), "NN"))
+    return x.select("id", "sample_id", G.phenotype(c("ref"), c("alt"), F.lit("tall"), F.lit("SHORT"), c("bases")).alias("phenotype"))
 
 
 @query(
