@@ -64,22 +64,27 @@ def points_in_regions(
     return p.join(r, cond, how).drop("_pt", "_pb", "_rt", "_rb", "_rc")
 
 
-def _in_cells(df: DataFrame, start: str, end: str, width: int, tag: str) -> DataFrame:
-    """Interval rows per cell; a short interval is in both tiers, a long one in
-    the coarse tier."""
-    coarse = _cells(1, start, end, width * COARSE)
+def _in_cells(df: DataFrame, start: str, end: str, width: int, tag: str, left: bool) -> DataFrame:
+    """Interval rows per cell.
+
+    Two short intervals meet in tier 0, in fine bins.  A long one on the left
+    meets any on the right in tier 1, a short one on the left meets a long one
+    in tier 2, both in coarse bins.  Every pair has one tier, and short pairs
+    never meet in a coarse bin.
+    """
+    wide = width * COARSE
+    fine, first, second = (_cells(t, start, end, w) for t, w in ((0, width), (1, wide), (2, wide)))
     is_long = _is_long(start, end, width)
-    cells = F.when(is_long, coarse).otherwise(F.concat(_cells(0, start, end, width), coarse))
-    x = df.withColumn(f"_long{tag}", is_long).withColumn("_x", F.explode(cells))
+    if left:
+        cells = F.when(is_long, first).otherwise(F.concat(fine, second))
+    else:
+        cells = F.when(is_long, F.concat(first, second)).otherwise(F.concat(fine, first))
+    x = df.withColumn("_x", F.explode(cells))
     return x.withColumns({f"_t{tag}": F.col("_x.t"), f"_c{tag}": F.col("_x.b")}).drop("_x")
 
 
 def _same_cell(ta: str, tb: str) -> Column:
-    """Two short intervals meet in the fine tier, others in the coarse one."""
-    return (
-        (F.col(f"_t{ta}") == F.col(f"_t{tb}")) & (F.col(f"_c{ta}") == F.col(f"_c{tb}"))
-        & ((F.col(f"_t{ta}") == 0) | F.col(f"_long{ta}") | F.col(f"_long{tb}"))
-    )
+    return (F.col(f"_t{ta}") == F.col(f"_t{tb}")) & (F.col(f"_c{ta}") == F.col(f"_c{tb}"))
 
 
 def overlap_join(
@@ -93,7 +98,7 @@ def overlap_join(
     """
     ta, tb = tags
     side = lambda df, t: _in_cells(
-        df.select(*[F.col(c).alias(f"{c}{t}") for c in df.columns]), start + t, end + t, width, t
+        df.select(*[F.col(c).alias(f"{c}{t}") for c in df.columns]), start + t, end + t, width, t, t == ta
     )
     left, right = side(a, ta), side(b, tb)
     s1, e1, s2, e2 = (F.col(c) for c in (start + ta, end + ta, start + tb, end + tb))
@@ -104,7 +109,7 @@ def overlap_join(
         (F.col("chrom" + ta) == F.col("chrom" + tb)) & _same_cell(ta, tb) & touch
         & (F.col(f"_c{ta}") == home)
     )
-    extra = [f"{c}{t}" for c in ("_t", "_c", "_long") for t in tags]
+    extra = [f"{c}{t}" for c in ("_t", "_c") for t in tags]
     return left.join(right, cond).drop(*extra)
 
 
@@ -173,12 +178,12 @@ def subtract_overlapping(
     """Intervals of ``a`` that overlap nothing in ``b``."""
     left = _in_cells(
         a.select(F.col("chrom").alias("_k1"), F.col(start).alias("_s1"), F.col(end).alias("_e1"), F.col(key).alias("_id")),
-        "_s1", "_e1", width, "1",
+        "_s1", "_e1", width, "1", left=True,
     )
     merged = merge_intervals(b, start=start, end=end)
     right = _in_cells(
         merged.select(F.col("chrom").alias("_k2"), F.col(start).alias("_s2"), F.col(end).alias("_e2")),
-        "_s2", "_e2", width, "2",
+        "_s2", "_e2", width, "2", left=False,
     )
     cond = (
         (F.col("_k1") == F.col("_k2")) & _same_cell("1", "2")

@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     conf = spark.sparkContext.getConf().get(_KEY, None) or spark.conf.get(_KEY, None)
     if conf:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(conf)
         return conf
     made = spark.conf.get("locusframe.local.dir", None)
     if made is None:

@@ -179,6 +179,14 @@ def test_points_in_regions(site_df, interval_df, sites, intervals):
         assert tuples(I.points_in_regions(site_df.drop("id"), interval_df, width), "pos", "id") == want
 
 
+def test_subtract_overlapping(spark, interval_df, intervals):
+    genes = [(c, s + 11, s + 13) for c, s, _, i in intervals if i.endswith("7")] + [("c3", 0, 2000)]
+    df = spark.createDataFrame(genes, "chrom string, start bigint, end bigint")
+    want = sorted((r[3],) for r in intervals if not any(g[0] == r[0] and r[1] < g[2] and g[1] < r[2] for g in genes))
+    for width in (3, 50):
+        assert tuples(I.subtract_overlapping(interval_df, df, "id", width), "id") == want
+
+
 def test_split_then_restore(spark, interval_df):
     pieces = spark.createDataFrame(
         [(f"c{i}", s, e, f"c{i}{t}") for i in range(CASES) for s, e, t in ((0, 300, "a"), (300, 900, "b"))],
