@@ -179,12 +179,12 @@ def side_probes(sites: DataFrame, genome: DataFrame, length: int = 120, chunk: i
 # --- tiles -------------------------------------------------------------------
 
 
-def tile_sequence(records: DataFrame, width: int = 120) -> DataFrame:
-    """Every window of ``width`` bases, step 1; 1-based ``tile``."""
+def _tile_pieces(records: DataFrame, width: int) -> DataFrame:
+    """Pieces ``seq_id, no, s, last``: piece ``no`` holds the ``last`` tiles that
+    start in it and takes along the bases they reach into the next one."""
     # short pieces: cutting a tile walks the piece from its start
     step = 2 * width
     x = records.filter(F.length("seq") >= width).select("seq_id", _pieces("seq", step).alias("_p"))
-    # each piece takes along the start of the next one
     part = F.explode(
         F.transform(
             "_p",
@@ -196,17 +196,18 @@ def tile_sequence(records: DataFrame, width: int = 120) -> DataFrame:
         )
     )
     x = x.select("seq_id", part.alias("x")).select("seq_id", "x.*")
+    x = x.withColumn("last", F.least(F.col("own"), F.length("s") - width + 1)).drop("own")
     # the pieces, not their many tiles, are spread over the tasks, so that one
     # long sequence does not keep a single task busy
-    x = x.repartition("seq_id", "no")
-    last = F.least(F.col("own"), F.length("s") - width + 1)
-    return (
-        x.filter(last >= 1)
-        .select("seq_id", "no", "s", F.explode(F.sequence(F.lit(1), last)).alias("i"))
-        .select(
-            "seq_id", (F.col("no") * step + F.col("i")).alias("tile"),
-            F.substr("s", F.col("i"), F.lit(width)).alias("tile_seq"),
-        )
+    return x.filter(F.col("last") >= 1).repartition("seq_id", "no")
+
+
+def tile_sequence(records: DataFrame, width: int = 120) -> DataFrame:
+    """Every window of ``width`` bases, step 1; 1-based ``tile``."""
+    x = _tile_pieces(records, width).select("seq_id", "no", "s", F.explode(F.sequence(F.lit(1), "last")).alias("i"))
+    return x.select(
+        "seq_id", (F.col("no") * (2 * width) + F.col("i")).alias("tile"),
+        F.substr("s", F.col("i"), F.lit(width)).alias("tile_seq"),
     )
 
 
@@ -215,10 +216,34 @@ def gc_percent(seq: Column) -> Column:
 
 
 def best_gc_tile(records: DataFrame, width: int = 120) -> DataFrame:
-    """Tile nearest to 50 % GC, the first of equals."""
-    t = tile_sequence(records, width).withColumn("gc", gc_percent(F.col("tile_seq")))
-    best = F.min_by(F.struct("tile", "tile_seq", "gc"), F.struct(F.abs(F.col("gc") - 50), F.col("tile")))
-    return t.groupBy("seq_id").agg(best.alias("b")).select("seq_id", "b.*")
+    """Tile nearest to 50 % GC, the first of equals.
+
+    Each piece slides over its tiles with the GC count, the best distance and
+    its tile as state, so tiles are never written out as rows.
+    """
+    is_gc = lambda b: F.upper(b).isin("G", "C", "S").cast("int")
+    x = _tile_pieces(records, width).withColumn("_g", F.transform(F.split("s", ""), is_gc))
+    x = x.withColumn("_n", F.aggregate(F.slice("_g", 1, width), F.lit(0), lambda a, b: a + b))
+    # twice the distance from half the width, a whole number
+    far = lambda n: F.abs(2 * n - width)
+    state = lambda n, d, i: F.struct(n.alias("n"), d.alias("d"), i.alias("i"))
+
+    def slide(acc, i):
+        n = acc["n"] - F.element_at("_g", i) + F.element_at("_g", i + width)
+        nearer = far(n) < acc["d"]
+        return state(n, F.least(far(n), acc["d"]), F.when(nearer, i + 1).otherwise(acc["i"]))
+
+    moves = F.when(F.col("last") > 1, F.sequence(F.lit(1), F.col("last") - 1)).otherwise(
+        F.array().cast("array<int>")
+    )
+    first = state(F.col("_n"), far(F.col("_n")), F.lit(1))
+    x = x.withColumn("_b", F.aggregate(moves, first, slide))
+    tile = F.struct(
+        (F.col("no") * (2 * width) + F.col("_b.i")).alias("tile"),
+        F.substr("s", F.col("_b.i"), F.lit(width)).alias("tile_seq"),
+    )
+    best = x.groupBy("seq_id").agg(F.min_by(tile, F.struct("_b.d", "no")).alias("b"))
+    return best.select("seq_id", "b.*").withColumn("gc", gc_percent(F.col("tile_seq")))
 
 
 def select_tiles(records: DataFrame, width: int = 120, long: int = 200) -> DataFrame:

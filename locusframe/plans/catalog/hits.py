@@ -243,15 +243,30 @@ def side_probes(v):
 # --- tiles -------------------------------------------------------------------
 
 
+TILES = """(SELECT seq_id, i, substr(seq, CAST(i AS INT), 120) AS t
+  FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 118)) AS i FROM g_seq WHERE length(seq) >= 120) a)"""
+
+
 @query(
     "win_tile_sequence",
-    """SELECT seq_id, count(*) AS tiles, min(gc) AS min_gc, max(gc) AS max_gc FROM (
-  SELECT seq_id, CAST(length(t) - length(replace(replace(t, 'G', ''), 'C', '')) AS INT) AS gc FROM (
-    SELECT seq_id, substr(seq, CAST(i AS INT), 120) AS t FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 118)) AS i FROM g_seq WHERE length(seq) >= 120) a) b) d GROUP BY seq_id""",
+    f"SELECT seq_id, count(*) AS tiles, min(t) AS least_tile, max(t) AS greatest_tile, CAST(sum(i) AS BIGINT) AS starts FROM {TILES} b GROUP BY seq_id",
 )
 def tile_sequence(v):
-    t = P.tile_sequence(v.g_seq.select("seq_id", "seq"), 120).withColumn("gc", S.gc_count(c("tile_seq")))
-    return t.groupBy("seq_id").agg(F.count("*").alias("tiles"), F.min("gc").alias("min_gc"), F.max("gc").alias("max_gc"))
+    t = P.tile_sequence(v.g_seq.select("seq_id", "seq"), 120)
+    return t.groupBy("seq_id").agg(
+        F.count("*").alias("tiles"), F.min("tile_seq").alias("least_tile"), F.max("tile_seq").alias("greatest_tile"),
+        F.sum("tile").alias("starts"),
+    )
+
+
+@query(
+    "win_best_gc_tile",
+    f"""WITH g AS (SELECT *, length(t) - length(replace(replace(t, 'G', ''), 'C', '')) AS gc FROM {TILES} b),
+k AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY abs(2 * gc - 120), i) AS r FROM g)
+SELECT seq_id, CAST(i AS INT) AS tile, t AS tile_seq, round(100.0 * gc / 120, 6) AS gc FROM k WHERE r = 1""",
+)
+def best_gc_tile(v):
+    return P.best_gc_tile(v.g_seq.select("seq_id", "seq"), 120)
 
 
 @query(

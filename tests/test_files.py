@@ -76,6 +76,18 @@ def test_tiles(spark):
     assert tuples(P.tile_sequence(df, 5), "seq_id", "tile", "tile_seq") == want
 
 
+def test_best_gc_tile(spark):
+    rng = random.Random(9)
+    seqs = {i: "".join(rng.choice("ACGTcgN") for _ in range(n)) for i, n in enumerate([6, 7, 12, 13, 57, 300])}
+    df = spark.createDataFrame(list(seqs.items()), "seq_id int, seq string")
+    want = []
+    for i, s in seqs.items():
+        gc = lambda t: sum(x in "GC" for x in s[t : t + 6].upper())
+        t = min(range(len(s) - 5), key=lambda t: (abs(2 * gc(t) - 6), t))
+        want.append((i, t + 1, s[t : t + 6]))
+    assert tuples(P.best_gc_tile(df, 6), "seq_id", "tile", "tile_seq") == want
+
+
 def test_fastq_tree(spark, tmp_path):
     for d, names in {"Sample_X-L12": ["a_R1.fastq.gz", "a_R2.fastq.gz", "a.fastq.gz"], "Sample_Y-L7-2": ["b_1.fastq.gz"]}.items():
         (tmp_path / d).mkdir()
