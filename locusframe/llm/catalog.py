@@ -50,3 +50,38 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = repeats(table(spark, sf_dir, "documents"), window=20)
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
+
+
+_OP8_SQL = r"""
+with recursive w as (
+  select doc_id, string_split_regex(
+    trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    '[\x20\x09-\x0D]+') as ws from documents
+), d as (select doc_id, case when ws = [''] then [] else ws end as ws from w
+), s as (
+  select distinct doc_id, array_to_string(ws[p:p + 4], ' ') as g
+  from (select doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, least(len(ws), 1)))) as p from d)
+), n as (select doc_id, count(*) as n from s group by 1
+), both as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+), link as (
+  select x, y from both join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)
+), reach as (
+  select doc_id as x, doc_id as y from documents
+  union
+  select r.x, l.y from reach r join link l on r.y = l.x
+), comp as (select x as doc_id, min(y) as component_id from reach group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from d join comp using (doc_id) left join n using (doc_id)
+"""
+
+
+@query("op8_minhash_near_dedup", _OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document under links of a similarity of 0.85 or more."""
+    from .near import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept")
+    )
