@@ -11,7 +11,7 @@ and about one word in six is one.
 1. One scan names the marks (`mark_texts`); Spark counts each name, with partial
    counts before the shuffle.
 2. Texts with a mark that occurs twice are read again; every window around such
-   a mark gets a 128-bit hash, and Spark keeps the first place of each.
+   a mark gets a hash of 96 bits, and Spark keeps the first place of each.
 3. Windows that are not the first of their hash are removed.
 
 No step needs the rows of one name together: both aggregates combine before the
@@ -156,7 +156,7 @@ def window_hashes(window: int):
                 part = slice(lo, lo + 50_000)
                 yield pa.record_batch(
                     [
-                        pa.array(rows[0, part]), pa.array(rows[1, part]), b.column("id").take(pa.array(ids[part])),
+                        pa.array(rows[0, part]), pa.array((rows[1, part] >> 32).astype(np.int32)), b.column("id").take(pa.array(ids[part])),
                         b.column("version").take(pa.array(ids[part])), pa.array(rows[2, part].astype(np.int32)),
                     ],
                     ["low", "high", "id", "version", "start"],
@@ -214,14 +214,21 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
         ident(id_col).alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     ).withColumn("version", F.xxhash64("text"))
     marked = stored(texts.mapInArrow(mark_texts(window, digest), _MARKED), "marks")
+    # a shuffled name has as many bits as the number of marks asks for; the few that then
+    # coincide by chance only add windows to the next step
+    total = marked.agg(F.sum(F.size("names"))).first()[0] or 0
+    keep = min(64, total.bit_length() + 8)
     places = marked.select("id", F.explode(F.arrays_zip("names", "places")).alias("m")).select(
-        "id", F.col("m.names").alias("name"), F.col("m.places").alias("place")
+        "id", F.shiftrightunsigned("m.names", 64 - keep).alias("name"), F.col("m.places").alias("place")
     )
     twice = stored(places.groupBy("name").count().filter("count > 1").select("name"), "twice")
     held = places.join(twice, "name", "left_semi").groupBy("id").agg(F.collect_set("place").alias("places"))
-    touched = stored(texts.join(held, "id"), "touched")
+    # the version only has to tell rows of one id apart
+    rows = marked.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    held = held.join(rows, "id", "left")
+    touched = stored(texts.join(held, "id").withColumn("version", F.when(F.col("n").isNull(), 0).otherwise(F.col("version"))).drop("n"), "touched")
     first = (
-        touched.mapInArrow(window_hashes(window), "low bigint, high bigint, id bigint, version bigint, start int")
+        touched.mapInArrow(window_hashes(window), "low bigint, high int, id bigint, version bigint, start int")
         .groupBy("low", "high")
         .agg(F.min(F.struct("id", "version", "start")).alias("f"))
         .groupBy(F.col("f.id").alias("id"), F.col("f.version").alias("version"))
@@ -234,8 +241,9 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
         "struck",
     )
     struck = done.filter("n_removed > 0").withColumn("sha", F.sha2("kept_text", 256))
-    once = struck.select("id", "version", "n_removed", "kept_text", "sha").dropDuplicates(["id", "version"])
-    return marked.select("id", "version", "n_words", F.col("sha").alias("_sha")).join(once, ["id", "version"], "left").select(
+    once = struck.select("id", F.col("version").alias("_v"), "n_removed", "kept_text", "sha").dropDuplicates(["id", "_v"])
+    same = (F.col("_v") == 0) | (F.col("_v") == F.col("version"))
+    return marked.select("id", "version", "n_words", F.col("sha").alias("_sha")).join(once, (marked["id"] == once["id"]) & same, "left").drop(once["id"]).select(
         "id", "version", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), "kept_text",
         F.coalesce("sha", "_sha").alias("sha"),
     )
