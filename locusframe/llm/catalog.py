@@ -62,10 +62,10 @@ with recursive w as (
   select distinct doc_id, array_to_string(ws[p:p + 4], ' ') as g
   from (select doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, least(len(ws), 1)))) as p from d)
 ), n as (select doc_id, count(*) as n from s group by 1
-), both as (
+), pair as (
   select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
 ), link as (
-  select x, y from both join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)
+  select x, y from pair join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)
 ), reach as (
   select doc_id as x, doc_id as y from documents
   union
@@ -85,3 +85,23 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept")
     )
+
+
+_OP9_SQL = r"""
+with n as (
+  select doc_id, length(coalesce(text, '')) as chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256
+  from documents
+)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by text_sha256) as group_size,
+  doc_id = first_value(doc_id) over w as kept, text_sha256
+from n window w as (partition by text_sha256 order by chars desc, doc_id)
+"""
+
+
+@query("op9_exact_dedup", _OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that are equal without white space, and the one that stays."""
+    from .tries import exact_duplicates
+
+    found = exact_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
