@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,3 +116,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
     return found.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned from two thirds of the labelled ones."""
+    from .language import learn
+
+    docs = table(spark, sf_dir, "documents")
+    held = held_out("doc_id", 3, 1)
+    found = learn(docs, train=~held).predict(docs)
+    return found.select(F.col("id").alias("doc_id"), held_out("id", 3, 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
