@@ -8,12 +8,21 @@ concentrated about the similarity as with independent samples.
 
 Four places make a band; at a similarity of 0.85 two texts share none of the 32
 bands with a probability of 6e-11.  Texts with equal sets are one class from the
-start.  Each band's members are compared with its smallest member only; bands
-whose members then still lie in several components go on with the pairs between
-components, so no pair within a component is ever made and no link is lost.
-Pairs whose sketches agree in less than ``0.6`` of the places needed at the
-threshold are no links (over nine standard deviations away); the others are
-confirmed on full shingle sets.
+start.  No band emits all its pairs:
+
+1. Members are compared with the band's smallest one, its leader; a second round
+   takes as leader the smallest member outside the first one's component.
+2. Where members of several components are left, take the difference of each
+   member's set to the leader's.  Two linked members of which one is not linked to
+   the leader must share some of it: with sets x and y and differences X and Y, at
+   least (|X| + |Y| - c(|x| + |y|)) / 2 elements, where c = (1 - t) / (1 + t) for a
+   threshold t.  So each member hands out only the first elements of its difference,
+   those that the leader lacks first, and two members meet only where an element is
+   among the first of both.  Members that merely resemble the leader never meet.
+
+Pairs whose sketches agree in less than 0.6 of the places expected at the threshold
+are no links (over nine standard deviations away); the others are confirmed on full
+shingle sets.
 """
 
 from __future__ import annotations
@@ -128,6 +137,42 @@ def confirm(k: int, percent: int):
     return run
 
 
+def differences(k: int, percent: int):
+    """First elements of each set's difference to its leader's: as many as a link with a member not linked to it needs."""
+    c = (100 - percent) / (100 + percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text_a", 1 << 20):
+            (x, fx), (y, fy) = (shingles(Words(*raw(b.column(t)), fold=True), k) for t in ("text_a", "text_b"))
+            row, item, place, size, gap, tied = ([] for _ in range(6))
+            for i in range(b.num_rows):
+                p, q = x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]
+                more, less = np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)
+                n = len(more) + len(less)
+                linked = 100 * (len(p) - len(more)) >= percent * (len(q) + len(more))
+                least = (c * (len(q) - len(p)) + n) / 2 if linked else (n - c * (len(p) + len(q))) / (1 + c)
+                first = np.concatenate([more, less])[: n - max(1, int(np.ceil(least - 1e-6))) + 1]
+                row.append(np.full(len(first), i))
+                item.append(first)
+                place.append(np.arange(len(first)))
+                size.append(np.full(len(first), len(p)))
+                gap.append(np.full(len(first), n))
+                tied.append(np.full(len(first), linked))
+            row = np.concatenate(row)
+            for lo in range(0, len(row), 50_000):
+                cut = slice(lo, lo + 50_000)
+                at = pa.array(row[cut])
+                yield pa.record_batch(
+                    [
+                        b.column("a").take(at), b.column("b").take(at), b.column("label").take(at), pa.array(np.concatenate(item)[cut].view(np.int64)),
+                        *[pa.array(np.concatenate(v)[cut].astype(np.int32)) for v in (place, size, gap)], pa.array(np.concatenate(tied)[cut]),
+                    ],
+                    ["node", "leader", "label", "item", "place", "size", "gap", "tied"],
+                )
+
+    return run
+
+
 _NODE = "struct<id:bigint,low:bigint>"
 
 
@@ -176,31 +221,48 @@ def near_duplicates(
         pairs = pairs.filter(_sizes("size_a", "size_b", percent)).select("a", "b", "places_a", "places_b")
         return stored(pairs.mapInArrow(agreeing(percent), f"a {_NODE}, b {_NODE}"), "pairs")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs that their texts confirm."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        place = wanted.join(classes.select("node", "version"), "node").select("node", F.col("node.id").alias("id"), "version")
-        held = stored(
-            texts.join(place, ["id", "version"]).groupBy("node").agg(F.first("text").alias("text")), "texts"
-        )
+    place = member.select("node").distinct().join(classes.select("node", "version"), "node")
+    place = place.select("node", F.col("node.id").alias("id"), "version")
+    held = stored(texts.join(place, ["id", "version"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+    def with_texts(pairs: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             pairs = pairs.join(held.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
-        pairs = pairs.select("a", "b", "text_a", "text_b")
+        return pairs
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Pairs that their texts confirm."""
+        pairs = with_texts(pairs).select("a", "b", "text_a", "text_b")
         return stored(pairs.mapInArrow(confirm(k, percent), f"a {_NODE}, b {_NODE}"), "links")
 
+    def opened(labels: DataFrame) -> DataFrame:
+        """Members of the bands that hold several components."""
+        placed = member.join(labels, "node", "left").select("band", "node", "leader", F.coalesce("label", "node").alias("label"))
+        split = placed.groupBy("band").agg(F.min("label").alias("low_label"), F.max("label").alias("high_label"))
+        return stored(placed.join(stored(split.filter("low_label <> high_label").drop("high_label"), "split"), "band"), "open")
+
     starred = member.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     links = confirmed(weighed(starred))
     labels = stored(components(links), "labels")
-    placed = member.join(labels, "node", "left").select("band", "node", "leader", F.coalesce("label", "node").alias("label"))
-    split = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    open_ = stored(placed.join(split, "band", "left_semi").join(facts.select("node", "size"), "node"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    # the leader's pairs are done; of two components both members are in one band
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & F.expr("x.label < y.label and x.node <> x.leader and y.node <> x.leader") & _sizes("x.size", "y.size", percent))
+    far = opened(labels).filter("label <> low_label")
+    second = stored(far.groupBy("band").agg(F.min(F.struct("node", "label")).alias("s")), "second")
+    again = far.join(second, "band").filter("label <> s.label").select(F.col("node").alias("a"), F.col("s.node").alias("b")).distinct()
+    links = links.union(confirmed(weighed(again)))
+    labels = stored(components(links), "labels")
+    apart = opened(labels).filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"), "label").distinct()
+    apart = with_texts(apart).select("a", "b", "label", "text_a", "text_b").mapInArrow(
+        differences(k, percent), f"node {_NODE}, leader {_NODE}, label {_NODE}, item bigint, place int, size int, gap int, tied boolean"
+    )
+    apart = stored(apart, "differences")
+    c = (100 - percent) / (100 + percent)
+    need = f"ceil((x.gap + y.gap - {c!r} * (x.size + y.size)) / 2 - 1e-6)"
+    meet = F.expr(
+        f"x.leader = y.leader and x.item = y.item and x.label < y.label and not (x.tied and y.tied)"
+        f" and x.place <= x.gap - {need} and y.place <= y.gap - {need}"
+    )
+    rest = apart.alias("x").join(apart.alias("y"), meet & _sizes("x.size", "y.size", percent))
     rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    rest = weighed(rest)
-    if not rest.isEmpty():
-        labels = stored(components(links.union(confirmed(rest))), "labels")
+    labels = stored(components(links.union(confirmed(weighed(rest)))), "labels")
 
     found = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("low", "high", "label")
     found = stored(found, "found")
