@@ -127,3 +127,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = held_out("doc_id", 3, 1)
     found = learn(docs, train=~held).predict(docs)
     return found.select(F.col("id").alias("doc_id"), held_out("id", 3, 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+@query("op6_byte_bpe")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's byte-level token ids and of what they decode to."""
+    import public_tokenizers
+
+    from .bpe import encode
+
+    found = encode(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True
+    )
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
