@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.plans.session import scratch
+
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +145,32 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+_OP3_SQL = r"""
+with p as (
+  select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as hex from pages
+), b as (
+  select page_id, strlen(html) as payload_bytes, min(page_id) over (partition by hex) as first,
+    array_to_string(list_transform(string_split(hex, ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001',
+      '1010', '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', c)]), '') as bits
+  from p
+)
+select page_id, payload_bytes::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(bits, 5 * i + 1, 1)::int
+    + 8 * substr(bits, 5 * i + 2, 1)::int + 4 * substr(bits, 5 * i + 3, 1)::int + 2 * substr(bits, 5 * i + 4, 1)::int
+    + substr(bits, 5 * i + 5, 1)::int, 1)), '') as payload_digest,
+  case when first = page_id then 'response' else 'revisit' end as record_type, case when first < page_id then first end as refers_to
+from b
+"""
+
+
+@query("op3_warc", _OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives with an index and read back."""
+    from .warc import read_warc, write_warc
+
+    folder = scratch(spark, "warc")
+    index = write_warc(table(spark, sf_dir, "pages"), folder, least=0)
+    found = read_warc(index, folder)
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
