@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import ident, lean, slices, stored
 
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS, CACHE_WORDS = 200_000, 300_000
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Rows of one length in one task of the ranking.
 RANK_ROWS = 250_000
 
@@ -22,27 +24,73 @@ class Chunks:
     """Token ids, as little-endian bytes, of texts by way of their white-space chunks.
 
     The tokenizer drops white space before it merges, so a text's ids are those of
-    its chunks.  Chunks are remembered, up to a number, and only new ones are encoded.
+    its chunks, and a letter ends its pre-token before a following ASCII mark, so a
+    word's ids do not depend on the marks behind it.  Such words go to the tokenizer's
+    model at once; any other chunk takes the tokenizer's whole way.  Chunks and words
+    are remembered, up to a number of each.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model.tokenize
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {  # of the bytes that letters in UTF-8 have
+            b: level.pre_tokenize_str(c)[0][0][k]
+            for c in (*map(chr, range(97, 123)), *map(chr, range(0xC0, 0x100)), *map(chr, range(0x400, 0x480)))
+            for k, b in enumerate(c.encode())
+        }
         self.known: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word of letters; None if it needs the tokenizer's whole way."""
+        low = word.lower()
+        found = self.words.get(low)
+        if found is None and word.isalpha():
+            if word.isascii():
+                signs = low
+            elif unicodedata.is_normalized("NFC", word) and "\u03a3" not in word and "\u0130" not in word:
+                signs = "".join([self.signs.get(b, "") or "\0" for b in low.encode()])
+            else:
+                return None
+            if "\0" in signs:
+                return None
+            found = self.words[low] = np.array([t.id for t in self.model(signs)], "<u4").tobytes()
+        return found
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         parts = [t.split() for t in texts]
         fresh = {c for p in parts for c in p}
         if len(self.known) + len(fresh) > CACHE_CHUNKS:
             self.known = {}
-        fresh = list(fresh.difference(self.known))
-        for lo in range(0, len(fresh), 4096):
-            some = fresh[lo : lo + 4096]
-            done = self.tokenizer.encode_batch([c.decode() for c in some], add_special_tokens=False)
-            self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, done))
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
+        slow = []
+        for c in fresh.difference(self.known):
+            text = c.decode()
+            word = text.rstrip(_MARKS)
+            ids = self._word(word) if word else None
+            if ids is None:
+                slow.append(c)
+                continue
+            tail = text[len(word) :]
+            if tail not in self.marks:
+                if len(self.marks) > CACHE_WORDS:
+                    self.marks = {"": b""}
+                self.marks[tail] = self._whole([tail])[0]
+            self.known[c] = ids + self.marks[tail]
+        for lo in range(0, len(slow), 4096):
+            some = slow[lo : lo + 4096]
+            self.known.update(zip(some, self._whole([c.decode() for c in some])))
         look = self.known.__getitem__
         return [b"".join(map(look, p)) for p in parts]
 
