@@ -16,8 +16,8 @@ from .common import ident, lean, slices, stored
 
 CACHE_CHUNKS, CACHE_WORDS = 200_000, 300_000
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Rows of one length in one task of the ranking.
-RANK_ROWS = 250_000
+#: Rows that one part of a length has at least, in the ranking.
+RANK_ROWS = 1000
 
 
 class Chunks:
@@ -215,7 +215,8 @@ def pack(
     pieces = stored(texts.mapInArrow(tokenise(path, capacity, with_ids), schema), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots = docs.sparkSession.sparkContext.broadcast(plan(counts, capacity))
-    parts = max(counts.values(), default=0) // RANK_ROWS + 1
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(counts.values(), default=0) // max(RANK_ROWS, sum(counts.values()) // (4 * tasks)) + 1
     keyed = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece", "version"), F.lit(parts)))
     inner = Window.partitionBy("length", "part").orderBy("id", "version", "piece")
     ranked = keyed.withColumn("rank", F.row_number().over(inner).cast("bigint") - 1)
