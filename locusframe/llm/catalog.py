@@ -189,3 +189,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = judge(table(spark, sf_dir, "pages"), URL_RULES)
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "mined_rule", "confidence")
+
+
+@query("op2_lookup_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each document and its edited text, and their likeness by peeled differences."""
+    from .lookup import fingerprints
+
+    found = fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
