@@ -200,3 +200,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )
+
+
+@query("op1_quality_ranking")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document, learned from four fifths of the labelled ones."""
+    from .quality import rank
+
+    found = rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train=~held_out("id", 5, 0))
+    return found.select(
+        F.col("id").alias("doc_id"), held_out("id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
