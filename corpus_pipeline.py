@@ -2,14 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import ident, table
+from locusframe.llm.common import given, ident, table
+from locusframe.llm.language import learn
+from locusframe.llm.near import near_duplicates
+from locusframe.llm.packing import pack
 from locusframe.llm.repeats import repeats
+from locusframe.llm.tries import exact_duplicates
 from locusframe.plans.session import scratch
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with what the operators name them by."""
+    return docs.withColumn("_id", ident("doc_id")).withColumn("_version", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows that ``kept`` names, each once."""
+    kept = kept.select(F.col("id").alias("_id"), F.col("version").alias("_version")).distinct()
+    return _keyed(docs).join(kept, ["_id", "_version"]).dropDuplicates(["_id", "_version"]).select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts without a letter and those that fit no language of the table."""
+    return learn(docs).accepted(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without white space, keep the one with the most characters, then the smallest id."""
+    return _only(docs, exact_duplicates(docs).filter("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates (five words, 0.8), keep the smallest id."""
+    return _only(docs, near_duplicates(docs, percent=80).filter("first"))
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out repeated windows of twenty words; texts without one stay as they are.
 
@@ -17,15 +48,26 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = repeats(docs, window=20, digest=False).filter("n_removed > 0")
     cut = found.select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("kept_text").alias("_kept"))
-    keyed = docs.withColumn("_id", ident("doc_id")).withColumn("_version", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = keyed.join(cut, ["_id", "_version"], "left").filter("_kept is null or _kept <> ''")
+    out = _keyed(docs).join(cut, ["_id", "_version"], "left").filter("_kept is null or _kept <> ''")
     text = F.coalesce("_kept", "text")
     return out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("bigint")).otherwise(F.col("n_chars"))).withColumn(
         "text", text
     ).select(*docs.columns)
 
 
-STAGES = [("substring dedup", substring_dedup)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place the tokens of what is left in sequences of 2048."""
+    found = pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    return found.select(given("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("exact dedup", exact_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("best-fit packing", packing),
+]
 
 #: Language models and a tokenizer are not SQL; the stages are tested one by one.
 ORACLE_SQL = None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locusframe.plans.session import scratch
 
-from .common import held_out, table
+from .common import given, held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,7 +51,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import repeats
 
     found = repeats(table(spark, sf_dir, "documents"), window=20)
-    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
+    return found.select(given("id").alias("doc_id"), "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
 
 
 _OP8_SQL = r"""
@@ -85,7 +85,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"), percent=85)
     return found.select(
-        F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept")
+        given("id").alias("doc_id"), "n_shingles", given("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept")
     )
 
 
@@ -106,7 +106,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tries import exact_duplicates
 
     found = exact_duplicates(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    return found.select(given("id").alias("doc_id"), given("keep_id").alias("keep_id"), "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 @query("op10_best_fit_packing")
@@ -117,7 +117,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     found = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
-    return found.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return found.select(given("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 @query("op5_language_id")
@@ -128,7 +128,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = held_out("doc_id", 3, 1)
     found = learn(docs, train=~held).predict(docs)
-    return found.select(F.col("id").alias("doc_id"), held_out("id", 3, 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    return found.select(given("id").alias("doc_id"), held_out("id", 3, 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
 @query("op6_byte_bpe")
@@ -142,7 +142,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True
     )
     return found.select(
-        F.col("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"),
+        given("id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
@@ -173,7 +173,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     index = write_warc(table(spark, sf_dir, "pages"), folder, least=0)
     found = read_warc(index, folder)
-    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select(given("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", given("refers_to").alias("refers_to"))
 
 
 URL_RULES = [
@@ -188,7 +188,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judge
 
     found = judge(table(spark, sf_dir, "pages"), URL_RULES)
-    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "mined_rule", "confidence")
+    return found.select(given("id").alias("page_id"), "host", "path", "rule", "verdict", "mined_rule", "confidence")
 
 
 @query("op2_lookup_fingerprints")
@@ -198,7 +198,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = fingerprints(table(spark, sf_dir, "documents"))
     return found.select(
-        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+        given("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )
 
 
@@ -209,5 +209,5 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train=~held_out("id", 5, 0))
     return found.select(
-        F.col("id").alias("doc_id"), held_out("id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+        given("id").alias("doc_id"), held_out("id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
     )

@@ -40,9 +40,14 @@ def ident(col: str) -> Column:
     return F.coalesce(F.col(f"`{col}`").cast("bigint"), F.lit(NO_ID))
 
 
+def given(col: str) -> Column:
+    """The identifier as the table has it: null again where there was none."""
+    return F.nullif(ident(col), F.lit(NO_ID))
+
+
 def held_out(col: str, mod: int, rest: int) -> Column:
     """Whether crc32 of the identifier's text leaves ``rest``; null counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(f"`{col}`").cast("string"), F.lit("")).cast("binary")) % mod == rest
+    return F.crc32(F.coalesce(given(col).cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

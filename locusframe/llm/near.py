@@ -188,8 +188,8 @@ def near_duplicates(
     The set of a text is its distinct shingles of ``k`` words, A-Z lower-cased; one of
     fewer words is one shingle, and one without words is empty and linked with nothing.
     Returns a row per input row: ``id``, ``version`` (a hash of the text), ``n_shingles``,
-    ``component_id`` (the smallest id reachable) and ``first`` (whether the row's set is
-    that of the component's smallest member).  A null id counts as the smallest bigint and
+    ``component_id`` (the smallest id reachable) and ``first`` (whether the row is the
+    component's smallest member).  A null id counts as the smallest bigint and
     a null text as empty; equal rows get equal results.  Other columns are not read.
     """
     texts = lean(docs).select(
@@ -264,10 +264,10 @@ def near_duplicates(
     rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     labels = stored(components(links.union(confirmed(weighed(rest)))), "labels")
 
-    found = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("low", "high", "label")
+    found = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("low", "high", "label", F.col("version").alias("of"))
     found = stored(found, "found")
     rows = sketched.select("id", "version", "n_shingles", "low", "high").join(found, ["low", "high"], "left")
     return rows.select(
         "id", "version", "n_shingles", F.coalesce("label.id", "id").alias("component_id"),
-        F.coalesce((F.col("label.id") == F.col("id")) & (F.col("label.low") == F.col("low")), F.lit(True)).alias("first"),
+        F.coalesce((F.col("label.id") == F.col("id")) & (F.col("label.low") == F.col("low")) & (F.col("of") == F.col("version")), F.lit(True)).alias("first"),
     )
