@@ -17,8 +17,8 @@ start.  No band emits all its pairs:
    the leader must share some of it: with sets x and y and differences X and Y, at
    least (|X| + |Y| - c(|x| + |y|)) / 2 elements, where c = (1 - t) / (1 + t) for a
    threshold t.  So each member hands out only the first elements of its difference,
-   those that the leader lacks first, and two members meet only where an element is
-   among the first of both.  Members that merely resemble the leader never meet.
+   in an order that has common ones last, and two members meet only where an element
+   is among the first of both.  Members that merely resemble the leader rarely meet.
 
 Pairs whose sketches agree in less than 0.6 of the places expected at the threshold
 are no links (over nine standard deviations away); the others are confirmed on full
@@ -137,25 +137,48 @@ def confirm(k: int, percent: int):
     return run
 
 
+def _gaps(b: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Of each pair: its row, the sizes of both sets, and what only one of them has."""
+    (x, fx), (y, fy) = (shingles(Words(*raw(b.column(t)), fold=True), k) for t in ("text_a", "text_b"))
+    for i in range(b.num_rows):
+        p, q = x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]
+        yield i, len(p), len(q), np.setxor1d(p, q, assume_unique=True)
+
+
+def gap_items(k: int):
+    """All elements of the differences to the leaders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text_a", 1 << 20):
+            found = list(_gaps(b, k))
+            row = np.repeat([i for i, *_ in found], [len(g) for *_, g in found])
+            item = np.concatenate([g for *_, g in found]).view(np.int64)
+            for lo in range(0, len(row), 50_000):
+                cut = slice(lo, lo + 50_000)
+                yield pa.record_batch([b.column("b").take(pa.array(row[cut])), pa.array(item[cut])], ["leader", "item"])
+
+    return run
+
+
 def differences(k: int, percent: int):
     """First elements of each set's difference to its leader's: as many as a link with a member not linked to it needs."""
     c = (100 - percent) / (100 + percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text_a", 1 << 20):
-            (x, fx), (y, fy) = (shingles(Words(*raw(b.column(t)), fold=True), k) for t in ("text_a", "text_b"))
             row, item, place, size, gap, tied = ([] for _ in range(6))
-            for i in range(b.num_rows):
-                p, q = x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]
-                more, less = np.setdiff1d(p, q, assume_unique=True), np.setdiff1d(q, p, assume_unique=True)
-                n = len(more) + len(less)
-                linked = 100 * (len(p) - len(more)) >= percent * (len(q) + len(more))
-                least = (c * (len(q) - len(p)) + n) / 2 if linked else (n - c * (len(p) + len(q))) / (1 + c)
-                first = np.concatenate([more, less])[: n - max(1, int(np.ceil(least - 1e-6))) + 1]
+            often = b.column("often").to_pylist()
+            for i, p, q, other in _gaps(b, k):
+                n = len(other)
+                both = (p + q - n) // 2
+                linked = 100 * both >= percent * (p + q - both)
+                least = (c * (q - p) + n) / 2 if linked else (n - c * (p + q)) / (1 + c)
+                common = np.isin(other.view(np.int64), np.array(often[i] or [], np.int64))
+                first = np.concatenate([other[~common], other[common]])[: n - max(1, int(np.ceil(least - 1e-6))) + 1]
                 row.append(np.full(len(first), i))
                 item.append(first)
                 place.append(np.arange(len(first)))
-                size.append(np.full(len(first), len(p)))
+                size.append(np.full(len(first), p))
                 gap.append(np.full(len(first), n))
                 tied.append(np.full(len(first), linked))
             row = np.concatenate(row)
@@ -250,7 +273,13 @@ def near_duplicates(
     links = links.union(confirmed(weighed(again)))
     labels = stored(components(links), "labels")
     apart = opened(labels).filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"), "label").distinct()
-    apart = with_texts(apart).select("a", "b", "label", "text_a", "text_b").mapInArrow(
+    apart = stored(apart, "apart")
+    # any order of elements will do, the better the rarer come first: an eighth of the members tells
+    some = apart.filter(F.pmod(F.xxhash64("a"), F.lit(8)) == 0)
+    often = with_texts(some).select("b", "text_a", "text_b").mapInArrow(gap_items(k), f"leader {_NODE}, item bigint")
+    often = often.groupBy("leader", "item").count().filter("count > 1").groupBy(F.col("leader").alias("b")).agg(F.collect_list("item").alias("often"))
+    apart = with_texts(apart).join(stored(often, "often"), "b", "left")
+    apart = apart.select("a", "b", "label", "text_a", "text_b", "often").mapInArrow(
         differences(k, percent), f"node {_NODE}, leader {_NODE}, label {_NODE}, item bigint, place int, size int, gap int, tied boolean"
     )
     apart = stored(apart, "differences")
