@@ -8,10 +8,11 @@ either side.  Those ten words name the place.  Of the places inside a window,
 the one with the smallest name is its mark, so equal windows have equal marks
 and about one word in six is one.
 
-1. One scan names the marks (`mark_texts`); Spark counts each name, with partial
-   counts before the shuffle.
+1. Spark counts the names of all marks (`mark_texts`), with partial counts before
+   the shuffle.
 2. Texts with a mark that occurs twice are read again; every window around such
-   a mark gets a hash of 96 bits, and Spark keeps the first place of each.
+   a mark gets a hash of 96 bits, and Spark keeps the first place of each.  Of equal
+   texts only the first takes part, as the others have no first windows.
 3. Windows that are not the first of their hash are removed.
 
 No step needs the rows of one name together: both aggregates combine before the
@@ -97,31 +98,38 @@ def marks(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return rank[found], found
 
 
-def mark_texts(window: int, digest: bool):
-    """Per text: number of words, digest of its words, names and places of its marks."""
+def summaries(digest: bool):
+    """Per text: number of words and, where asked for, digest of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            data, at = raw(b.column("text"))
-            words = Words(data, at)
-            names, found = marks(words, window)
-            cut = np.searchsorted(found, words.first)
-            own = found - np.repeat(words.first[:-1], np.diff(cut))
-            texts = b.column("text").to_pylist()
-            shas = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() if digest else None for t in texts]
+            parts = [t.split() for t in b.column("text").cast(pa.binary()).to_pylist()]
+            shas = [hashlib.sha256(b" ".join(p)).hexdigest() if digest else None for p in parts]
             yield pa.record_batch(
-                [
-                    b.column("id"), b.column("version"), pa.array(words.count), pa.array(shas, pa.string()),
-                    pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(names.view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(own.astype(np.int32))),
-                ],
-                ["id", "version", "n_words", "sha", "names", "places"],
+                [b.column("id"), b.column("version"), b.column("same"), pa.array([len(p) for p in parts], pa.int64()), pa.array(shas, pa.string())],
+                ["id", "version", "same", "n_words", "sha"],
             )
 
     return run
 
 
-_MARKED = "id bigint, version bigint, n_words bigint, sha string, names array<bigint>, places array<int>"
+def mark_texts(window: int, bits: int):
+    """Names, of so many bits, and places of the marks of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            words = Words(*raw(b.column("text")))
+            names, found = marks(words, window)
+            names = (names >> np.uint64(64 - bits)).view(np.int64)
+            cut = np.searchsorted(found, words.first)
+            own = (found - np.repeat(words.first[:-1], np.diff(cut))).astype(np.int32)
+            cut = pa.array(cut, pa.int32())
+            yield pa.record_batch(
+                [b.column("id"), pa.ListArray.from_arrays(cut, pa.array(names)), pa.ListArray.from_arrays(cut, pa.array(own))],
+                ["id", "names", "places"],
+            )
+
+    return run
 
 
 def _around(places: np.ndarray, n_words: int, window: int) -> np.ndarray:
@@ -213,22 +221,29 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
     texts = lean(docs).select(
         ident(id_col).alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     ).withColumn("version", F.xxhash64("text"))
-    marked = stored(texts.mapInArrow(mark_texts(window, digest), _MARKED), "marks")
+    told = texts.withColumn("same", F.struct(F.crc32("text").alias("crc"), F.octet_length("text").alias("size")))
+    told = stored(told.mapInArrow(summaries(digest), "id bigint, version bigint, same struct<crc:bigint,size:int>, n_words bigint, sha string"), "summaries")
     # a shuffled name has as many bits as the number of marks asks for; the few that then
     # coincide by chance only add windows to the next step
-    total = marked.agg(F.sum(F.size("names"))).first()[0] or 0
-    keep = min(64, total.bit_length() + 8)
+    bits = min(63, (told.agg(F.sum("n_words")).first()[0] or 0).bit_length() + 6)
+    marked = texts.select("id", "text").mapInArrow(mark_texts(window, bits), "id bigint, names array<bigint>, places array<int>")
+    twice = marked.select(F.explode("names").alias("name")).groupBy("name").count().filter("count > 1").select("name")
+    twice = stored(twice, "twice")
     places = marked.select("id", F.explode(F.arrays_zip("names", "places")).alias("m")).select(
-        "id", F.shiftrightunsigned("m.names", 64 - keep).alias("name"), F.col("m.places").alias("place")
+        "id", F.col("m.names").alias("name"), F.col("m.places").alias("place")
     )
-    twice = stored(places.groupBy("name").count().filter("count > 1").select("name"), "twice")
     held = places.join(twice, "name", "left_semi").groupBy("id").agg(F.collect_set("place").alias("places"))
     # the version only has to tell rows of one id apart
-    rows = marked.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
-    held = held.join(rows, "id", "left")
-    touched = stored(texts.join(held, "id").withColumn("version", F.when(F.col("n").isNull(), 0).otherwise(F.col("version"))).drop("n"), "touched")
+    rows = told.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    # of equal texts only the first has first windows
+    one = told.groupBy("version", "same").agg(F.min("id").alias("one"), F.count("*").alias("n")).filter("n > 1")
+    later = told.join(stored(one.drop("n"), "copies"), ["version", "same"]).filter("id > one").select("id", F.lit(True).alias("later")).distinct()
+    held = held.join(rows, "id", "left").join(later, "id", "left")
+    held = held.select("id", "places", F.col("n").isNotNull().alias("many"), (F.col("n").isNull() & F.col("later").isNotNull()).alias("later"))
+    touched = texts.join(held, "id").withColumn("version", F.when(F.col("many"), F.col("version")).otherwise(0)).drop("many")
+    touched = stored(touched, "touched")
     first = (
-        touched.mapInArrow(window_hashes(window), "low bigint, high int, id bigint, version bigint, start int")
+        touched.filter("not later").mapInArrow(window_hashes(window), "low bigint, high int, id bigint, version bigint, start int")
         .groupBy("low", "high")
         .agg(F.min(F.struct("id", "version", "start")).alias("f"))
         .groupBy(F.col("f.id").alias("id"), F.col("f.version").alias("version"))
@@ -243,7 +258,7 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
     struck = done.filter("n_removed > 0").withColumn("sha", F.sha2("kept_text", 256))
     once = struck.select("id", F.col("version").alias("_v"), "n_removed", "kept_text", "sha").dropDuplicates(["id", "_v"])
     same = (F.col("_v") == 0) | (F.col("_v") == F.col("version"))
-    return marked.select("id", "version", "n_words", F.col("sha").alias("_sha")).join(once, (marked["id"] == once["id"]) & same, "left").drop(once["id"]).select(
+    return told.select("id", "version", "n_words", F.col("sha").alias("_sha")).join(once, (told["id"] == once["id"]) & same, "left").drop(once["id"]).select(
         "id", "version", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), "kept_text",
         F.coalesce("sha", "_sha").alias("sha"),
     )
