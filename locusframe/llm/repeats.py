@@ -223,9 +223,9 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
     ).withColumn("version", F.xxhash64("text"))
     told = texts.withColumn("same", F.struct(F.crc32("text").alias("crc"), F.octet_length("text").alias("size")))
     told = stored(told.mapInArrow(summaries(digest), "id bigint, version bigint, same struct<crc:bigint,size:int>, n_words bigint, sha string"), "summaries")
-    # a shuffled name has as many bits as the number of marks asks for; the few that then
+    # a shuffled name has as many bits as the number of words asks for; the few that then
     # coincide by chance only add windows to the next step
-    bits = min(63, (told.agg(F.sum("n_words")).first()[0] or 0).bit_length() + 6)
+    bits = min(63, (told.agg(F.sum("n_words")).first()[0] or 0).bit_length() + 12)
     marked = texts.select("id", "text").mapInArrow(mark_texts(window, bits), "id bigint, names array<bigint>, places array<int>")
     twice = marked.select(F.explode("names").alias("name")).groupBy("name").count().filter("count > 1").select("name")
     twice = stored(twice, "twice")
