@@ -540,7 +540,7 @@ def contribution(calls: DataFrame, families: DataFrame, groups: DataFrame) -> Da
     group and in total; ``families`` is ``p1, p2, child`` and ``groups`` is
     ``chrom, chrom_group``."""
     t = filter_hom_trios(family_calls(calls, families, OFFSPRING), list(OFFSPRING))
-    d = t.filter(F.col("p1_gt") != F.col("p2_gt")).join(groups, "chrom", "left")
+    d = t.filter(F.col("p1_gt") != F.col("p2_gt")).join(groups.select("chrom", "chrom_group").distinct(), "chrom", "left")
     cols = list(OFFSPRING)
     own = lambda p: count_if(F.col(f"{p}_gt") == F.col("child_gt"))
     sets = [[*cols, "chrom"], [*cols, "chrom_group"], cols]

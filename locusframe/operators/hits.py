@@ -93,10 +93,10 @@ def pair_hits(left: DataFrame, right: DataFrame, max_dist: int = 1000) -> DataFr
 
 
 def number_copies(df: DataFrame, key: str, order: str, width: int = BIN_WIDTH) -> DataFrame:
-    """``id`` with ``-2, -3, …`` for the repeats of a key, in ``order``."""
+    """``id`` with ``-2, -3, …`` for the repeats of a key, in ``order``; a row without an order keeps its key."""
     n = numbered(df, [key], order, "_n", width=width)
     return n.withColumn(
-        "id", F.when(F.col("_n") == 1, F.col(key)).otherwise(F.concat_ws("-", F.col(key), F.col("_n")))
+        "id", F.when(F.coalesce("_n", F.lit(1)) == 1, F.col(key)).otherwise(F.concat_ws("-", F.col(key), F.col("_n")))
     ).drop("_n")
 
 

@@ -156,28 +156,30 @@ def count_overlaps(
 def map_overlap(
     a: DataFrame, b: DataFrame, value: str, agg: str = "sum", name: str = "mapped",
     width: int = RANGE_BIN, start: str = "start", end: str = "end", pos: str = "pos", key: str = "id",
-    long_regions: bool = False,
+    long_regions: bool = True,
 ) -> DataFrame:
     """Sum or count of ``value`` over the points of ``b`` inside each interval.
 
     Half-open intervals over 1-based points: ``start < pos <= end``.  The
     points are summed per position first and the pair rows are aggregated
-    map-side, before the interval attributes are joined back.
+    map-side per distinct interval, before the rows are joined back; ``key`` is
+    carried along and need not be unique.
     """
     pts = b.groupBy("chrom", pos).agg(F.sum(value).alias("_v"), F.count(value).alias("_c"))
-    iv = a.select("chrom", start, end, key).withColumn(start, F.col(start) + 1)
+    iv = a.select("chrom", start, end).distinct().withColumn(start, F.col(start) + 1)
     hit = points_in_regions(pts, iv, width, pos=pos, start=start, end=end, long_regions=long_regions)
-    total = hit.groupBy(key).agg(F.sum("_v" if agg == "sum" else "_c").alias(name))
-    return a.join(total, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+    total = hit.groupBy("chrom", start, end).agg(F.sum("_v" if agg == "sum" else "_c").alias(name))
+    total = total.withColumn(start, F.col(start) - 1)
+    return a.join(total, ["chrom", start, end], "left").withColumn(name, F.coalesce(F.col(name), F.lit(0))).select(*a.columns, name)
 
 
 def subtract_overlapping(
     a: DataFrame, b: DataFrame, key: str, width: int = RANGE_BIN,
     start: str = "start", end: str = "end",
 ) -> DataFrame:
-    """Intervals of ``a`` that overlap nothing in ``b``."""
+    """Intervals of ``a`` that overlap nothing in ``b``; ``key`` need not be unique."""
     left = _in_cells(
-        a.select(F.col("chrom").alias("_k1"), F.col(start).alias("_s1"), F.col(end).alias("_e1"), F.col(key).alias("_id")),
+        a.select(F.col("chrom").alias("_k1"), F.col(start).alias("_s1"), F.col(end).alias("_e1")).distinct(),
         "_s1", "_e1", width, "1", left=True,
     )
     merged = merge_intervals(b, start=start, end=end)
@@ -189,8 +191,8 @@ def subtract_overlapping(
         (F.col("_k1") == F.col("_k2")) & _same_cell("1", "2")
         & (F.col("_s1") < F.col("_e2")) & (F.col("_s2") < F.col("_e1"))
     )
-    hit = left.join(right, cond, "left_semi").select(F.col("_id").alias(key))
-    return a.join(hit, key, "left_anti")
+    hit = left.join(right, cond, "left_semi").select(F.col("_k1").alias("chrom"), F.col("_s1").alias(start), F.col("_e1").alias(end))
+    return a.join(hit, ["chrom", start, end], "left_anti")
 
 
 def merge_intervals(df: DataFrame, start: str = "start", end: str = "end", width: int = BIN_WIDTH) -> DataFrame:
@@ -244,13 +246,12 @@ def segment_overlaps(
 
 
 def split_coords(df: DataFrame, pieces: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
-    """BED on whole chromosomes to BED on pieces (interval inside a piece)."""
+    """BED on whole chromosomes to BED on pieces: an interval goes with the piece its start is in."""
     m = pieces.select(
-        "chrom", F.col("start").alias("_ps"), F.col("end").alias("_pe"), F.col("part").alias("_part")
+        "chrom", F.col("start").alias("_ps"), (F.col("end") - 1).alias("_pe"), F.col("part").alias("_part")
     )
     return (
-        df.join(m, "chrom")
-        .filter((F.col(start) >= F.col("_ps")) & (F.col(end) <= F.col("_pe")))
+        points_in_regions(df, m, pos=start, start="_ps", end="_pe")
         .withColumn(start, F.col(start) - F.col("_ps"))
         .withColumn(end, F.col(end) - F.col("_ps"))
         .withColumn("chrom", F.col("_part"))
@@ -295,12 +296,11 @@ def split_features(gtf: DataFrame, pieces: DataFrame, start: str = "start", end:
 def split_positions(sites: DataFrame, pieces: DataFrame, pos: str = "pos") -> DataFrame:
     """1-based positions onto pieces (``start < pos <= end``)."""
     m = pieces.select(
-        "chrom", F.col("start").alias("_ps"), F.col("end").alias("_pe"), F.col("part").alias("_part")
+        "chrom", (F.col("start") + 1).alias("_ps"), F.col("end").alias("_pe"), F.col("part").alias("_part")
     )
     return (
-        sites.join(m, "chrom")
-        .filter((F.col(pos) > F.col("_ps")) & (F.col(pos) <= F.col("_pe")))
-        .withColumn(pos, F.col(pos) - F.col("_ps"))
+        points_in_regions(sites, m, pos=pos, start="_ps", end="_pe")
+        .withColumn(pos, F.col(pos) - F.col("_ps") + 1)
         .withColumn("chrom", F.col("_part"))
         .drop("_ps", "_pe", "_part")
     )

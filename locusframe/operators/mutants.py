@@ -15,9 +15,8 @@ from .calls import count_if, ratio
 
 SITE = ["chrom", "pos", "refer", "alt"]
 
-# Report order of the strand-collapsed changes and effect classes.
+# Report order of the transitions and effect classes.
 TRANSITIONS = ["C:G>T:A", "T:A>C:G"]
-TRANSVERSIONS = ["C:G>G:C", "C:G>A:T", "T:A>G:C", "T:A>A:T"]
 EFFECTS = [
     "stop_gained/lost", "start_lost", "frameshift_variant", "splice_site_variant",
     "missense_variant", "synonymous_variant", "5_prime_UTR_variant", "3_prime_UTR_variant",

@@ -138,9 +138,18 @@ def numbered(
     df: DataFrame, keys: list[str], order: str, name: str, pos: str | None = None,
     width: int = BIN_WIDTH,
 ) -> DataFrame:
-    """1-based row number per key without one task per key."""
-    df = with_bin(df, pos or order, width)
-    return running(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}).drop(BIN)
+    """1-based row number per key without one task per key.
+
+    A row without a key, order or position has no place in the order: it stays,
+    with a null number.
+    """
+    placed = F.lit(True)
+    for c in dict.fromkeys([*keys, order, pos or order]):
+        placed = placed & F.col(c).isNotNull()
+    binned = with_bin(df.filter(placed), pos or order, width)
+    done = running(binned, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}).drop(BIN)
+    rest = df.filter(~placed).withColumn(name, F.lit(None).cast("bigint"))
+    return done.unionByName(rest)
 
 
 def apply_per_bin(

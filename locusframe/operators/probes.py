@@ -43,12 +43,15 @@ def fetch(
 ) -> DataFrame:
     """0-based half-open sequence of each region, clipped to its chromosome.
 
-    Regions meet the chunks they touch by an equi join on (chrom, chunk); the
-    pieces of one region are put together in chunk order.
+    Distinct regions meet the chunks they touch by an equi join on (chrom, chunk); the
+    pieces of one region are put together in chunk order and joined back to the rows, so
+    repeated rows stay.  A region that touches no chunk, as on an absent chromosome or
+    past the end, gets null.
     """
     keys = keys or regions.columns
     lo = F.greatest(F.col(start), F.lit(0).cast("bigint"))
-    r = regions.withColumns({"_lo": lo, "_hi": F.greatest(F.col(end), lo)})
+    rows = regions.withColumns({"_lo": lo, "_hi": F.greatest(F.col(end), lo)})
+    r = rows.select("chrom", "_lo", "_hi").distinct()
     wanted = F.sequence(F.floor(F.col("_lo") / chunk), F.floor(F.greatest(F.col("_hi") - 1, F.col("_lo")) / chunk))
     r = r.withColumn("chunk_no", F.explode(wanted))
     g = genome.select("chrom", "chunk_no", F.col("seq").alias("_piece"))
@@ -57,7 +60,8 @@ def fetch(
     piece = F.substr("_piece", (first + 1).cast("int"), F.greatest(last - first, F.lit(0)).cast("int"))
     j = r.join(g, ["chrom", "chunk_no"]).withColumn("_p", F.struct("chunk_no", piece.alias("s")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["s"]), "")
-    return j.groupBy(*keys).agg(joined.alias(name))
+    found = j.groupBy("chrom", "_lo", "_hi").agg(joined.alias("_found"))
+    return rows.join(found, ["chrom", "_lo", "_hi"], "left").select(*keys, F.col("_found").alias(name))
 
 
 def check_ref(sites: DataFrame, genome: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -66,7 +70,7 @@ def check_ref(sites: DataFrame, genome: DataFrame, chunk: int = CHUNK) -> DataFr
         {"_s": (F.col("pos") - 1).cast("bigint"), "_e": (F.col("pos") - 1 + F.length("ref")).cast("bigint")}
     )
     out = fetch(r, genome, chunk, "_s", "_e", "check_ref")
-    return out.filter(F.upper("ref") != F.upper("check_ref")).drop("_s", "_e")
+    return out.filter(F.upper("ref") != F.upper(F.coalesce("check_ref", F.lit("")))).drop("_s", "_e")
 
 
 def flank_markers(sites: DataFrame, genome: DataFrame, n: int = 100, chunk: int = CHUNK) -> DataFrame:
@@ -77,7 +81,7 @@ def flank_markers(sites: DataFrame, genome: DataFrame, n: int = 100, chunk: int
         (F.col("pos") - 1 + F.length("ref") + n).cast("bigint").alias("e"),
     )
     r = sites.withColumn("_w", win).withColumns({"_s": F.col("_w.s"), "_e": F.col("_w.e")}).drop("_w")
-    f = fetch(r, genome, chunk, "_s", "_e", "_seq")
+    f = fetch(r, genome, chunk, "_s", "_e", "_seq").fillna("", ["_seq"])
     left = (F.col("pos") - 1 - F.col("_s")).cast("int")
     marker = S.flank_text(
         F.substr("_seq", F.lit(1), left), F.col("ref"), F.col("alt"),
@@ -87,13 +91,13 @@ def flank_markers(sites: DataFrame, genome: DataFrame, n: int = 100, chunk: int
 
 
 def probe_sequences(probes: DataFrame, genome: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Probe windows with their marker; an absent chromosome gives Ns."""
+    """Probe windows with their marker; a window outside the genome gives Ns."""
     keys = probes.columns
     f = fetch(probes, genome, chunk, "probe_start", "probe_end", "_seq", keys)
-    known = f.select(
+    known = f.filter("_seq is not null").select(
         *keys, S.probe_with_marker(F.col("_seq"), F.col("pos"), F.col("probe_start"), F.col("alleles")).alias("sequence")
     )
-    lost = probes.join(genome.select("chrom").distinct(), "chrom", "left_anti").select(
+    lost = f.filter("_seq is null").select(
         *keys, S.unknown_sequence(F.col("probe_end") - F.col("probe_start")).alias("sequence")
     )
     return known.unionByName(lost)
@@ -138,7 +142,7 @@ def centre_probes(
     r = sites.withColumns(
         {"_s": (at - half - reach).cast("bigint"), "_e": (at + half + reach).cast("bigint")}
     )
-    f = fetch(r, genome, chunk, "_s", "_e", "_seq")
+    f = fetch(r, genome, chunk, "_s", "_e", "_seq").fillna("", ["_seq"])
     # the window may be clipped on the left
     base = at - half - F.greatest(F.col("_s"), F.lit(0))
 

@@ -89,10 +89,10 @@ def validate(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def sort_sites(df: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """(chrom, pos) order, or genome order by the ``rank`` of a size table."""
+    """(chrom, pos) order, or genome order by the ``rank`` of a size table, unranked chromosomes last."""
     if sizes is None:
         return df.orderBy("chrom", "pos")
-    return df.join(sizes.select("chrom", "rank"), "chrom").orderBy("rank", "pos").drop("rank")
+    return df.join(sizes.select("chrom", "rank"), "chrom", "left").orderBy(F.asc_nulls_last("rank"), "chrom", "pos").drop("rank")
 
 
 def sort_priority(df: DataFrame, cols: list[str], ascending: list[bool]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["scalar", "calls", "intervals", "coverage", "tracks", "hits", "mutants", "tables", "files", "flows"]
+FAMILIES = ["scalar", "calls", "intervals", "coverage", "tracks", "hits", "mutants", "tables", "files"]
 
 
 def all_modules() -> None:

@@ -181,10 +181,10 @@ def panel_depth(v):
 @query(
     "agg_probes_by_chrom",
     """SELECT s.chrom, round(s.size / 1e6, 6) AS length_mb, count(i.id) AS probes FROM g_sizes s LEFT JOIN g_intervals i
-  ON i.chrom = s.chrom AND i.p_size > 45 GROUP BY s.chrom, s.size""",
+  ON i.chrom = s.chrom GROUP BY s.chrom, s.size""",
 )
 def probes_by_chrom(v):
-    return V.probes_by_chrom(v.g_intervals.filter("p_size > 45"), v.g_sizes)
+    return V.probes_by_chrom(v.g_intervals, v.g_sizes)
 
 
 @query(

@@ -166,12 +166,15 @@ def paf(v):
     return x.select("id", "chrom", "match_start", "match_length", "cigar", "n_mismatch")
 
 
-@query("src_csv_glob", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type FROM events")
+@query(
+    "src_csv_glob",
+    """SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, CASE WHEN event_id % 2 = 1 THEN CAST(user_id AS VARCHAR) END AS user_id
+FROM events""",
+)
 def csv_glob(v):
     a, b = scratch(v.spark, "csv"), scratch(v.spark, "csv")
-    x = v.events.select("event_id", "event_type")
-    x.filter("event_id % 2 = 0").write.csv(a, header=True)
-    x.filter("event_id % 2 = 1").write.csv(b, header=True)
+    v.events.filter("event_id % 2 = 0").select("event_id", "event_type").write.csv(a, header=True)
+    v.events.filter("event_id % 2 = 1").select("user_id", "event_type", "event_id").write.csv(b, header=True)
     return tables.scan_csv_glob(v.spark, [a, b])
 
 
@@ -256,7 +259,7 @@ def effect_matrix(v):
 )
 def log_values(v):
     u = v.events.groupBy("user_id").agg(F.max("value").alias("m"), F.count("*").alias("n"))
-    text = F.expr("concat('start\nCV error (K=3): ', m, '\nsites: ', n)")
+    text = F.expr("concat('start\nCV error (K=2): 98765432.5\nCV error (K=3): ', m, '\nsites: ', n)")
     path = _text(u.select(text.alias("value"), c("user_id").alias("run")), v, "log", "run")
     x = reports.read_log_values(v.spark, path, {"cv": r"CV error \(K=\d+\): ([0-9.]+)", "n": r"sites: (\d+)"}, r"run=([^/]+)/")
     return x.select("name", "cv", "n")

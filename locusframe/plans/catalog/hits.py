@@ -24,16 +24,21 @@ def filter_hits(v):
     return H.filter_hits(v.g_hits, 100, 90.0, 5, 3).select("id", "chrom", "start", "match_len", "mismatch", "gapopen")
 
 
-@query(
-    "agg_hit_summary",
-    """WITH r AS (SELECT *, CAST(CASE WHEN match_len > 120 THEN 120 - mismatch + gapopen ELSE match_len - mismatch - gapopen END AS INT) AS real_len FROM g_hits),
+HIT_SUMMARY = """WITH r AS (SELECT *, CAST(CASE WHEN match_len > 120 THEN 120 - mismatch + gapopen ELSE match_len - mismatch - gapopen END AS INT) AS real_len FROM g_hits),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY real_len DESC, mismatch, gapopen) AS n, count(*) OVER (PARTITION BY id) AS blast_match FROM r)
 SELECT id, any_value(blast_match) AS blast_match, max(real_len) FILTER (WHERE n = 1) AS max_length, max(gapopen) FILTER (WHERE n = 1) AS best_gapopen,
   max(mismatch) FILTER (WHERE n = 1) AS best_mismatch, coalesce(max(real_len) FILTER (WHERE n = 2), 0) AS second_max_length,
   coalesce(max(gapopen) FILTER (WHERE n = 2), 0) AS second_gapopen, coalesce(max(mismatch) FILTER (WHERE n = 2), 0) AS second_mismatch
-FROM k GROUP BY id HAVING any_value(blast_match) <= 6""",
-)
+FROM k GROUP BY id"""
+
+
+@query("agg_hit_summary", HIT_SUMMARY)
 def hit_summary(v):
+    return H.hit_summary(v.g_hits, 120)
+
+
+@query("agg_hit_summary_cut", HIT_SUMMARY + " HAVING any_value(blast_match) <= 6")
+def hit_summary_cut(v):
     return H.hit_summary(v.g_hits, 120, 6)
 
 

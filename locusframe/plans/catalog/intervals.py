@@ -84,7 +84,7 @@ def segment_overlaps(v):
 @query(
     "jn_split_coords",
     """SELECT p.part AS chrom, i.start - p.start AS start, i."end" - p.start AS "end", i.id FROM g_intervals i JOIN g_pieces p
-  ON i.chrom = p.chrom AND i.start >= p.start AND i."end" <= p."end" """,
+  ON i.chrom = p.chrom AND i.start >= p.start AND i.start < p."end" """,
 )
 def split_coords(v):
     return I.split_coords(v.g_intervals, v.g_pieces).select("chrom", "start", "end", "id")
@@ -93,7 +93,7 @@ def split_coords(v):
 @query(
     "jn_restore_coords",
     """SELECT i.chrom, i.start, i."end", i.id FROM g_intervals i JOIN g_pieces p
-  ON i.chrom = p.chrom AND i.start >= p.start AND i."end" <= p."end" """,
+  ON i.chrom = p.chrom AND i.start >= p.start AND i.start < p."end" """,
 )
 def restore_coords(v):
     return I.restore_coords(I.split_coords(v.g_intervals, v.g_pieces), v.g_pieces).select("chrom", "start", "end", "id")

@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(conf)
         return conf
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError(f"set {_KEY} to a folder that all executors see")
     made = spark.conf.get("locusframe.local.dir", None)
     if made is None:
         made = tempfile.mkdtemp(prefix="spark-")

@@ -66,12 +66,16 @@ def read_snpeff_stats(
 def read_log_values(
     spark: SparkSession, path: str | list[str], patterns: dict[str, str], name_re: str = _FILE_STEM
 ) -> DataFrame:
-    """Numbers scraped from logs, one row per file: the last match of each pattern."""
+    """Numbers scraped from logs, one row per file: the last match of each pattern.
+
+    Lines are in order of the block that they are in, then of reading.
+    """
     lines = spark.read.text(path).select(
-        F.regexp_extract(F.col("_metadata.file_path"), name_re, 1).alias("name"), "value"
+        F.regexp_extract(F.col("_metadata.file_path"), name_re, 1).alias("name"), "value",
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
     )
-    found = [
-        F.max(F.nullif(F.regexp_extract("value", p, 1), F.lit("")).try_cast("double")).alias(n)
-        for n, p in patterns.items()
-    ]
+    found = []
+    for n, p in patterns.items():
+        number = F.nullif(F.regexp_extract("value", p, 1), F.lit("")).try_cast("double")
+        found.append(F.max_by(number, F.when(number.isNotNull(), F.col("at"))).alias(n))
     return lines.groupBy("name").agg(*found)

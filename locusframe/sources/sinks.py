@@ -56,8 +56,8 @@ def vcf_lines(wide: DataFrame, sizes: DataFrame, samples: list[str]) -> DataFram
     )
     body = gt_to_vcf(wide, samples)
     cols = [F.col(f"`{c}`").cast("string") for c in body.columns]
-    lines = body.join(sizes.select("chrom", "rank"), "chrom").select(
-        F.lit(4).alias("kind"), F.col("rank").cast("bigint").alias("rank"), "pos",
+    lines = body.join(sizes.select("chrom", "rank"), "chrom", "left").select(
+        F.lit(4).alias("kind"), F.coalesce(F.col("rank").cast("bigint"), F.lit(1 << 62)).alias("rank"), "pos",
         F.concat_ws("\t", *cols).alias("value"),
     )
     return head.unionByName(contigs).unionByName(lines)
@@ -77,8 +77,8 @@ def write_fasta(df: DataFrame, path: str, seq_id: str = "seq_id", seq: str = "se
 
 
 def write_bed(df: DataFrame, sizes: DataFrame, path: str, cols: list[str] = ["chrom", "start", "end"]) -> None:
-    """BED in genome order."""
-    ordered = df.join(sizes.select("chrom", "rank"), "chrom").orderBy("rank", cols[1])
+    """BED in genome order; chromosomes without a rank come last."""
+    ordered = df.join(sizes.select("chrom", "rank"), "chrom", "left").orderBy(F.asc_nulls_last("rank"), "chrom", cols[1])
     ordered.select(*cols).write.csv(path, sep="\t")
 
 

@@ -99,8 +99,29 @@ def read_paf(spark: SparkSession, path: Paths) -> DataFrame:
 
 
 def scan_csv_glob(spark: SparkSession, paths: Paths, sep: str = ",", schema: str | None = None) -> DataFrame:
-    """Many CSV files of one shape as one scan."""
-    return spark.read.csv(paths, header=True, sep=sep, schema=schema)
+    """Many CSV files as one table, columns matched by name.
+
+    Files are grouped by their header line, one scan a group; a column that a file
+    lacks is null in its rows.  With a ``schema`` the files are taken to have that shape.
+    """
+    if schema is not None:
+        return spark.read.csv(paths, header=True, sep=sep, schema=schema)
+    first = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"), "value",
+    )
+    # one header line per file reaches the driver, as the file listing does
+    heads = first.filter("at.block = 0").groupBy("file").agg(F.min_by("value", "at").alias("head")).collect()
+    groups: dict[str, list[str]] = {}
+    for r in sorted(heads, key=lambda r: r["file"]):
+        groups.setdefault(r["head"], []).append(r["file"])
+    if not groups:
+        return spark.read.csv(paths, header=True, sep=sep)
+    parts = [spark.read.csv(files, header=True, sep=sep) for files in groups.values()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def read_per_sample(

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import rows
+from locusframe.plans import registry
 from locusframe.plans.views import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -20,7 +21,8 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql_but_the_iterative_one():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"re_marker_set"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"re_marker_set"}
+    assert set(registry.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
