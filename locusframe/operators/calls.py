@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype as G
 from ..functions import variant as V
+from .joins import lookup_join
 
 SITE = ["chrom", "pos", "ref", "alt"]
 
@@ -32,29 +33,25 @@ def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
 # --- site and sample statistics ----------------------------------------------
 
 
-def _allele_counts(strict: bool) -> dict[str, Column]:
-    a = F.split_part(F.col("gt"), F.lit("/"), F.lit(1))
-    b = F.split_part(F.col("gt"), F.lit("/"), F.lit(2))
-    miss = G.gt_is_missing(F.col("gt"))
+def _call_flags(gt: Column, strict: bool) -> tuple[Column, Column, Column, Column]:
+    """Whether a call is missing and heterozygous, and its reference and alternative alleles."""
+    a, b = (F.split_part(gt, F.lit("/"), F.lit(k)) for k in (1, 2))
+    miss = G.gt_is_missing(gt)
     if strict:
-        miss = miss | F.col("gt").contains(".")
-    hits = lambda x: F.sum(
-        F.when(miss, 0).otherwise((a == x).cast("int") + (b == x).cast("int"))
-    )
-    het = ~miss & (a != b) & (a != ".") & (b != ".")
+        miss = miss | gt.contains(".")
+    hits = lambda x: F.when(miss, 0).otherwise((a == x).cast("int") + (b == x).cast("int"))
+    return miss, ~miss & (a != b) & (a != ".") & (b != "."), hits("0"), hits("1")
+
+
+def _allele_counts(strict: bool) -> dict[str, Column]:
+    miss, het, ref, alt = _call_flags(F.col("gt"), strict)
     return {
         "n": F.count("*"), "n_miss": count_if(miss), "n_het": count_if(het),
-        "n_ref_alleles": hits("0"), "n_alt_alleles": hits("1"),
+        "n_ref_alleles": F.sum(ref), "n_alt_alleles": F.sum(alt),
     }
 
 
-def site_stats(calls: DataFrame, strict: bool = False, keys: list[str] = SITE) -> DataFrame:
-    """Missing rate, het rate over the called samples and folded MAF per site.
-
-    A partly missing call such as ``0/.`` counts as called with one allele;
-    ``strict`` counts it as missing.
-    """
-    c = calls.groupBy(*keys).agg(*[v.alias(k) for k, v in _allele_counts(strict).items()])
+def _rates(c: DataFrame, keys: list[str]) -> DataFrame:
     p = ratio(F.col("n_ref_alleles"), F.col("n_ref_alleles") + F.col("n_alt_alleles"))
     q = ratio(F.col("n_alt_alleles"), F.col("n_ref_alleles") + F.col("n_alt_alleles"))
     return c.select(
@@ -65,6 +62,26 @@ def site_stats(calls: DataFrame, strict: bool = False, keys: list[str] = SITE) -
     )
 
 
+def line_stats(lines: DataFrame, strict: bool = False, keys: list[str] = SITE) -> DataFrame:
+    """:func:`site_stats` of rows that hold a whole site, its calls in an array ``gts``.
+
+    One row per line and no shuffle: nothing is exploded.
+    """
+    total = lambda k: F.aggregate("gts", F.lit(0).cast("bigint"), lambda s, g: s + F.coalesce(_call_flags(g, strict)[k].cast("int"), F.lit(0)))
+    counts = {"n": F.size("gts").cast("bigint"), "n_miss": total(0), "n_het": total(1), "n_ref_alleles": total(2), "n_alt_alleles": total(3)}
+    return _rates(lines.select(*keys, *[v.alias(k) for k, v in counts.items()]), keys)
+
+
+def site_stats(calls: DataFrame, strict: bool = False, keys: list[str] = SITE) -> DataFrame:
+    """Missing rate, het rate over the called samples and folded MAF per site.
+
+    A partly missing call such as ``0/.`` counts as called with one allele;
+    ``strict`` counts it as missing.
+    """
+    c = calls.groupBy(*keys).agg(*[v.alias(k) for k, v in _allele_counts(strict).items()])
+    return _rates(c, keys)
+
+
 def filter_sites(
     stats: DataFrame, min_maf: float = 0.0, max_missing: float = 1.0,
     biallelic: bool = True, snp_only: bool = False,
@@ -119,7 +136,7 @@ def group_site_stats(calls: DataFrame, groups: DataFrame, names: list[str]) -> D
         aggs += [ratio(v, n).alias(f"{g}_{k}") for k, v in cnt.items()]
         af = ratio(2 * cnt["alt"] + cnt["het"], 2 * (n - cnt["miss"]), None)
         aggs += [af.alias(f"{g}_af"), F.least(af, 1 - af).alias(f"{g}_maf")]
-    picked = calls.join(groups.filter(F.col("grp").isin(names)), "sample_id")
+    picked = lookup_join(calls, groups.filter(F.col("grp").isin(names)).select("sample_id", "grp"), "sample_id", spread=SITE)
     return picked.groupBy(*SITE).agg(*aggs)
 
 
@@ -283,7 +300,7 @@ def family_calls(
     outcome has ``<role>_<value>`` columns.
     """
     cols = list(roles.values())
-    j = calls.select(*site, "sample_id", *values).join(_families(table, roles), "sample_id")
+    j = lookup_join(calls.select(*site, "sample_id", *values), _families(table, roles), "sample_id", spread=site)
     aggs = [
         F.max(F.when(F.col("role") == r, F.col(v))).alias(f"{r}_{v}") for r in roles for v in values
     ]
@@ -540,7 +557,8 @@ def contribution(calls: DataFrame, families: DataFrame, groups: DataFrame) -> Da
     group and in total; ``families`` is ``p1, p2, child`` and ``groups`` is
     ``chrom, chrom_group``."""
     t = filter_hom_trios(family_calls(calls, families, OFFSPRING), list(OFFSPRING))
-    d = t.filter(F.col("p1_gt") != F.col("p2_gt")).join(groups.select("chrom", "chrom_group").distinct(), "chrom", "left")
+    d = t.filter(F.col("p1_gt") != F.col("p2_gt"))
+    d = lookup_join(d, groups.select("chrom", "chrom_group").distinct(), "chrom", "left")
     cols = list(OFFSPRING)
     own = lambda p: count_if(F.col(f"{p}_gt") == F.col("child_gt"))
     sets = [[*cols, "chrom"], [*cols, "chrom_group"], cols]

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_name
+from ..plans.session import cut_lineage
 from .calls import count_if, ratio
+from .joins import lookup_join
 
 CUTOFFS = [1, 5, 10, 20, 30, 50, 100]
 
@@ -87,13 +89,12 @@ def evenness(depth: DataFrame, share: float = 0.2, keys: list[str] = ["chrom", "
     """Share of samples at or above ``share`` of their own mean, per position.
 
     A sample without a row at a position fails there.  The means are one row per
-    sample and come from a partial aggregate, not from a window that would pull
-    a whole sample into one task.
+    sample, stored and looked up, so no sample is pulled into one task.
     """
-    means = depth.groupBy("sample_id").agg((F.avg("depth") * share).alias("_limit"))
+    means = cut_lineage(depth.groupBy("sample_id").agg((F.avg("depth") * share).alias("_limit")))
     n = means.agg(F.count("*").alias("n")).scalar()
     hit = count_if(F.col("depth") >= F.col("_limit"))
-    return depth.join(means, "sample_id").groupBy(*keys).agg(hit.alias("n_pass")).select(
+    return lookup_join(depth, means, "sample_id", spread=keys).groupBy(*keys).agg(hit.alias("n_pass")).select(
         *keys, "n_pass", (F.col("n_pass") / n).alias("pass_share")
     )
 

@@ -64,6 +64,11 @@ def vcf_calls(v):
     return vcf.read_vcf_calls(v.spark, _vcf(v))
 
 
+@query("src_vcf_site_stats", SITE_STATS.replace("FROM g_calls", f"FROM ({GRID}) x"))
+def vcf_site_stats(v):
+    return C.line_stats(vcf.read_vcf_site_lines(v.spark, _vcf(v)))
+
+
 @query("src_vcf_calls_by_id", f"SELECT * FROM ({GRID}) x WHERE pos % 3 = 0")
 def vcf_calls_by_id(v):
     return vcf.read_vcf_calls(v.spark, _vcf(v), v.g_sites.filter("pos % 3 = 0"))

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import genotype as G
 from ..functions.variant import site_id
+from ..operators.joins import lookup_join
+
+#: Most sample names of all headers that are sent to every executor.
+MOST_NAMES = 1_000_000
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -51,7 +55,9 @@ def _fields(spark: SparkSession, path: str | list[str]) -> DataFrame:
     names = F.slice(cols, F.lit(10), F.greatest(F.size(cols) - 9, F.lit(0)))
     head = _lines(spark, path).filter(F.col("value").startswith("#CHROM\t")).select(file, names.alias("names"))
     body = _body(spark, path).select(file, cols.alias("c"))
-    rows = body.join(head, "file")
+    # a header holds every sample's name, so names count, not rows
+    names_held = head.agg(F.sum(F.size("names"))).first()[0] or 0
+    rows = lookup_join(body, head, "file", spread=["c"], most=MOST_NAMES if names_held <= MOST_NAMES else 0)
     values = F.slice("c", F.lit(10), F.size("names"))
     long = rows.select(
         *_site(F.col("c")), F.split(F.col("c")[8], ":").alias("keys"),
@@ -80,6 +86,18 @@ def read_vcf_calls(spark: SparkSession, path: str | list[str], ids: DataFrame |
     return out.join(ids.select("id"), site_id(F.col("chrom"), F.col("pos")) == F.col("id"), "left_semi")
 
 
+def read_vcf_site_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A row per VCF line: the site and its unphased calls in header order as ``gts``.
+
+    For :func:`calls.line_stats`; needs neither the header nor a shuffle.
+    """
+    cols = F.split("value", "\t")
+    lines = _body(spark, path).select(*_site(cols), F.array_position(F.split(cols[8], ":"), "GT").cast("int").alias("_at"), F.slice(cols, F.lit(10), F.greatest(F.size(cols) - 9, F.lit(0))).alias("_v"))
+    call = lambda v: F.translate(F.coalesce(F.when(F.col("_at") > 0, F.try_element_at(F.split(v, ":"), F.col("_at"))), F.lit(".")), "|", "/")
+    gts = F.transform(F.transform("_v", call), lambda g: F.when(g == ".", "./.").otherwise(g))
+    return lines.select(*SITE, gts.alias("gts"))
+
+
 def read_vcf_coded(
     spark: SparkSession, path: str | list[str], max_alleles: int = 2, max_variants: int | None = None
 ) -> DataFrame:
