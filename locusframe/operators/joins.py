@@ -23,5 +23,5 @@ def lookup_join(
     if small.limit(most + 1).count() <= most:
         return big.join(F.broadcast(small), on, how)
     part = F.pmod(F.xxhash64(*(spread or big.columns)), F.lit(PARTS))
-    copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).cast("bigint"))
+    copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
     return big.withColumn("_part", part).join(copies, [on, "_part"], how).drop("_part")
