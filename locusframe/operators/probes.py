@@ -1,7 +1,7 @@
 """Probe design: genome access, flanks, tiles, scores and site choice.
 
 A genome is a chunk table ``chrom, chunk_no, seq`` of fixed-size pieces, so a
-chromosome is never one row and a fetch touches only the chunks it needs.
+fetch touches only the chunks it needs, and no chunk table row holds a chromosome.
 """
 
 from __future__ import annotations
