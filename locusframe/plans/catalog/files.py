@@ -6,7 +6,6 @@ folder and reads them back with the library's reader.
 
 from pyspark.sql import functions as F
 
-from ...functions import text as X
 from ...operators import calls as C
 from ...operators import coverage as cov
 from ...operators import qc as Q
@@ -213,11 +212,8 @@ def quality_json(v):
     )
     # one report per folder; the folder carries the library name
     path = _text(u.select(text.alias("value"), c("user_id").alias("lib")), v, "json", "lib")
-    raw = v.spark.read.json(path, schema=X.QUALITY_JSON, multiLine=True)
-    lib = F.regexp_extract(F.col("_metadata.file_path"), r"lib=([^/]+)/", 1)
-    side = lambda n: F.struct(F.lit(n).alias("read_type"), c(f"{n}_before_filtering.quality_curves.mean").alias("q"))
-    x = raw.select(lib.alias("libid"), F.explode(F.array(side("read1"), side("read2"))).alias("x")).select("libid", "x.*")
-    return x.select("libid", "read_type", F.size("q").alias("n"), c("q")[0].alias("first_value"))
+    x = reports.read_fastp(v.spark, path, r"lib=([^/]+)/")
+    return x.select("libid", "read_type", F.size("curve").alias("n"), c("curve")[0].alias("first_value"))
 
 
 def _report(v):
@@ -317,6 +313,21 @@ def sniffed(v):
     return tables.read_table(v.spark, path)
 
 
+@query(
+    "src_tables_by_suffix",
+    """SELECT k AS kind, CAST(p_partkey AS VARCHAR) AS p_partkey, p_brand FROM part, (VALUES ('csv'), ('tsv'), ('comma')) t(k)""",
+)
+def tables_by_suffix(v):
+    """One table by suffix .csv, by suffix .tsv, and by its first line."""
+    part, out = v.part.select("p_partkey", "p_brand"), None
+    for kind, end, sep in (("csv", ".csv", ","), ("tsv", ".tsv", "\t"), ("comma", "", ",")):
+        path = scratch(v.spark, "suffix") + end
+        part.write.csv(path, sep=sep, header=True)
+        x = tables.read_table(v.spark, path).select(F.lit(kind).alias("kind"), "p_partkey", "p_brand")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 @query("src_fastq_tree", "SELECT path, libid, read_type FROM g_files")
 def fastq_tree(v):
     return tables.fastq_fields(v.g_files.select("path", F.lit(0).alias("length"))).select("path", "libid", "read_type")

@@ -11,10 +11,10 @@ from .tables import numbered_lines
 _FILE_STEM = r"([^/]+?)(?:\.[^/.]+)*$"
 
 
-def read_fastp(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Mean quality curves per library and read side."""
+def read_fastp(spark: SparkSession, path: str | list[str], name_re: str = _FILE_STEM) -> DataFrame:
+    """Mean quality curves per library and read side; the library's name comes from the path."""
     raw = spark.read.json(path, schema=QUALITY_JSON, multiLine=True)
-    lib = F.regexp_extract(F.col("_metadata.file_path"), _FILE_STEM, 1)
+    lib = F.regexp_extract(F.col("_metadata.file_path"), name_re, 1)
     side = lambda n: F.struct(
         F.lit(n).alias("read_type"), F.col(f"{n}_before_filtering.quality_curves.mean").alias("curve")
     )
