@@ -58,13 +58,24 @@ def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, l
 
     A rule is a set of at most ``longest`` tokens that comes with one label in at least
     ``support`` of the rows, and with that label in at least ``confidence`` of the rows
-    that have the tokens.  A rule is dropped where a proper subset of it gives the same
+    that have the tokens.  Of tokens that come in exactly the same rows only the first by
+    name is used.  A rule is dropped where a proper subset of it gives the same
     label with no less confidence.  Returns ``rule``, ``items``, ``label``, ``confidence``
     and ``support``.  Among rows with m tokens or fewer no more than C(m, 1..longest) /
     support rules exist, however many rows there are.
     """
+    known = stored(labelled.filter("label is not null").withColumn("row", F.monotonically_increasing_id()), "labelled")
+    # tokens of exactly the same rows would double the token sets; the first by name stands for them
+    rows = known.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.xxhash64("row") % 1_000_003).alias("s")
+    )
+    rows = rows.filter(F.col("n") >= support * known.count())
+    alike = stored(rows.groupBy("n", "x", "s").agg(F.min("token").alias("token")).select("token"), "tokens")
+    held = known.select("row", F.explode("tokens").alias("token")).join(alike, "token", "left_semi")
+    held = held.groupBy("row").agg(F.collect_list("token").alias("tokens"))
     marked = F.concat(F.lit("label:"), F.col("label"))
-    baskets = labelled.filter("label is not null").select(F.array_append("tokens", marked).alias("items"))
+    held = known.select("row", "label").join(held, "row", "left")
+    baskets = held.select(F.array_append(F.coalesce("tokens", F.array().cast("array<string>")), marked).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     total = baskets.count()
     found = stored(model.freqItemsets.filter(F.size("items") <= longest + 1), "itemsets")
