@@ -2,7 +2,7 @@
 
 A text is cut into paragraphs: lines, and within a line the sentence ends after eight
 words or more, or 24 words.  Each distinct paragraph's 64-bit digest goes into one cell of each of
-four tables; a cell holds a count, the digests' exclusive or, and that of their
+three tables; a cell holds a count, the digests' exclusive or, and that of their
 checks.  The cells of two versions are subtracted and peeled: a cell with a count of
 one whose check fits gives away a digest, which leaves its other cells.  What is
 peeled is what differs.  Sketches are laid out in parts by the digest's high bits, as
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import ident
 
-TABLES, CELLS, ATTEMPTS = 4, 8, 3
+TABLES, CELLS, ATTEMPTS = 3, 8, 3
 #: Digests that a part is laid out for, of each of two texts.
 PART_DIGESTS = 4
 _WORD = r"\\S++[^\\S\\n]*+"
@@ -55,7 +55,7 @@ def peel(left: str, right: str, shift: int) -> str:
     less = f"zip_with({left}, {right}, (p, q) -> {_CELL.format(c='p.c - q.c', k='p.k ^ q.k', x='p.x ^ q.x')})"
     pure = f"array_distinct(transform(filter({s}.cells, z -> abs(z.c) = 1 and xxhash64(z.k) = z.x), z -> named_struct('c', z.c, 'k', z.k)))"
     drop = _CELL.format(c=f"{a}.c - {q}.c", k=f"{a}.k ^ {q}.k", x=f"{a}.x ^ xxhash64({q}.k)")
-    at = f"(shiftrightunsigned({q}.k, {shift} + 3 * ({i} div {CELLS})) & {CELLS - 1}) = {i} % {CELLS}"
+    at = f"(shiftrightunsigned({q}.k, {shift} + 3 * shiftright({i}, 3)) & {CELLS - 1}) = ({i} & {CELLS - 1})"  # eight cells a table
 
     def step(p: str) -> str:
         after = f"transform({s}.cells, ({z}, {i}) -> if({z}.c = 0 and {z}.k = 0, {z}, aggregate(filter({p}, {q} -> {at}), {z}, ({a}, {q}) -> {drop})))"
@@ -92,7 +92,11 @@ def differing(rows: DataFrame, left: str, rights: dict[str, str]) -> DataFrame:
         for attempt in range(ATTEMPTS):
             if attempt:
                 b, shift = f"b{next(_NAMES)}", TABLES * 3 * attempt
+                k = f"k{next(_NAMES)}"
+                held = f"exists(concat(_left, _right), {k} -> (shiftrightunsigned({k}, {high}) & (_m - 1)) = {b})"
                 each = sketch("_left", "_m", b, shift, lambda x: sketch("_right", "_m", b, shift, lambda y: _let(peel(x, y, shift), done)))
+                # most parts have nothing left to tell apart
+                each = f"if({held}, {each}, named_struct('ok', true, 'found', cast(array() as {_FOUND})))"
                 state = _inline(state.drop("_parts"), {"_parts": f"if(size(_left) + size(_right) = 0, array(), transform(sequence(0, _m - 1), {b} -> {each}))"})
             k = f"k{next(_NAMES)}"
             rest = lambda keys: f"if(forall(_parts, p -> p.ok), array(), filter({keys}, {k} -> not _parts[cast(shiftrightunsigned({k}, {high}) & (_m - 1) as int)].ok))"
