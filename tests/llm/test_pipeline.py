@@ -30,7 +30,10 @@ def test_registry():
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     long = " ".join(docs.filter("lang = 'en'").orderBy("doc_id").first()["text"].split())
-    other = " ".join(docs.filter("lang = 'en' and n_chars > 1500").orderBy("doc_id").first()["text"].split()[:60])
+    # a passage that one other document has, and no copy of it
+    texts = {r["doc_id"]: " ".join(r["text"].split()) for r in docs.filter("lang = 'en'").collect()}
+    starts = [" ".join(t.split()[:60]) for i, t in sorted(texts.items()) if t != long and len(t) > 1500]
+    other = next(p for p in starts if sum(w in t for w in (p[:120], p[-120:]) for t in texts.values()) == 2)
     more = [
         (100001, long, "en", "s", 1), (100002, long + " ", "en", "s", 1), (100003, long + " the end", "en", "s", 1), (100004, "12345 !!", "en", "s", 1),
         (100005, None, None, None, None), (100006, "Все счастливые семьи похожи друг на друга", None, "s", 1), (100007, "hereand theon thting " + other, "en", "s", 1),
