@@ -5,9 +5,11 @@ words or more, or 24 words.  Each distinct paragraph's 64-bit digest goes into o
 three tables; a cell holds a count, the digests' exclusive or, and that of their
 checks.  The cells of two versions are subtracted and peeled: a cell with a count of
 one whose check fits gives away a digest, which leaves its other cells.  What is
-peeled is what differs.  Sketches are laid out in parts by the digest's high bits, as
-many as the texts need; where a part's peeling gets stuck, it is tried again with
-four times the cells and other bits, and twice so before plain set difference.
+peeled is what differs.  A text's sketch is laid out in parts by the digest's high bits, as
+many as the text needs; the sketch that is returned is the one that is compared.  A
+larger one folds to the parts of a smaller one.  Where a part's peeling gets stuck, it is
+tried again from the texts with four times the cells and other bits, and twice so before
+plain set difference.
 """
 
 from __future__ import annotations
@@ -65,48 +67,72 @@ def peel(left: str, right: str, shift: int) -> str:
     return f"aggregate(sequence(1, {TABLES * CELLS // 2}), {start}, ({s}, {r}) -> if(not {s}.more, {s}, {_let(pure, step)}))"
 
 
+def split(keys: str, n: str) -> str:
+    """An array of digests dealt to ``n`` (a power of two) arrays by high bits: first to about sqrt(n) groups, and each group on."""
+    k, g, f = (f"{x}{next(_NAMES)}" for x in "kgf")
+    high = f"shiftrightunsigned({k}, {TABLES * 3 * ATTEMPTS})"
+
+    def dealt(fine: str) -> str:
+        within = lambda own: f"transform(sequence(0L, {fine} - 1), {f} -> filter({own}, {k} -> ({high} & ({fine} - 1)) = {f}))"
+        group = f"filter({keys}, {k} -> ({high} & ({n} - {fine})) = {g} * {fine})"
+        return f"flatten(transform(sequence(0L, {n} div {fine} - 1), {g} -> {_let(group, within)}))"
+
+    return _let(f"cast(pow(2, ceil(log2({n}) / 2)) as bigint)", dealt)
+
+
+def sketch(keys: str, n: str, shift: int = 0) -> str:
+    """The sketch of an array of digests in ``n`` parts."""
+    own = f"o{next(_NAMES)}"
+    return f"transform({split(keys, n)}, {own} -> {cells(own, shift)})"
+
+
+def folded(held: str, n: str, m: str) -> str:
+    """A sketch of ``n`` parts as it would be in ``m``, a power of two no larger."""
+    b, i, a = (f"{x}{next(_NAMES)}" for x in "bia")
+    add = _CELL.format(c="p.c + q.c", k="p.k ^ q.k", x="p.x ^ q.x")
+    one = f"aggregate(sequence({b} + {m}, {n} - 1, {m}), {held}[cast({b} as int)], ({a}, {i}) -> zip_with({a}, {held}[cast({i} as int)], (p, q) -> {add}))"
+    return f"if({n} = {m}, {held}, transform(sequence(0L, {m} - 1), {b} -> {one}))"
+
+
 def differing(rows: DataFrame, left: str, rights: dict[str, str]) -> DataFrame:
     """Add, for each of ``rights`` (output and column), the digests that it does not share with ``left``.
 
-    A digest comes with 1 for the left and -1 for the right side.  The first attempt
-    sketches ``left`` once for all; each later one sees the digests of the parts that were
-    stuck before, in four times as many parts.  An inline() between them keeps the
-    optimizer from merging one attempt into the expressions of the next, which would
-    evaluate it once per use.
+    A digest comes with 1 for the left and -1 for the right side.  Each column's sketch, in as
+    many parts as its own size needs, is added as ``<column>_sketch``.  Two sketches are
+    subtracted in the parts of the smaller one; digests of parts that stay stuck are sketched
+    again in four times as many parts, or as many as the larger has.  An inline() between
+    attempts keeps the optimizer from merging one attempt into the expressions of the next,
+    which would evaluate it once per use.
     """
-    sizes = ", ".join(f"size({x})" for x in (left, *rights.values()))
-    state = _inline(rows, {"_n": f"cast(pow(2, ceil(log2(greatest({sizes}, {PART_DIGESTS}) / {PART_DIGESTS}))) as bigint)"})
     high = TABLES * 3 * ATTEMPTS
+    none = f"named_struct('ok', true, 'found', cast(array() as {_FOUND}))"
     done = lambda p: f"named_struct('ok', forall({p}.cells, z -> z.c = 0 and z.k = 0 and z.x = 0), 'found', {p}.found)"
-
-    def sketch(keys: str, n: str, b: str, shift: int, body) -> str:
-        k = f"k{next(_NAMES)}"
-        return _let(_let(f"filter({keys}, {k} -> (shiftrightunsigned({k}, {high}) & ({n} - 1)) = {b})", lambda own: cells(own, shift)), body)
-
-    b = f"b{next(_NAMES)}"
-    tried = lambda own: "array(" + ", ".join(sketch(r, "_n", b, 0, lambda other: _let(peel(own, other, 0), done)) for r in rights.values()) + ")"
-    state = _inline(state, {"_first": f"transform(sequence(0, _n - 1), {b} -> {sketch(left, '_n', b, 0, tried)})"})
-    for j, (out, right) in enumerate(rights.items()):
-        state = _inline(state, {"_parts": f"transform(_first, x -> x[{j}])"})
-        state = state.withColumns({"_left": F.col(left), "_right": F.col(right), "_m": F.col("_n"), out: F.expr(f"cast(array() as {_FOUND})")})
+    every = dict.fromkeys((left, *rights.values()))
+    state = _inline(rows, {f"_n_{x}": f"cast(pow(2, ceil(log2(greatest(size({x}), {PART_DIGESTS}) / {PART_DIGESTS}))) as bigint)" for x in every})
+    state = _inline(state, {f"{x}_sketch": sketch(x, f"_n_{x}") for x in every})
+    for out, right in rights.items():
+        state = state.withColumns({"_left": F.col(left), "_right": F.col(right), "_m": F.least(f"_n_{left}", f"_n_{right}"), out: F.expr(f"cast(array() as {_FOUND})")})
         for attempt in range(ATTEMPTS):
+            x, y = (f"{c}{next(_NAMES)}" for c in "xy")
             if attempt:
-                b, shift = f"b{next(_NAMES)}", TABLES * 3 * attempt
-                k = f"k{next(_NAMES)}"
-                held = f"exists(concat(_left, _right), {k} -> (shiftrightunsigned({k}, {high}) & (_m - 1)) = {b})"
-                each = sketch("_left", "_m", b, shift, lambda x: sketch("_right", "_m", b, shift, lambda y: _let(peel(x, y, shift), done)))
+                shift = TABLES * 3 * attempt
+                both = _let(cells(x, shift), lambda p: _let(cells(y, shift), lambda q: _let(peel(p, q, shift), done)))
                 # most parts have nothing left to tell apart
-                each = f"if({held}, {each}, named_struct('ok', true, 'found', cast(array() as {_FOUND})))"
-                state = _inline(state.drop("_parts"), {"_parts": f"if(size(_left) + size(_right) = 0, array(), transform(sequence(0, _m - 1), {b} -> {each}))"})
+                each = f"zip_with({split('_left', '_m')}, {split('_right', '_m')}, ({x}, {y}) -> if(size({x}) + size({y}) = 0, {none}, {both}))"
+                state = _inline(state.drop("_parts"), {"_parts": f"if(size(_left) + size(_right) = 0, array(), {each})"})
+            else:
+                ends = ", ".join(folded(f"{c}_sketch", f"_n_{c}", "_m") for c in (left, right))
+                state = _inline(state, {"_parts": f"zip_with({ends}, ({x}, {y}) -> if({x} = {y}, {none}, {_let(peel(x, y, 0), done)}))"})
             k = f"k{next(_NAMES)}"
             rest = lambda keys: f"if(forall(_parts, p -> p.ok), array(), filter({keys}, {k} -> not _parts[cast(shiftrightunsigned({k}, {high}) & (_m - 1) as int)].ok))"
             found = f"concat({out}, flatten(transform(filter(_parts, p -> p.ok), p -> p.found)))"
-            state = _inline(state, {"_l": rest("_left"), "_r": rest("_right"), "_k": "4 * _m", "_f": found})
+            more = "4 * _m" if attempt else f"greatest(4 * _m, _n_{left}, _n_{right})"
+            state = _inline(state, {"_l": rest("_left"), "_r": rest("_right"), "_k": more, "_f": found})
             state = state.drop("_left", "_right", "_m", out).withColumnsRenamed({"_l": "_left", "_r": "_right", "_k": "_m", "_f": out})
         one = lambda x, y, c: f"transform(array_except({x}, {y}), k -> named_struct('c', {c}, 'k', k))"
         state = _inline(state, {"_f": f"concat({out}, {one('_left', '_right', '1')}, {one('_right', '_left', '-1')})"})
         state = state.drop("_left", "_right", "_m", "_parts", out).withColumnRenamed("_f", out)
-    return state.drop("_first", "_n")
+    return state.drop(*(f"_n_{x}" for x in every))
 
 
 def _inline(rows: DataFrame, named: dict[str, str]) -> DataFrame:
@@ -115,10 +141,10 @@ def _inline(rows: DataFrame, named: dict[str, str]) -> DataFrame:
     return rows.select("*", F.expr(f"inline(array(named_struct({fields})))").alias(*named))
 
 
-def fingerprint(keys: str) -> str:
-    """The sketch of one part as text: for each cell two bytes of count, eight of digests, two of checks."""
-    packed = "concat(lpad(hex(z.c & 65535), 4, '0'), lpad(hex(z.k), 16, '0'), lpad(hex(z.x & 65535), 4, '0'))"
-    return f"base64(unhex(array_join(transform({cells(keys)}, z -> {packed}), '')))"
+def fingerprint(held: str) -> str:
+    """A sketch as text: its parts in order, for each cell four bytes of count, eight of digests, eight of checks."""
+    packed = "concat(lpad(hex(z.c), 8, '0'), lpad(hex(z.k), 16, '0'), lpad(hex(z.x), 16, '0'))"
+    return f"base64(unhex(array_join(transform(flatten({held}), z -> {packed}), '')))"
 
 
 def likeness(left: str, right: str, found: str) -> str:
@@ -156,7 +182,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text has its last third replaced by the start of the next one's text, by
     descending id.  Returns a row per input row: ``id``, ``n_chars``, ``edited`` (text),
-    ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next`` (shared share of the
+    ``fingerprint`` and ``edited_fingerprint`` (the sketches compared), ``near_edited``, ``near_next`` (shared share of the
     paragraphs, 1 for two empty texts) and ``differing`` (the digests that the edit changed, by
     side).  A null text is empty; a null id counts as the smallest bigint; rows that repeat an
     id are ordered by a hash of the text.  Other columns are not read.
@@ -173,6 +199,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.drop("text", "next")
     rows = differing(rows, "own", {"differing": "new", "other": "following"})
     return rows.selectExpr(
-        "id", "n_chars", "edited", f"{fingerprint('own')} as fingerprint", f"{fingerprint('new')} as edited_fingerprint",
+        "id", "n_chars", "edited", f"{fingerprint('own_sketch')} as fingerprint", f"{fingerprint('new_sketch')} as edited_fingerprint",
         f"{likeness('own', 'new', 'differing')} as near_edited", f"{likeness('own', 'following', 'other')} as near_next", "differing",
     )
