@@ -59,18 +59,18 @@ def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, l
     A rule is a set of at most ``longest`` tokens that comes with one label in at least
     ``support`` of the rows, and with that label in at least ``confidence`` of the rows
     that have the tokens.  Of tokens that come in exactly the same rows only the first by
-    name is used.  A rule is dropped where a proper subset of it gives the same
+    name is mined; ``members`` has, for each of ``items``, all those tokens.  A rule is dropped where a proper subset of it gives the same
     label with no less confidence.  Returns ``rule``, ``items``, ``label``, ``confidence``
     and ``support``.  Among rows with m tokens or fewer no more than C(m, 1..longest) /
     support rules exist, however many rows there are.
     """
     known = stored(labelled.filter("label is not null").withColumn("row", F.monotonically_increasing_id()), "labelled")
-    # tokens of exactly the same rows would double the token sets; the first by name stands for them
+    # tokens of exactly the same rows would double the token sets; the first by name stands for them all
     rows = known.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.xxhash64("row") % 1_000_003).alias("s")
     )
     rows = rows.filter(F.col("n") >= support * known.count())
-    alike = stored(rows.groupBy("n", "x", "s").agg(F.min("token").alias("token")).select("token"), "tokens")
+    alike = stored(rows.groupBy("n", "x", "s").agg(F.min("token").alias("token"), F.array_sort(F.collect_list("token")).alias("members")).select("token", "members"), "tokens")
     held = known.select("row", F.explode("tokens").alias("token")).join(alike, "token", "left_semi")
     held = held.groupBy("row").agg(F.collect_list("token").alias("tokens"))
     marked = F.concat(F.lit("label:"), F.col("label"))
@@ -87,12 +87,21 @@ def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, l
     rules = split.filter(F.size("label") == 1).join(alone, "items").select(
         "items", F.expr("substring(label[0], 7)").alias("label"), (F.col("freq") / F.col("all")).alias("confidence"), (F.col("freq") / F.lit(max(total, 1))).alias("support")
     ).filter(F.col("confidence") >= confidence)
-    rules = stored(rules.withColumn("rule", F.concat_ws(" ", F.concat(F.lit(""), F.array_join("items", " & ")), F.lit("=>"), F.col("label"))), "rules")
+    rules = stored(rules.withColumn("rule", _text("items")), "rules")
     # subsets of at most ``longest`` items, by one join on the subset's text
     subsets = rules.select("rule", "label", "confidence", F.explode(_proper_subsets(F.col("items"), longest)).alias("sub"))
     smaller = rules.select(F.col("items").alias("sub"), "label", F.col("confidence").alias("c"))
     beaten = subsets.join(smaller, ["sub", "label"]).filter("c >= confidence").select("rule").distinct()
-    return stored(rules.join(beaten, "rule", "left_anti"), "kept-rules")
+    kept = rules.join(beaten, "rule", "left_anti")
+    named = kept.select("rule", F.posexplode("items").alias("k", "token")).join(alike, "token").groupBy("rule").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("k", "members"))), lambda x: x["members"]).alias("members")
+    )
+    return stored(kept.join(named, "rule"), "kept-rules")
+
+
+def _text(items: str) -> Column:
+    """A rule as text, with the label of its row."""
+    return F.concat_ws(" ", F.array_join(items, " & "), F.lit("=>"), F.col("label"))
 
 
 def _proper_subsets(items: Column, longest: int) -> Column:
@@ -105,15 +114,18 @@ def _proper_subsets(items: Column, longest: int) -> Column:
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """For each row of ``key`` and ``tokens`` that a rule fits: its best rule.
 
-    The inverted index has a row per rule and token; a rule fits where all its tokens
-    are met.  The most confident rule wins, then the one with more support, then the
-    longer, then the first by text.  Returns ``key``, ``label``, ``rule`` and ``confidence``.
+    The inverted index has a row per rule, item and token that stands for the item; a rule
+    fits where a token of each of its items is met, and is then named by the first of
+    them.  The most confident rule wins, then the one with more support, then the longer,
+    then the first by text.  Returns ``key``, ``label``, ``rule`` and ``confidence``.
     """
-    index = rules.select(F.explode("items").alias("token"), "rule", "label", "confidence", "support", F.size("items").alias("size"))
+    index = rules.select(F.posexplode("members").alias("item", "tokens"), "rule", "label", "confidence", "support", F.size("items").alias("size"))
+    index = index.withColumn("token", F.explode("tokens")).drop("tokens")
     met = urls.select("key", F.explode("tokens").alias("token")).join(index, "token")
-    fits = met.groupBy("key", "rule").agg(
-        F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("label", "confidence", "support", "size")]
-    ).filter("n = size")
+    facts = [F.first(c).alias(c) for c in ("label", "confidence", "support", "size")]
+    met = met.groupBy("key", "rule", "item").agg(F.min("token").alias("token"), *facts)
+    fits = met.groupBy("key", "rule").agg(F.array_sort(F.collect_list("token")).alias("tokens"), *facts).filter("size(tokens) = size")
+    fits = fits.withColumn("rule", _text("tokens"))
     best = F.min(F.struct(-F.col("confidence"), -F.col("support"), -F.col("size"), F.col("rule"), F.col("label"), F.col("confidence"))).alias("b")
     return fits.groupBy("key").agg(best).select("key", F.col("b.label").alias("label"), F.col("b.rule").alias("rule"), F.col("b.confidence").alias("confidence"))
 

@@ -47,3 +47,17 @@ def test_mined_rules(spark):
     found = {r["key"]: r["label"] for r in match(urls, mine(frame, 0.1, 0.8)).collect()}
     assert found == {1: "block", 3: "allow"}
     assert mine(frame.limit(0)).agg(F.count("*")).first()[0] == 0
+
+
+def test_tokens_of_the_same_rows(spark):
+    """Any token of a class makes the rule fit, and names it."""
+    labels = [("http://a.example.net/x", "block")] * 6 + [("http://a.example.org/x", "allow")] * 6
+    labels = spark.createDataFrame(labels, "url string, label string")
+    pages = ["https://other.net/en/1", "https://www.example.net/", "https://other.org/", "https://example.com/"]
+    got = {r["id"]: r for r in judge(spark.createDataFrame(list(enumerate(pages)), "page_id int, url string"), [], labels).collect()}
+    assert [(got[k]["verdict"], got[k]["mined_rule"]) for k in range(4)] == [
+        ("block", "host:net => block"), ("block", "host:example.net => block"), ("allow", "host:org => allow"), ("allow", None)
+    ]
+    rules = mine(spark.createDataFrame([(["a", "b", "c"], "block")] * 3 + [(["c"], "allow")] * 3 + [(["a", "b"], "allow")] * 3, "tokens array<string>, label string"), 0.1, 0.9)
+    urls = spark.createDataFrame([(1, ["b", "c"]), (2, ["a", "b"]), (3, ["c", "a", "b"])], "key long, tokens array<string>")
+    assert {r["key"]: r["rule"] for r in match(urls, rules).collect()} == {1: "b & c => block", 3: "a & c => block"}
