@@ -53,16 +53,15 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(F.array(scheme), F.when(h == "", F.array().cast("array<string>")).otherwise(domains), words))
 
 
-def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, longest: int = 3) -> DataFrame:
+def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9) -> DataFrame:
     """Rules from rows of ``tokens`` and ``label``.
 
-    A rule is a set of at most ``longest`` tokens that comes with one label in at least
+    A rule is a set of tokens, however many, that comes with one label in at least
     ``support`` of the rows, and with that label in at least ``confidence`` of the rows
     that have the tokens.  Of tokens that come in exactly the same rows only the first by
     name is mined; ``members`` has, for each of ``items``, all those tokens.  A rule is dropped where a proper subset of it gives the same
     label with no less confidence.  Returns ``rule``, ``items``, ``label``, ``confidence``
-    and ``support``.  Among rows with m tokens or fewer no more than C(m, 1..longest) /
-    support rules exist, however many rows there are.
+    and ``support``.
     """
     known = stored(labelled.filter("label is not null").withColumn("row", F.monotonically_increasing_id()), "labelled")
     # tokens of exactly the same rows would double the token sets; the first by name stands for them all
@@ -78,21 +77,27 @@ def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, l
     baskets = held.select(F.array_append(F.coalesce("tokens", F.array().cast("array<string>")), marked).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     total = baskets.count()
-    found = stored(model.freqItemsets.filter(F.size("items") <= longest + 1), "itemsets")
+    found = stored(model.freqItemsets, "itemsets")
     is_label = lambda x: x.startswith("label:")
     split = found.select(
         F.array_sort(F.filter("items", lambda x: ~is_label(x))).alias("items"), F.filter("items", is_label).alias("label"), "freq"
     ).filter(F.size("items") > 0)
     alone = split.filter(F.size("label") == 0).select("items", F.col("freq").alias("all"))
-    rules = split.filter(F.size("label") == 1).join(alone, "items").select(
+    both = split.filter(F.size("label") == 1).join(alone, "items").select(
         "items", F.expr("substring(label[0], 7)").alias("label"), (F.col("freq") / F.col("all")).alias("confidence"), (F.col("freq") / F.lit(max(total, 1))).alias("support")
-    ).filter(F.col("confidence") >= confidence)
-    rules = stored(rules.withColumn("rule", _text("items")), "rules")
-    # subsets of at most ``longest`` items, by one join on the subset's text
-    subsets = rules.select("rule", "label", "confidence", F.explode(_proper_subsets(F.col("items"), longest)).alias("sub"))
-    smaller = rules.select(F.col("items").alias("sub"), "label", F.col("confidence").alias("c"))
-    beaten = subsets.join(smaller, ["sub", "label"]).filter("c >= confidence").select("rule").distinct()
-    kept = rules.join(beaten, "rule", "left_anti")
+    )
+    both = stored(both, "weighed")
+    # by size: the greatest confidence of a set's proper subsets is that of the sets one item smaller and of theirs
+    kept = both.limit(0)
+    below = both.limit(0).select(F.col("items").alias("sub"), "label", F.col("confidence").alias("c"))
+    for size in range(1, (both.agg(F.max(F.size("items"))).first()[0] or 0) + 1):
+        level = both.filter(F.size("items") == size)
+        smaller = level.select("items", "label", F.explode(_one_smaller(F.col("items"))).alias("sub")).join(below, ["sub", "label"])
+        smaller = smaller.groupBy("items", "label").agg(F.max("c").alias("c"))
+        level = stored(level.join(smaller, ["items", "label"], "left").select(*both.columns, F.coalesce("c", F.lit(0.0)).alias("c")), "level")
+        kept = kept.union(level.filter((F.col("confidence") >= confidence) & (F.col("confidence") > F.col("c"))).drop("c"))
+        below = level.select(F.col("items").alias("sub"), "label", F.greatest("confidence", "c").alias("c"))
+    kept = stored(kept.withColumn("rule", _text("items")), "rules")
     named = kept.select("rule", F.posexplode("items").alias("k", "token")).join(alike, "token").groupBy("rule").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("k", "members"))), lambda x: x["members"]).alias("members")
     )
@@ -104,11 +109,9 @@ def _text(items: str) -> Column:
     return F.concat_ws(" ", F.array_join(items, " & "), F.lit("=>"), F.col("label"))
 
 
-def _proper_subsets(items: Column, longest: int) -> Column:
-    """All subsets that lack at least one item, the empty one left out."""
-    masks = F.sequence(F.lit(1), (F.lit(2) ** F.size(items)).cast("int") - 2)
-    pick = lambda m: F.filter(items, lambda x, k: F.floor(m / F.pow(F.lit(2), k)) % 2 == 1)
-    return F.when(F.size(items) > 1, F.transform(masks, pick)).otherwise(F.array().cast("array<array<string>>"))
+def _one_smaller(items: Column) -> Column:
+    """The subsets that lack one item."""
+    return F.transform(items, lambda x: F.filter(items, lambda y: y != x))
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -61,3 +61,13 @@ def test_tokens_of_the_same_rows(spark):
     rules = mine(spark.createDataFrame([(["a", "b", "c"], "block")] * 3 + [(["c"], "allow")] * 3 + [(["a", "b"], "allow")] * 3, "tokens array<string>, label string"), 0.1, 0.9)
     urls = spark.createDataFrame([(1, ["b", "c"]), (2, ["a", "b"]), (3, ["c", "a", "b"])], "key long, tokens array<string>")
     assert {r["key"]: r["rule"] for r in match(urls, rules).collect()} == {1: "b & c => block", 3: "a & c => block"}
+
+
+def test_long_rules(spark):
+    """A rule of four tokens, whose smaller subsets are not sure enough, and none of its supersets."""
+    rows = [("abcd", "block"), ("abcde", "block")] * 9 + [(t, "allow") for t in ("abc", "abd", "acd", "bcd") for _ in range(4)]
+    frame = spark.createDataFrame([(list(t), x) for t, x in rows], "tokens array<string>, label string")
+    got = mine(frame, 0.1, 0.9)
+    assert {"".join(r["items"]): r["confidence"] for r in got.filter("label = 'block'").collect()} == {"abcd": 1.0, "e": 1.0}
+    urls = spark.createDataFrame([(1, list("abcdx")), (2, list("abd"))], "key long, tokens array<string>")
+    assert {r["key"]: r["label"] for r in match(urls, got.filter("label = 'block'")).collect()} == {1: "block"}
