@@ -211,3 +211,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         given("id").alias("doc_id"), held_out("id", 5, 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
     )
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens of two tokenizers over the same bytes, and how usual their links are."""
+    import public_tokenizers as P
+
+    from .align import align
+
+    found = align(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.PATTERN, P.path("piece_bpe_32k.model"))
+    return found.select(given("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
