@@ -222,3 +222,50 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = align(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.PATTERN, P.path("piece_bpe_32k.model"))
     return found.select(given("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+_OP13_SQL = r"""
+with t as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first) as n
+  from conversations
+), h as (
+  select c, (crc % 4)::bigint as h, c - c % 20 as head from (
+    select c, xor(4294967295::ubigint, list_reduce(
+      list_prepend(4294967295::ubigint, list_transform(string_split(c::varchar, ''), lambda d: ascii(d)::ubigint)),
+      lambda x, b: xor(x >> 8, list_reduce(list_prepend(xor(x & 255::ubigint, b), [0, 0, 0, 0, 0, 0, 0, 0]::ubigint[]),
+        lambda y, z: xor(y >> 1, 3988292384::ubigint * (y & 1::ubigint))))
+    )) as crc from (select distinct c from t))
+), r as (
+  select h.c, t.n - 3 as n, t.role, t.text from h join t on t.c = h.head and t.n <= h.h
+  union all select h.c, t.n, t.role, t.text from h join t on t.c = h.c and t.n > h.h
+), p as (
+  select c, row_number() over (partition by c order by n) as d, sha256(strlen(role) || ':' || role || text) as turn,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from r
+), m as (
+  select c, d, words, sha256(string_agg(turn, '') over (partition by c order by d)) as key from p
+  union all select c, 0, 0, '' from h
+), n as (select key, min(c) as c, max(d) as d, count(*) as n, max(words) as words from m group by key
+), up as (select n.key, m.key as parent from n join m on m.c = n.c and m.d = n.d - 1
+), kids as (select parent as key, count(*) as n from up group by 1
+), sub as (
+  select m.key, sum((k.key is null)::bigint) as leaves, sum((n.n - 1) * n.words) as tokens
+  from n join m on m.c = n.c and m.d <= n.d left join kids k on k.key = n.key group by 1
+), ends as (
+  select key, sha256(string_agg(c::varchar, ',' order by c)) as sha from (select c, max(d) as d from m group by c) join m using (c, d) group by 1
+)
+select n.c as conv_id, n.d as depth, q.c as parent_conv_id, n.n as n_convs, coalesce(k.n, 0) as n_children, leaves::bigint as n_leaves,
+  tokens::bigint as saved_tokens, coalesce(e.sha, sha256('')) as ends_sha256
+from n join sub using (key) left join up using (key) left join n q on q.key = up.parent left join kids k on k.key = n.key left join ends e on e.key = n.key
+"""
+
+
+@query("op13_prefix_trie", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations."""
+    from .prefixes import prefix_trie
+
+    found = prefix_trie(table(spark, sf_dir, "conversations"), block=20, borrowed=3)
+    return found.select(
+        given("conv").alias("conv_id"), F.col("depth").cast("bigint").alias("depth"), given("above").alias("parent_conv_id"),
+        "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256",
+    )
