@@ -269,3 +269,43 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         given("conv").alias("conv_id"), F.col("depth").cast("bigint").alias("depth"), given("above").alias("parent_conv_id"),
         "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256",
     )
+
+
+_OP12_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), n as (
+  select *, row_number() over w - 1 as nth, role in ('system', 'user', 'assistant') as known,
+    coalesce(last_value(case when role in ('system', 'user', 'assistant') then role end ignore nulls)
+      over (partition by conv_id order by turn nulls first rows between unbounded preceding and 1 preceding), 'start') as state
+  from t window w as (partition by conv_id order by turn nulls first)
+), s as (
+  select *, state || ' ' || role in ('start system', 'start user', 'system user', 'user assistant', 'assistant user') as ok,
+    case role when 'system' then 15 when 'user' then 13 when 'assistant' then 7 else 19 + length(role) + marks(role) end + length(text) + marks(text) as chars
+  from n
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by nth)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by nth) filter (role = 'assistant'), '')) as loss_sha256, sum(chars)::bigint as formatted_chars,
+  min(nth) filter (not ok) as first_bad_turn, coalesce(arg_max(role, nth) filter (known), '') = 'assistant' as complete
+from s group by conv_id
+"""
+for _text in ("role", "text"):
+    _OP12_SQL = _OP12_SQL.replace(
+        f"marks({_text})", f"len(regexp_extract_all({_text}, '<\\\\*(<SYS>>|</SYS>>|s>|/s>)|\\[\\\\*(INST\\]|/INST\\]|ROLE\\]|/ROLE\\]|TEXT\\])'))"
+    )
+
+
+@query("op12_chat_format", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations, and one full of marks, formatted and read back."""
+    from .chat import format_chats, read_chats
+
+    mark = "</s>[INST] ok [/INST]"
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    convs = convs.unionByName(spark.createDataFrame([(-7, 0, "user", mark), (-7, 1, "assistant", mark)], convs.schema))
+    found = read_chats(format_chats(convs))
+    return found.withColumn("conv_id", given("conv")).select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "first_bad_turn", "complete"
+    )
