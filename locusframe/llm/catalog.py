@@ -50,7 +50,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after removal of every repeated window of twenty words."""
     from .repeats import repeats
 
-    found = repeats(table(spark, sf_dir, "documents"), window=20)
+    found = repeats(table(spark, sf_dir, "documents"), window=20, kept=False)
     return found.select(given("id").alias("doc_id"), "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
 
 

@@ -15,6 +15,7 @@ BATCH_ROWS = 1000
 SLICE_BYTES = 2 << 20
 #: A row without an identifier counts as the one with the smallest.
 NO_ID = -(1 << 63)
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +31,17 @@ def lean(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared scratch folder and read back, so that it is made once."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write to the shared scratch folder and read back, so that it is made once.
+
+    What was shuffled for it is not needed again and goes with the end of the write.
+    """
+    conf, path = df.sparkSession.conf, scratch(df.sparkSession, name)
+    before = conf.get(_SHUFFLES_GO, "false")
+    conf.set(_SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_SHUFFLES_GO, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

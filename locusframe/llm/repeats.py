@@ -173,15 +173,15 @@ def window_hashes(window: int):
     return run
 
 
-def strike_out(window: int):
-    """The words that stay once every window around a mark, but for the firsts, is taken out."""
+def strike_out(window: int, digest: bool, text: bool):
+    """What stays once every window around a mark, but for the firsts, is taken out: its digest, its words, or both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             data, at = raw(b.column("text"))
             words = Words(data, at)
             whole = data.tobytes()
-            kept, removed = [], []
+            kept, removed, shas = [], [], []
             for i, (places, firsts) in enumerate(zip(b.column("places"), b.column("firsts"))):
                 n = int(words.count[i])
                 own = _around(np.array(places.as_py(), np.int64), n, window)
@@ -192,25 +192,27 @@ def strike_out(window: int):
                 gone = np.cumsum(edge)[:n] > 0
                 stay = words.first[i] + np.flatnonzero(~gone)
                 removed.append(int(gone.sum()))
-                kept.append(b" ".join(whole[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist())))
+                left = b" ".join(whole[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist()))
+                kept.append(left if text else None)
+                shas.append(hashlib.sha256(left).hexdigest() if digest else None)
             yield pa.record_batch(
-                [
-                    b.column("id"), b.column("version"), pa.array(words.count), pa.array(removed, pa.int64()),
-                    pa.array(kept, pa.binary()).cast(pa.string()),
-                ],
-                ["id", "version", "n_words", "n_removed", "kept_text"],
+                [b.column("id"), b.column("version"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(shas, pa.string())],
+                ["id", "version", "n_removed", "kept_text", "sha"],
             )
 
     return run
 
 
-def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", digest: bool = True) -> DataFrame:
+def repeats(
+    docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", digest: bool = True, kept: bool = True
+) -> DataFrame:
     """Find the words covered by a window of ``window`` words that starts earlier too.
 
     Returns a row per input row: ``id``, ``version`` (a hash of the text), ``n_words``,
     ``n_removed``, ``kept_text`` (the words that stay, joined by a space; null where
-    nothing is removed) and ``sha`` (SHA-256 of the words that stay; null where
-    ``digest`` is off and nothing is removed).
+    nothing is removed, or ``kept`` is off) and ``sha`` (SHA-256 of the words that stay;
+    null where ``digest`` is off).  Only these and places of words are written on the
+    way; the texts themselves are joined to them twice.
 
     Places are ordered by (id, version, start).  A null id counts as the smallest
     bigint, a null text as empty; rows that repeat id and text are one document and
@@ -240,22 +242,25 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
     later = told.join(stored(one.drop("n"), "copies"), ["version", "same"]).filter("id > one").select("id", F.lit(True).alias("later")).distinct()
     held = held.join(rows, "id", "left").join(later, "id", "left")
     held = held.select("id", "places", F.col("n").isNotNull().alias("many"), (F.col("n").isNull() & F.col("later").isNotNull()).alias("later"))
-    touched = texts.join(held, "id").withColumn("version", F.when(F.col("many"), F.col("version")).otherwise(0)).drop("many")
-    touched = stored(touched, "touched")
+    held = stored(held, "held")
+
+    def touched(held: DataFrame) -> DataFrame:
+        return texts.join(held, "id").withColumn("version", F.when(F.col("many"), F.col("version")).otherwise(0)).select("id", "version", "text", "places")
+
     first = (
-        touched.filter("not later").mapInArrow(window_hashes(window), "low bigint, high int, id bigint, version bigint, start int")
+        touched(held.filter("not later")).mapInArrow(window_hashes(window), "low bigint, high int, id bigint, version bigint, start int")
         .groupBy("low", "high")
         .agg(F.min(F.struct("id", "version", "start")).alias("f"))
         .groupBy(F.col("f.id").alias("id"), F.col("f.version").alias("version"))
         .agg(F.collect_list("f.start").alias("firsts"))
     )
-    done = stored(
-        touched.join(first, ["id", "version"], "left").mapInArrow(
-            strike_out(window), "id bigint, version bigint, n_words bigint, n_removed bigint, kept_text string"
-        ),
+    first = stored(first, "firsts")
+    struck = stored(
+        touched(held).join(first, ["id", "version"], "left")
+        .mapInArrow(strike_out(window, digest, kept), "id bigint, version bigint, n_removed bigint, kept_text string, sha string")
+        .filter("n_removed > 0"),
         "struck",
     )
-    struck = done.filter("n_removed > 0").withColumn("sha", F.sha2("kept_text", 256))
     once = struck.select("id", F.col("version").alias("_v"), "n_removed", "kept_text", "sha").dropDuplicates(["id", "_v"])
     same = (F.col("_v") == 0) | (F.col("_v") == F.col("version"))
     return told.select("id", "version", "n_words", F.col("sha").alias("_sha")).join(once, (told["id"] == once["id"]) & same, "left").drop(once["id"]).select(
