@@ -165,7 +165,7 @@ def centre_probes(
 
 
 def side_probes(sites: DataFrame, genome: DataFrame, length: int = 120, chunk: int = CHUNK) -> DataFrame:
-    """Left and right probes of indel sites."""
+    """Left and right probes of indel sites; empty where the genome has no base on that side."""
     at = F.col("pos") - 1
     sides = F.array(
         F.struct(F.lit("left").alias("kind"), F.greatest(at - length, F.lit(0)).cast("bigint").alias("s"), at.cast("bigint").alias("e")),
@@ -177,7 +177,7 @@ def side_probes(sites: DataFrame, genome: DataFrame, length: int = 120, chunk: i
         .select("*", F.col("_x.kind").alias("sequence_type"), F.col("_x.s").alias("_s"), F.col("_x.e").alias("_e"))
         .drop("_x")
     )
-    return fetch(r, genome, chunk, "_s", "_e", "sequence").drop("_s", "_e")
+    return fetch(r, genome, chunk, "_s", "_e", "sequence").fillna("", ["sequence"]).drop("_s", "_e")
 
 
 # --- tiles -------------------------------------------------------------------

@@ -291,15 +291,16 @@ def select_tiles(v):
 
 @query(
     "scl_probe_overlay",
-    """SELECT concat('p', CAST(seq_id AS VARCHAR)) AS probe_id, concat(substr(seq, 1, 4), 'A', substr(seq, 6, 4), 'C', substr(seq, 11)) AS ref_seq
-  FROM g_seq WHERE length(seq) > 20""",
+    """WITH m AS (SELECT seq_id, seq, CAST(least(5, greatest(1, length(seq))) AS INT) AS a, CAST(least(10, greatest(1, length(seq))) AS INT) AS b FROM g_seq),
+f AS (SELECT seq_id, b, concat(substr(seq, 1, a - 1), 'A', substr(seq, a + 1)) AS s FROM m)
+SELECT concat('p', CAST(seq_id AS VARCHAR)) AS probe_id, concat(substr(s, 1, b - 1), 'C', substr(s, b + 1)) AS ref_seq FROM f""",
 )
 def probe_overlay(v):
-    x = v.g_seq.filter("length(seq) > 20")
-    rec = lambda at, marker, n: x.selectExpr(
-        f"concat('p', seq_id, '_{at}') AS id", f"{n} AS line_no",
-        f"concat(substr(seq, 1, {at - 1}), '{marker}', substr(seq, {at + 1})) AS seq",
-    )
+    def rec(most, marker, n):
+        # at the last base of a shorter text
+        x = v.g_seq.withColumn("at", F.least(F.lit(most), F.greatest(F.lit(1), F.length("seq"))))
+        return x.selectExpr("concat('p', seq_id, '_', at) AS id", f"{n} AS line_no", f"concat(substr(seq, 1, at - 1), '{marker}', substr(seq, at + 1)) AS seq")
+
     return P.probe_references(rec(5, "[A/G]", 1).unionByName(rec(10, "[C/T]", 2)))
 
 

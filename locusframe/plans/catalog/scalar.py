@@ -324,14 +324,13 @@ def probe_score(v):
 
 @query(
     "scl_parse_marker",
-    """SELECT seq_id, concat(substr(seq, 1, 10), 'A', substr(seq, 12)) = ref_seq AS same, 10 AS left_len, 'A/G' AS alleles FROM (
-  SELECT seq_id, seq, concat(substr(seq, 1, 10), 'A', substr(seq, 12)) AS ref_seq FROM g_seq WHERE length(seq) > 20) x""",
+    """SELECT seq_id, md5(concat(substr(seq, 1, 10), 'A', substr(seq, 12))) AS ref_md5, CAST(least(10, length(seq)) AS INT) AS left_len, 'A/G' AS alleles FROM g_seq""",
 )
 def parse_marker(v):
-    x = v.g_seq.filter("length(seq) > 20").withColumn("m", F.expr("concat(substr(seq, 1, 10), '[A/G]', substr(seq, 12))"))
+    # behind the tenth base, or at the end of a shorter text
+    x = v.g_seq.withColumn("m", F.expr("concat(substr(seq, 1, 10), '[A/G]', substr(seq, 12))"))
     p = S.parse_marker(c("m"))
-    same = p["ref_seq"] == F.expr("concat(substr(seq, 1, 10), 'A', substr(seq, 12))")
-    return x.select("seq_id", same.alias("same"), p["left_len"].alias("left_len"), S.marker_alleles(c("m")).alias("alleles"))
+    return x.select("seq_id", F.md5(p["ref_seq"]).alias("ref_md5"), p["left_len"].alias("left_len"), S.marker_alleles(c("m")).alias("alleles"))
 
 
 @query(

@@ -56,13 +56,17 @@ VIEWS: dict[str, str] = {
     "g_contigs": """
         SELECT concat('ctg', CAST(seq_id AS STRING)) AS chrom, seq, CAST(length(seq) AS BIGINT) AS size
         FROM {g_seq} WHERE length(seq) > 0""",
-    # a site every 900 bases of every contig; the third allele differs from the genome
+    # pieces of 901 bases; a site is at the first base of each piece and at the contig's last base
+    "g_ctg_pieces": """
+        SELECT chrom, size, CAST(k AS BIGINT) * 901 + 1 AS first, piece FROM {PIECES} x""",
+    # the seventh allele differs from the genome, the fifth is an insertion
     "g_ctg_sites": """
         SELECT chrom, pos, concat(chrom, '_', CAST(pos AS STRING)) AS id,
           CASE WHEN pos % 7 = 0 THEN 'T' ELSE base END AS ref,
           CASE WHEN pos % 5 = 0 THEN concat(base, 'AC') WHEN base = 'A' THEN 'G' ELSE 'A' END AS alt
-        FROM (SELECT chrom, pos, substr(seq, CAST(pos AS INT), 1) AS base
-              FROM (SELECT chrom, seq, {EXPLODE} AS pos FROM {g_contigs} WHERE size >= 101) a) b""",
+        FROM (SELECT chrom, CASE tail WHEN 0 THEN first ELSE size END AS pos, CASE tail WHEN 0 THEN substr(piece, 1, 1) ELSE right(piece, 1) END AS base
+              FROM (SELECT chrom, size, first, piece, {BOTH} AS tail FROM {g_ctg_pieces}) a
+              WHERE tail = 0 OR (length(piece) > 1 AND first + length(piece) - 1 = size)) b""",
     "g_sizes": """
         SELECT chrom, max(pos) + 1000 AS size, CAST(substr(chrom, 4) AS INT) AS rank
         FROM {g_sites} GROUP BY chrom""",
@@ -138,13 +142,15 @@ VIEWS: dict[str, str] = {
 
 # forms that differ between the engines
 _SPARK = {
-    "{EXPLODE}": "explode(sequence(CAST(51 AS BIGINT), size - 50, CAST(900 AS BIGINT)))",
+    "{PIECES}": "(SELECT chrom, size, posexplode(regexp_extract_all(seq, '.{{1,901}}', 0)) AS (k, piece) FROM {g_contigs})",
+    "{BOTH}": "explode(array(0, 1))",
     "{HALF}": "size div 2", "/*g*/": "",
 }
 _DUCK = {
-    "{EXPLODE}": "unnest(range(51, size - 49, 900))", "{HALF}": "size // 2", "/*g*/": ", 'g'",
+    "{PIECES}": "(SELECT chrom, size, unnest(range(len(p))) AS k, unnest(p) AS piece FROM (SELECT chrom, size, regexp_extract_all(seq, '.{1,901}') AS p FROM {g_contigs}) c)",
+    "{BOTH}": "unnest([0, 1])", "{HALF}": "size // 2", "/*g*/": ", 'g'",
 }
-_NAME = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\{([a-z]\w*)\}")
 
 
 def _swap(text: str, table: dict[str, str]) -> str:
@@ -179,7 +185,7 @@ def duck_sql(body: str) -> str:
     def need(text: str) -> None:
         for n in re.findall(r"\bg_\w+\b", text):
             if n in VIEWS and n not in needed:
-                need(VIEWS[n])
+                need(_swap(VIEWS[n], _DUCK))
                 if n not in needed:
                     needed.append(n)
 
