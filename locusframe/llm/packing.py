@@ -26,7 +26,8 @@ class Chunks:
     The tokenizer drops white space before it merges, so a text's ids are those of
     its chunks, and a letter ends its pre-token before a following ASCII mark, so a
     word's ids do not depend on the marks behind it.  Such words go to the tokenizer's
-    model at once; any other chunk takes the tokenizer's whole way.  Chunks and words
+    model at once; any other chunk, and one that holds the text of a special token, takes
+    the tokenizer's whole way.  Chunks and words
     are remembered, up to a number of each.
     """
 
@@ -36,7 +37,10 @@ class Chunks:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # a chunk with a special token's text goes to the tokenizer, which gives the token for it
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(t.split() != [t] for t in self.special):
+            raise ValueError("special tokens with white space are not handled")
         self.model = self.tokenizer.model.tokenize
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.signs = {  # of the bytes that letters in UTF-8 have
@@ -78,7 +82,8 @@ class Chunks:
         for c in fresh.difference(self.known):
             text = c.decode()
             word = text.rstrip(_MARKS)
-            ids = self._word(word) if word else None
+            # a special token ends in a mark, so it may lie across the word's end
+            ids = self._word(word) if word and not any(t in text for t in self.special) else None
             if ids is None:
                 slow.append(c)
                 continue

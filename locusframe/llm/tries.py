@@ -9,23 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ident, lean, slices, stored
+from .common import BATCH_ROWS, ident, lean, slices, stored
 
 _SPACE = b" \t\n\x0b\x0c\r"
 TRIE_BYTES = 48 << 20
+#: Bytes of distinct texts that a task holds before they go to the partition of their hash.
+COMBINED_BYTES = 24 << 20
 
 
 class Owner:
     """What a terminal node holds: the row that stays, and how many rows share the text."""
 
-    __slots__ = ("chars", "id", "n", "digest")
+    __slots__ = ("chars", "id", "version", "n", "digest")
 
-    def __init__(self, chars: int, id: int, n: int, digest: str):
-        self.chars, self.id, self.n, self.digest = chars, id, n, digest
+    def __init__(self, chars: int, id: int, version: int, n: int, digest: str):
+        self.chars, self.id, self.version, self.n, self.digest = chars, id, version, n, digest
 
-    def absorb(self, chars: int, id: int, n: int) -> None:
-        if (-chars, id) < (-self.chars, self.id):
-            self.chars, self.id = chars, id
+    def absorb(self, chars: int, id: int, version: int, n: int) -> None:
+        if (-chars, id, version) < (-self.chars, self.id, self.version):
+            self.chars, self.id, self.version = chars, id, version
         self.n += n
 
 
@@ -59,7 +61,7 @@ class Trie:
     def __init__(self, most: int = TRIE_BYTES):
         self.root, self.most, self.held, self.weight = Node(b""), most, 0, {}
 
-    def add(self, text: bytes, chars: int, id: int, n: int, digest: str) -> Iterator[Owner]:
+    def add(self, text: bytes, chars: int, id: int, version: int, n: int, digest: str) -> Iterator[Owner]:
         node, at = self.root, 0
         while at < len(text):
             child = node.below.get(text[at])
@@ -75,9 +77,9 @@ class Trie:
                 child = upper
             node, at = child, at + k
         if node.owner is None:
-            node.owner = Owner(chars, id, n, digest)
+            node.owner = Owner(chars, id, version, n, digest)
         else:
-            node.owner.absorb(chars, id, n)
+            node.owner.absorb(chars, id, version, n)
         if self.held > self.most:
             largest = max(self.weight, key=self.weight.get)
             self.held -= self.weight.pop(largest)
@@ -98,33 +100,51 @@ def _bodies(batch: pa.RecordBatch) -> list[bytes]:
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The digest of each row's text without white space."""
-    for b in batches:
+    for b in slices(batches, "text", 8 << 20):
         shas = [hashlib.sha256(x).hexdigest() for x in _bodies(b)]
         yield pa.record_batch([b.column("id"), b.column("version"), pa.array(shas, pa.string())], ["id", "version", "digest"])
 
 
+_ROW = ("chars", "id", "version", "n")
+
+
 def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct texts of a batch with the row that would stay; copies meet here first."""
+    """Distinct texts of a task, with the row that would stay and how many rows have them.
+
+    When the texts exceed ``COMBINED_BYTES``, those met once are handed on, and the
+    others too if they still fill half of it; so a very common text is handed on once or
+    a few times by a task, not once per batch.
+    """
+    best: dict[bytes, list] = {}
+    size = 0
+
+    def packed(texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(texts), BATCH_ROWS):
+            some = texts[lo : lo + BATCH_ROWS]
+            rows = [best.pop(x) for x in some]
+            hashes = [int.from_bytes(hashlib.sha256(x).digest()[:8], "little", signed=True) for x in some]
+            yield pa.record_batch(
+                [pa.array([len(x) for x in some], pa.int64()), pa.array(hashes, pa.int64()), pa.array(some, pa.binary()), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]],
+                ["size", "hash", "body", *_ROW],
+            )
+
     for b in slices(batches, "text", 8 << 20):
-        best: dict[bytes, list] = {}
-        for x, chars, id in zip(_bodies(b), b.column("chars").to_pylist(), b.column("id").to_pylist()):
+        for x, chars, id, version in zip(_bodies(b), *(b.column(c).to_pylist() for c in ("chars", "id", "version"))):
             old = best.get(x)
             if old is None:
-                best[x] = [chars, id, 1]
+                best[x] = [chars, id, version, 1]
+                size += len(x)
             else:
-                old[2] += 1
-                if (-chars, id) < (-old[0], old[1]):
-                    old[:2] = chars, id
-        shas = [hashlib.sha256(x).digest() for x in best]
-        yield pa.record_batch(
-            [
-                pa.array([len(x) for x in best], pa.int64()),
-                pa.array([int.from_bytes(s[:8], "little", signed=True) for s in shas], pa.int64()),
-                pa.array(list(best), pa.binary()),
-                *[pa.array([v[k] for v in best.values()], pa.int64()) for k in range(3)],
-            ],
-            ["size", "hash", "body", "chars", "id", "n"],
-        )
+                old[3] += 1
+                if (-chars, id, version) < (-old[0], old[1], old[2]):
+                    old[:3] = chars, id, version
+        if size > COMBINED_BYTES:
+            yield from packed([x for x, r in best.items() if r[3] == 1])
+            size = sum(map(len, best))
+            if size > COMBINED_BYTES // 2:
+                yield from packed(list(best))
+                size = 0
+    yield from packed(list(best))
 
 
 def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,17 +152,14 @@ def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def packed(owners: list[Owner]) -> pa.RecordBatch:
         return pa.record_batch(
-            [
-                pa.array([o.digest for o in owners], pa.string()),
-                *[pa.array([getattr(o, k) for o in owners], pa.int64()) for k in ("chars", "id", "n")],
-            ],
-            ["digest", "chars", "id", "n"],
+            [pa.array([o.digest for o in owners], pa.string()), *[pa.array([getattr(o, k) for o in owners], pa.int64()) for k in _ROW]],
+            ["digest", *_ROW],
         )
 
     trie = Trie()
-    for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("body", "chars", "id", "n")]
-        spilled = [o for x, chars, id, n in zip(*cols) for o in trie.add(x, chars, id, n, hashlib.sha256(x).hexdigest())]
+    for b in slices(batches, "body", 8 << 20):
+        cols = [b.column(c).to_pylist() for c in ("body", *_ROW)]
+        spilled = [o for x, *row in zip(*cols) for o in trie.add(x, *row, hashlib.sha256(x).hexdigest())]
         if spilled:
             yield packed(spilled)
     yield packed(list(trie.owners()))
@@ -151,29 +168,31 @@ def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of texts that are identical without space and \\x09-\\x0D.
 
-    Texts go to partitions by length and content hash; the copies of a batch are
-    combined before that, so a text that fills a third of the table reaches its
-    trie once per batch.  A trie compares whole byte strings, keeps in each
+    Texts go to partitions by length and content hash; copies are
+    combined before that within each task, so a text that fills a third of the table
+    reaches its trie once or a few times per task of the scan.  A trie compares whole byte strings, keeps in each
     terminal node the row with the most code points, then the smallest id, and
     spills subtrees.
 
     Returns a row per input row: ``id``, ``version`` (a hash of the text), ``keep_id``,
     ``group_size``, ``kept`` and ``digest`` (SHA-256 of the compared bytes).  A null text
-    counts as empty and a null id as the smallest bigint; rows that repeat id and text all
-    count in ``group_size`` and get equal results.  Other columns are not read.
+    counts as empty and a null id as the smallest bigint.  Of equal texts under one id, as
+    where ids are null, the one with the smaller version stays; rows that repeat id and
+    text all count in ``group_size`` and get equal results.  Other columns are not read.
     """
     texts = lean(docs).select(
         ident(id_col).alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     ).withColumns({"version": F.xxhash64("text"), "chars": F.length("text").cast("bigint")})
-    parts = texts.select("id", "chars", "text").mapInArrow(combined, "size bigint, hash bigint, body binary, chars bigint, id bigint, n bigint")
-    owners = parts.repartition("size", "hash").select("body", "chars", "id", "n").mapInArrow(own, "digest string, chars bigint, id bigint, n bigint")
+    row = "chars bigint, id bigint, version bigint, n bigint"
+    parts = texts.select("id", "version", "chars", "text").mapInArrow(combined, "size bigint, hash bigint, body binary, " + row)
+    owners = parts.repartition("size", "hash").select("body", *_ROW).mapInArrow(own, "digest string, " + row)
     owners = stored(
         owners.groupBy("digest").agg(
-            F.min(F.struct(-F.col("chars"), "id")).alias("o"), F.sum("n").alias("group_size")
-        ).select("digest", F.col("o.id").alias("keep_id"), "group_size"),
+            F.min(F.struct(-F.col("chars"), "id", "version")).alias("o"), F.sum("n").alias("group_size")
+        ).select("digest", F.col("o.id").alias("keep_id"), F.col("o.version").alias("keep_version"), "group_size"),
         "owners",
     )
     rows = texts.select("id", "version", "text").mapInArrow(digests, "id bigint, version bigint, digest string")
     return rows.join(owners, "digest").select(
-        "id", "version", "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "digest"
+        "id", "version", "keep_id", "group_size", ((F.col("id") == F.col("keep_id")) & (F.col("version") == F.col("keep_version"))).alias("kept"), "digest"
     )

@@ -51,18 +51,21 @@ def test_plan():
 
 
 def test_ids():
-    own, rng = Chunks(PATH), random.Random(7)
+    own, rng, library = Chunks(PATH), random.Random(7), Tokenizer.from_file(PATH)
     texts = ["it's we'll, 'tis don't!' a's,'s", "É ß ẞ ΣΑΣ İi ŉ ﬁ", "a≮ ≠ x", "日本語 ТЕКСТ. ½ 1,234.5 <|endoftext|>,", "—, é, ñ!?'re", "\x1c a\x85b"]
+    texts += ["hello <|endoftext|> world", "<|startoftext|> q", "a<|endoftext|>b.<|ENDOFTEXT|>", "x<|startoftext|>", "<|endoftext|", "|endoftext|> <|endof text|>"]
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "a", "é", ".", "endoftext"]) for _ in range(8)) for _ in range(200)]
     texts += ["".join(rng.choice("abÉñ'.,! \n1–sSΣ́İ") for _ in range(50)) for _ in range(300)]
     for text, ids in zip(texts, own.ids([t.encode() for t in texts])):
-        assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 def test_edges(spark):
     tokenizer, capacity = Tokenizer.from_file(PATH), 64
-    got = pack(docs(spark).repartition(3), PATH, capacity, with_ids=True).collect()
+    rows = [*TEXTS, (40, "hello <|endoftext|> world"), (41, "<|startoftext|> q")]
+    got = pack(docs(spark, rows).repartition(3), PATH, capacity, with_ids=True).collect()
     exp = []
-    for i, t in TEXTS:
+    for i, t in rows:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
         for k in range(0, len(ids), capacity):
             part = np.array(ids[k : k + capacity], "<u4").tobytes()

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -56,3 +57,26 @@ def test_stages(spark):
     assert texts[100007] == "hereand theon thting"
     assert ids["best-fit packing"] == ids["substring dedup"]
     assert left["exact dedup"].count() == len(ids["exact dedup"])
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns that stages might use themselves, null ids that share a text, repeated rows, an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["_id", "_version", "_kept", "row_key", "what", "id", "version", "kept_text", "text_"]
+    odd = docs.limit(40).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    text = docs.filter("lang = 'en'").orderBy("doc_id").first()["text"]
+    for given in (None, None, 900001, 900001):
+        odd = odd.unionByName(odd.limit(1).withColumns({"doc_id": F.lit(given).cast("bigint"), "text": F.lit("new start " + text), "lang": F.lit("en")}))
+    path = corpus_pipeline.scratch(spark, "odd")
+    odd.write.parquet(path)
+    odd = spark.read.parquet(path)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, SF)
+        assert got.columns == odd.columns, name
+        for r in got.collect():
+            if r["doc_id"] is not None and r["doc_id"] < 900000:
+                assert all(r[n] == f"{n}{r['doc_id']}" for n in names), name
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+    assert corpus_pipeline.packing(spark, odd.limit(0), SF).count() == 0
+    kept = corpus_pipeline.exact_dedup(spark, odd, SF).filter(F.col("text").startswith("new start")).collect()
+    assert len(kept) == 1 and kept[0]["doc_id"] is None

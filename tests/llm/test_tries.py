@@ -4,6 +4,7 @@ import random
 
 from odd import LOW, TEXTS, docs
 
+from locusframe.llm import tries
 from locusframe.llm.tries import Trie, exact_duplicates
 
 DROP = {ord(c): None for c in " \t\n\x0b\x0c\r"}
@@ -15,7 +16,7 @@ def test_trie_with_spills():
     trie, found, best = Trie(most=300), [], {}
     for k, t in enumerate(texts):
         chars = rng.randrange(3)
-        found += trie.add(t, chars, k, 1, t.decode())
+        found += trie.add(t, chars, k, 0, 1, t.decode())
         best.setdefault(t.decode(), []).append((-chars, k))
     spilled = len(found)
     found += trie.owners()
@@ -48,3 +49,35 @@ def test_edges(spark):
     assert by[2]["keep_id"] == by[3]["keep_id"] == by[4]["keep_id"] == 4 and by[2]["group_size"] == 3
     assert by[6]["group_size"] == 2 and by[6]["kept"] and by[9]["keep_id"] == 1 and by[LOW]["kept"]
     assert exact_duplicates(docs(spark).limit(0)).count() == 0
+
+
+def test_one_row_of_a_group_stays(spark):
+    rows = [(None, "a b"), (None, "ab"), (5, "ab "), (7, "x"), (7, " x"), (7, "x "), (8, None), (8, "")]
+    got = exact_duplicates(docs(spark, rows)).collect()
+    kept = {}
+    for r in got:
+        kept.setdefault(r["digest"], []).append((r["id"], r["version"], r["kept"]))
+    # rows 8 are one document twice
+    assert sorted(len({x[:2] for x in v if x[2]}) for v in kept.values()) == [1, 1, 1]
+    assert {r["group_size"] for r in got} == {2, 3}
+    assert {x[0] for v in kept.values() for x in v if x[2]} == {LOW, 7, 8}
+
+
+def test_combined_in_bounded_memory(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tries, "COMBINED_BYTES", 200)
+    rng = random.Random(1)
+    texts = [rng.choice(["hot text", f"single {k}", "warm"]) for k in range(500)]
+    batches = [
+        pa.record_batch([pa.array(texts[lo : lo + 20]), *[pa.array(range(lo, lo + 20), pa.int64())] * 3], ["text", "chars", "id", "version"]) for lo in range(0, 500, 20)
+    ]
+    out = [r for b in tries.combined(iter(batches)) for r in b.to_pylist()]
+    assert sum(r["body"] == b"hottext" for r in out) == 1
+    total = {}
+    for r in out:
+        total[r["body"]] = total.get(r["body"], 0) + r["n"]
+    exp = {}
+    for t in texts:
+        exp[t.translate(DROP).encode()] = exp.get(t.translate(DROP).encode(), 0) + 1
+    assert total == exp
