@@ -15,15 +15,28 @@ from locusframe.llm.tries import exact_duplicates
 from locusframe.plans.session import scratch
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with what the operators name them by."""
-    return docs.withColumn("_id", ident("doc_id")).withColumn("_version", F.xxhash64(F.coalesce("text", F.lit(""))))
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of the table has one of them."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def _joined(docs: DataFrame, found: DataFrame, how: str) -> tuple[DataFrame, str, str]:
+    """``docs`` beside what ``found`` has for an id and text under ``what``; the key's name comes too."""
+    key, what = _free(docs, "row_key", "what")
+    mine = F.struct(ident("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"))
+    found = found.select(F.struct("id", "version").alias(key), F.struct(*[c for c in found.columns if c not in ("id", "version")]).alias(what))
+    return docs.withColumn(key, mine).join(found.dropDuplicates([key]), key, how), what, key
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows that ``kept`` names, each once."""
-    kept = kept.select(F.col("id").alias("_id"), F.col("version").alias("_version")).distinct()
-    return _keyed(docs).join(kept, ["_id", "_version"]).dropDuplicates(["_id", "_version"]).select(*docs.columns)
+    rows, _, key = _joined(docs, kept.select("id", "version", F.lit(True).alias("kept")), "inner")
+    return rows.dropDuplicates([key]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +59,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A text of which no word is left is dropped.
     """
-    found = repeats(docs, window=20, digest=False).filter("n_removed > 0")
-    cut = found.select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("kept_text").alias("_kept"))
-    out = _keyed(docs).join(cut, ["_id", "_version"], "left").filter("_kept is null or _kept <> ''")
-    text = F.coalesce("_kept", "text")
-    return out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("bigint")).otherwise(F.col("n_chars"))).withColumn(
-        "text", text
-    ).select(*docs.columns)
+    found = repeats(docs, window=20, digest=False).filter("n_removed > 0").select("id", "version", "kept_text")
+    rows, what, _ = _joined(docs, found, "left")
+    cut = F.col(f"`{what}`.kept_text")
+    new = {"text": F.coalesce(cut, "text"), "n_chars": F.when(cut.isNotNull(), F.length(cut).cast("bigint")).otherwise(F.col("n_chars"))}
+    return rows.filter(cut.isNull() | (cut != "")).select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
