@@ -63,6 +63,14 @@ def vcf_calls(v):
     return vcf.read_vcf_calls(v.spark, _vcf(v))
 
 
+@query("src_vcf_bgzip", f"SELECT * FROM ({GRID}) x WHERE chrom = 'chr2' AND pos > 5000")
+def vcf_bgzip(v):
+    path = scratch(v.spark, "vcf-bgzip")
+    sinks.write_vcf(_wide(v), v.g_sizes, SAMPLES, path, bgzip=True)
+    # some sixty kilobytes of a part to a task
+    return vcf.read_vcf_calls(v.spark, path, split=60_000).filter((c("chrom") == "chr2") & (c("pos") > 5000))
+
+
 @query("src_vcf_site_stats", SITE_STATS.replace("FROM g_calls", f"FROM ({GRID}) x"))
 def vcf_site_stats(v):
     return C.line_stats(vcf.read_vcf_site_lines(v.spark, _vcf(v)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..operators.ordered import numbered
+from .bgzip import write_bgzip
 
 
 def formatted(df: DataFrame, cols: list[str] | None = None, precision: int | None = None) -> DataFrame:
@@ -63,9 +64,13 @@ def vcf_lines(wide: DataFrame, sizes: DataFrame, samples: list[str]) -> DataFram
     return head.unionByName(contigs).unionByName(lines)
 
 
-def write_vcf(wide: DataFrame, sizes: DataFrame, samples: list[str], path: str) -> None:
-    """Ordered text parts; part 0 begins with the header."""
-    vcf_lines(wide, sizes, samples).orderBy("kind", "rank", "pos").select("value").write.text(path)
+def write_vcf(wide: DataFrame, sizes: DataFrame, samples: list[str], path: str, bgzip: bool = False) -> None:
+    """Ordered parts, as text or in bgzip blocks; part 0 begins with the header."""
+    lines = vcf_lines(wide, sizes, samples).orderBy("kind", "rank", "pos").select("value")
+    if bgzip:
+        write_bgzip(lines, path)
+    else:
+        lines.write.text(path)
 
 
 def fasta_lines(df: DataFrame, seq_id: str = "seq_id", seq: str = "seq") -> DataFrame:
