@@ -15,6 +15,8 @@ from .calls import count_if
 from .intervals import RANGE_BIN, points_in_regions
 
 CHUNK = 10_000
+#: Tile pieces that are put together at once where a record comes in pieces.
+SPAN = 40
 
 
 def _pieces(seq: Column | str, n: int) -> Column:
@@ -33,6 +35,30 @@ def genome_chunks(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     ).withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
 
 
+def spans(pieces: DataFrame, step: int, reach: int = 0) -> DataFrame:
+    """Bases of every stretch of ``step`` bases and the ``reach`` behind it, from pieces of records.
+
+    ``pieces`` has ``file, record, seq_id, start, seq``, as ``read_fasta_pieces`` returns them;
+    the result has ``file, record, seq_id, no, seq``.  A piece goes to the stretches it touches,
+    and a stretch is put together from the few pieces that touch it.
+    """
+    keys = ["file", "record", "seq_id"]
+    n = F.length("seq").cast("bigint")
+    at, lo = F.col("start"), F.col("no") * step
+    touched = F.sequence(F.greatest(F.floor((at - reach) / step), F.lit(0).cast("bigint")), F.floor((at + n - 1) / step))
+    x = pieces.filter(n > 0).select(*keys, "start", "seq", F.explode(touched).alias("no"))
+    first = F.greatest(lo - at, F.lit(0))
+    last = F.least(lo + step + reach - at, n)
+    part = F.struct("start", F.substr("seq", (first + 1).cast("int"), (last - first).cast("int")).alias("s"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["s"]), "")
+    return x.groupBy(*keys, "no").agg(whole.alias("seq"))
+
+
+def genome_from_pieces(pieces: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Pieces of records to a chunk table; no row holds more than a chunk."""
+    return spans(pieces, chunk).select(F.col("seq_id").alias("chrom"), F.col("no").alias("chunk_no"), "seq")
+
+
 def chrom_sizes(genome: DataFrame) -> DataFrame:
     return genome.groupBy("chrom").agg(F.sum(F.length("seq")).alias("size"))
 
@@ -185,29 +211,36 @@ def side_probes(sites: DataFrame, genome: DataFrame, length: int = 120, chunk: i
 
 def _tile_pieces(records: DataFrame, width: int) -> DataFrame:
     """Pieces ``seq_id, no, s, last``: piece ``no`` holds the ``last`` tiles that
-    start in it and takes along the bases they reach into the next one."""
+    start in it and takes along the bases they reach into the next one.
+
+    ``records`` has whole records (``seq_id, seq``) or pieces of them (``read_fasta_pieces``)."""
     # short pieces: cutting a tile walks the piece from its start
     step = 2 * width
-    x = records.filter(F.length("seq") >= width).select("seq_id", _pieces("seq", step).alias("_p"))
+    if "start" in records.columns:
+        x = spans(records, SPAN * step, width - 1).select("seq_id", (F.col("no") * SPAN).cast("int").alias("_first"), _pieces("seq", step).alias("_p"))
+    else:
+        x = records.filter(F.length("seq") >= width).select("seq_id", F.lit(0).alias("_first"), _pieces("seq", step).alias("_p"))
     part = F.explode(
         F.transform(
             "_p",
             lambda p, i: F.struct(
-                i.alias("no"),
+                (i + F.col("_first")).alias("no"), i.alias("i"),
                 F.concat(p, F.substring(F.coalesce(F.get("_p", i + 1), F.lit("")), 1, width - 1)).alias("s"),
                 F.length(p).alias("own"),
             ),
         )
     )
-    x = x.select("seq_id", part.alias("x")).select("seq_id", "x.*")
-    x = x.withColumn("last", F.least(F.col("own"), F.length("s") - width + 1)).drop("own")
+    x = x.select("seq_id", "_first", part.alias("x")).select("seq_id", "x.*")
+    if "start" in records.columns:
+        x = x.filter(F.col("i") < SPAN)  # the bases behind a stretch are the next one's
+    x = x.drop("i").withColumn("last", F.least(F.col("own"), F.length("s") - width + 1)).drop("own")
     # the pieces, not their many tiles, are spread over the tasks, so that one
     # long sequence does not keep a single task busy
     return x.filter(F.col("last") >= 1).repartition("seq_id", "no")
 
 
 def tile_sequence(records: DataFrame, width: int = 120) -> DataFrame:
-    """Every window of ``width`` bases, step 1; 1-based ``tile``."""
+    """Every window of ``width`` bases, step 1; 1-based ``tile``.  Takes records or their pieces."""
     x = _tile_pieces(records, width).select("seq_id", "no", "s", F.explode(F.sequence(F.lit(1), "last")).alias("i"))
     return x.select(
         "seq_id", (F.col("no") * (2 * width) + F.col("i")).alias("tile"),

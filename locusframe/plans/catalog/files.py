@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ...operators import calls as C
 from ...operators import coverage as cov
+from ...operators import probes as P
 from ...operators import qc as Q
 from ...sources import fasta, reports, sinks, tables, vcf
 from ...streaming import intake
@@ -155,6 +156,43 @@ def read_fasta(v):
     return fasta.read_fasta(v.spark, _text(v.g_seq.select(rec.alias("value")), v, "fasta"))
 
 
+def _fasta_pieces(v, split, width):
+    folded = F.regexp_replace("seq", "(.{60})", "$1\n")
+    rec = F.concat(F.lit(">"), "seq_id", F.lit(" lang > "), "lang", F.lit("\n"), folded)
+    return fasta.read_fasta_pieces(v.spark, _text(v.g_seq.select(rec.alias("value")), v, "fasta"), width, split)
+
+
+@query(
+    "src_fasta_pieces",
+    """SELECT seq_id, description, bases, md5(seq) AS seq_md5 FROM (
+  SELECT CAST(seq_id AS VARCHAR) AS seq_id, concat('lang > ', lang) AS description, CAST(length(seq) AS BIGINT) AS bases, seq FROM g_seq) x""",
+)
+def read_fasta_pieces(v):
+    # ranges shorter than most records
+    x = _fasta_pieces(v, 50_000, 700)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "seq"))), lambda p: p["seq"]), "")
+    return x.groupBy("file", "record", "seq_id", "description").agg(F.sum(F.length("seq")).alias("bases"), F.md5(whole).alias("seq_md5")).drop("file", "record")
+
+
+@query(
+    "src_genome_from_fasta",
+    """SELECT seq_id AS chrom, CAST(k AS BIGINT) AS chunk_no, substr(seq, CAST(k * 1000 + 1 AS INT), 1000) AS seq
+  FROM (SELECT CAST(seq_id AS VARCHAR) AS seq_id, seq, unnest(range((length(seq) + 999) // 1000)) AS k FROM g_seq) x""",
+)
+def genome_from_fasta(v):
+    return P.genome_from_pieces(_fasta_pieces(v, 50_000, 700), 1000)
+
+
+@query(
+    "win_tile_fasta",
+    """SELECT CAST(seq_id AS VARCHAR) AS seq_id, count(*) AS tiles, min(substr(seq, CAST(i AS INT), 120)) AS least_tile, CAST(sum(i) AS BIGINT) AS starts
+  FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 118)) AS i FROM g_seq WHERE length(seq) >= 120) a GROUP BY seq_id""",
+)
+def tile_fasta(v):
+    t = P.tile_sequence(_fasta_pieces(v, 50_000, 700), 120)
+    return t.groupBy("seq_id").agg(F.count("*").alias("tiles"), F.min("tile_seq").alias("least_tile"), F.sum("tile").cast("bigint").alias("starts"))
+
+
 @query("snk_fasta", "SELECT CAST(seq_id AS VARCHAR) AS seq_id, '' AS description, seq FROM g_seq")
 def write_fasta(v):
     path = scratch(v.spark, "fa")

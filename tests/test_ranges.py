@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from locusframe.sources import vcf
+from locusframe.operators import probes
+from locusframe.sources import fasta, vcf
 from locusframe.sources.bgzip import END, block, write_bgzip
 from locusframe.sources.ranges import cut, lines
 
@@ -90,3 +91,43 @@ def test_parts_without_a_header(spark, tmp_path):
     for k, lo in enumerate(range(0, len(rows), 25)):
         (tmp_path / f"part-{k}").write_text("\n".join(rows[lo : lo + 25]) + "\n")
     assert got(vcf.read_vcf_calls(spark, str(tmp_path))) == calls
+
+
+def test_fasta_by_ranges(spark, tmp_path):
+    rng = random.Random(9)
+    folder = tmp_path / "fa"
+    folder.mkdir()
+    exp = []
+    for name in ("a.fa", "b.fa.gz"):
+        text = "stray line\n"
+        for k in range(rng.randrange(8, 14)):
+            seq = "".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 5, 59, 60, 61, 700, 9000])))
+            text += f">s{k % 3} note > {k}\r\n" + "".join(seq[i : i + 60] + "\n" for i in range(0, len(seq), 60)) + "\n" * (k % 2)
+            exp.append((name, k + 1, f"s{k % 3}", f"note > {k}", seq))
+        (folder / name).write_bytes(packed(text.encode(), "bgzip" if name.endswith("gz") else "plain", 900))
+    for split, width in ((700, 100), (2500, 33), (1 << 30, 10_000)):
+        rows = {}
+        for r in fasta.read_fasta_pieces(spark, str(folder), width, split).collect():
+            assert len(r["seq"]) <= width
+            rows.setdefault((r["file"].rpartition("/")[2], r["record"], r["seq_id"], r["description"]), []).append((r["start"], r["seq"]))
+        got = []
+        for key, pieces in rows.items():
+            seq = ""
+            for start, s in sorted(pieces):
+                assert start == len(seq)
+                seq += s
+            got.append((*key, seq))
+        assert sorted(got) == sorted(exp)
+
+
+def test_tiles_of_pieces_are_those_of_records(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(probes, "SPAN", 3)
+    seqs = {f"r{k}": "".join(rng.choice("ACGT") for _ in range(n)) for k, n in enumerate([3, 12, 13, 72, 73, 84, 500, 1001])}
+    (tmp_path / "x.fa").write_text("".join(f">{k}\n{s}\n" for k, s in seqs.items()))
+    pieces = fasta.read_fasta_pieces(spark, str(tmp_path), 17, 90)
+    records = spark.createDataFrame(list(seqs.items()), "seq_id string, seq string")
+    for op in (probes.tile_sequence, probes.best_gc_tile):
+        assert sorted(map(tuple, op(pieces, 12).collect())) == sorted(map(tuple, op(records, 12).collect())) != []
+    chunks = probes.genome_from_pieces(pieces, 50).collect()
+    assert all(r["seq"] == seqs[r["chrom"]][r["chunk_no"] * 50 :][:50] for r in chunks) and sum(len(r["seq"]) for r in chunks) == sum(map(len, seqs.values()))
