@@ -14,22 +14,31 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ident, lean, slices, stored
 
 ARCHIVE_BYTES = 256 << 20
 GAP_BYTES, RUN_BYTES = 64 << 10, 4 << 20
+#: Bytes of records that one task reads, about.
+READER_BYTES = 8 << 20
 _INDEX = "file string, offset bigint, length bigint, id bigint, url string, digest string, record_type string, refers_to bigint"
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the file system that Spark takes it for, so that executors and driver mean the same."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return full if "://" in full else full.replace(":/", ":///", 1)
+
+
 def _filesystem(folder: str):
+    """Store and path of a qualified folder."""
     from pyarrow import fs
 
-    if "://" in folder or folder.startswith("file:"):
-        return fs.FileSystem.from_uri(folder)
-    return fs.LocalFileSystem(), folder
+    return fs.FileSystem.from_uri(folder)
 
 
 def _plain(url: str) -> str:
@@ -95,6 +104,7 @@ def write_warc(
     ``file``, ``offset``, ``length``, ``id``, ``url``, ``digest``, ``record_type`` and
     ``refers_to``.
     """
+    folder = qualified(pages.sparkSession, folder)
     store, root = _filesystem(folder)
     store.create_dir(root, recursive=True)
     rows = lean(pages).select(
@@ -169,9 +179,14 @@ def read_warc(index: DataFrame, folder: str, payload: bool = False) -> DataFrame
 
     Returns ``id``, ``url``, ``record_type``, ``refers_to``, ``payload_bytes`` and
     ``payload_digest`` (of the full payload, for revisits too) and ``payload`` (responses,
-    where asked for).  A response whose payload does not have its digest raises.
+    where asked for).  A response whose payload does not have its digest raises.  ``url``
+    is as in the header: control characters and spaces by their code.
+
+    The records' bytes, not the index rows, set the number of ranges.
     """
-    ordered = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    folder = qualified(index.sparkSession, folder)
+    tasks = 1 + (index.agg(F.sum("length")).first()[0] or 0) // READER_BYTES
+    ordered = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(
         fetch(folder, payload),
         "id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary",

@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from locusframe.llm import warc
 from locusframe.llm.warc import read_warc, write_warc
 from locusframe.plans.session import scratch
 
@@ -54,3 +55,21 @@ def test_least_size_and_empty(spark):
     assert any(r["record_type"] == "revisit" for r in got)
     folder = scratch(spark, "warc-test")
     assert read_warc(write_warc(frame(spark).limit(0), folder), folder).count() == 0
+
+
+def test_readers_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "READER_BYTES", 2000)
+    rows = [(k, "u", f"{k} " * 300) for k in range(60)]
+    index = warc.write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path))
+    found = warc.read_warc(index, str(tmp_path))
+    assert found.rdd.getNumPartitions() > 3 and found.count() == 60
+
+
+def test_folder_has_sparks_file_system(spark):
+    assert warc.qualified(spark, "/a/b") == "file:///a/b" and warc.qualified(spark, "file:///a/b") == "file:///a/b"
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.defaultFS", "viewfs://store")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", "file:///tmp")
+    try:
+        assert warc.qualified(spark, "/in/b") == "viewfs://store/in/b"
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().set("fs.defaultFS", "file:///")
