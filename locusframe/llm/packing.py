@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import ident, lean, slices, stored
 
-CACHE_CHUNKS, CACHE_WORDS = 200_000, 300_000
+CACHE_CHUNKS, CACHE_WORDS = 600_000, 400_000
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Rows that one part of a length has at least, in the ranking.
 RANK_ROWS = 1000
@@ -73,6 +73,8 @@ class Chunks:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         parts = [t.split() for t in texts]
+        # mostly none, so that no chunk is searched for one
+        special = [t for t in self.special if any(t.encode() in x for x in texts)]
         fresh = {c for p in parts for c in p}
         if len(self.known) + len(fresh) > CACHE_CHUNKS:
             self.known = {}
@@ -83,7 +85,7 @@ class Chunks:
             text = c.decode()
             word = text.rstrip(_MARKS)
             # a special token ends in a mark, so it may lie across the word's end
-            ids = self._word(word) if word and not any(t in text for t in self.special) else None
+            ids = self._word(word) if word and not (special and any(t in text for t in special)) else None
             if ids is None:
                 slow.append(c)
                 continue
