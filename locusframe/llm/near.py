@@ -19,6 +19,8 @@ start.  No band emits all its pairs:
    threshold t.  So each member hands out only the first elements of its difference,
    in an order that has common ones last, and two members meet only where an element
    is among the first of both.  Members that merely resemble the leader rarely meet.
+   Any order gives all links, so only a leader's ``OFTEN`` most common elements are put
+   last, and an element whose members are all in one component is left out.
 
 Pairs whose sketches agree in less than 0.6 of the places expected at the threshold
 are no links (over nine standard deviations away); the others are confirmed on full
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ident, lean, raw, slices, stored
@@ -39,6 +41,8 @@ from .graph import components
 from .words import U, Words, mix, ranges, spread
 
 COORDS, ROWS = 128, 4
+#: Elements of a leader that are put last, at most.
+OFTEN = 1024
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -204,7 +208,7 @@ def _sizes(a: str, b: str, percent: int) -> Column:
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text", often: int = OFTEN
 ) -> DataFrame:
     """Component of every document under links of a similarity of ``percent`` or more.
 
@@ -212,7 +216,8 @@ def near_duplicates(
     fewer words is one shingle, and one without words is empty and linked with nothing.
     Returns a row per input row: ``id``, ``version`` (a hash of the text), ``n_shingles``,
     ``component_id`` (the smallest id reachable) and ``first`` (whether the row is the
-    component's smallest member).  A null id counts as the smallest bigint and
+    component's smallest member).  ``often`` bounds what a leader's rows carry besides
+    texts, and changes no result.  A null id counts as the smallest bigint and
     a null text as empty; equal rows get equal results.  Other columns are not read.
     """
     texts = lean(docs).select(
@@ -276,13 +281,18 @@ def near_duplicates(
     apart = stored(apart, "apart")
     # any order of elements will do, the better the rarer come first: an eighth of the members tells
     some = apart.filter(F.pmod(F.xxhash64("a"), F.lit(8)) == 0)
-    often = with_texts(some).select("b", "text_a", "text_b").mapInArrow(gap_items(k), f"leader {_NODE}, item bigint")
-    often = often.groupBy("leader", "item").count().filter("count > 1").groupBy(F.col("leader").alias("b")).agg(F.collect_list("item").alias("often"))
-    apart = with_texts(apart).join(stored(often, "often"), "b", "left")
+    counted = with_texts(some).select("b", "text_a", "text_b").mapInArrow(gap_items(k), f"leader {_NODE}, item bigint")
+    counted = counted.groupBy("leader", "item").count().filter("count > 1")
+    rank = F.row_number().over(Window.partitionBy("leader").orderBy(F.desc("count"), "item"))
+    top = counted.withColumn("rank", rank).filter(F.col("rank") <= often)
+    top = top.groupBy(F.col("leader").alias("b")).agg(F.collect_list("item").alias("often"))
+    apart = with_texts(apart).join(stored(top, "often"), "b", "left")
     apart = apart.select("a", "b", "label", "text_a", "text_b", "often").mapInArrow(
         differences(k, percent), f"node {_NODE}, leader {_NODE}, label {_NODE}, item bigint, place int, size int, gap int, tied boolean"
     )
     apart = stored(apart, "differences")
+    ends = apart.groupBy("leader", "item").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    apart = apart.join(stored(ends.filter("low <> high").select("leader", "item"), "several"), ["leader", "item"])
     c = (100 - percent) / (100 + percent)
     need = f"ceil((x.gap + y.gap - {c!r} * (x.size + y.size)) / 2 - 1e-6)"
     meet = F.expr(

@@ -57,6 +57,20 @@ def test_families(spark, percent):
     assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute(rows, percent)
 
 
+def test_common_elements(spark):
+    """Members just over the threshold from the leader share more elements that it lacks than are put last."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(100)]
+    texts = [base]
+    for branch in range(3):
+        trunk = [f"b{branch}" if k in (branch * 20, branch * 20 + 7, branch * 8 + 70) else w for k, w in enumerate(base)]
+        texts += [trunk, *[[f"e{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in trunk] for _ in range(25)]]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=85, often=8)
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute(rows, 85)
+
+
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \t"), (4, "One two"), (5, "one  TWO"), (6, "one"), (None, "one two"), (8, "é É x y z q"), (8, "é É x y z q")]
     frame = spark.createDataFrame([(*r, r[0], 7) for r in rows], "doc_id bigint, text string, id bigint, node int")
