@@ -12,12 +12,12 @@ _FUNCTIONS = {
     "gt_norm(gt STRING)": (
         "STRING",
         "CASE WHEN gt = '.' THEN './.' WHEN try_cast(split_part(translate(gt, '|', '/'), '/', 1) AS INT) > "
-        "try_cast(split_part(translate(gt, '|', '/'), '/', 2) AS INT) THEN concat(split_part(translate(gt, '|', '/'), '/', 2), '/', "
-        "split_part(translate(gt, '|', '/'), '/', 1)) ELSE translate(gt, '|', '/') END",
+        "try_cast(split_part(translate(gt, '|', '/'), '/', 2) AS INT) THEN concat(try_cast(split_part(translate(gt, '|', '/'), '/', 2) AS INT), '/', "
+        "try_cast(split_part(translate(gt, '|', '/'), '/', 1) AS INT)) ELSE translate(gt, '|', '/') END",
     ),
     "gt_class4(gt STRING)": (
         "STRING",
-        "CASE WHEN gt IS NULL OR gt IN ('./.', '.') THEN 'MISS' WHEN split_part(gt, '/', 1) <> split_part(gt, '/', 2) THEN 'HET' "
+        "CASE WHEN gt IS NULL OR gt IN ('./.', '.', '.|.') THEN 'MISS' WHEN split_part(gt, '/', 1) <> split_part(gt, '/', 2) THEN 'HET' "
         "WHEN split_part(gt, '/', 1) = '0' THEN 'REF' ELSE 'ALT' END",
     ),
     "site_id(chrom STRING, pos BIGINT)": ("STRING", "concat(chrom, '_', pos)"),
