@@ -12,6 +12,7 @@ IUPAC = {
     "H": "ACT", "B": "CGT", "V": "ACG", "D": "AGT", "N": "ACGT",
 }
 _CODES = "".join(IUPAC)
+# Fixed value: two alleles in square brackets.
 MARKER = r"\[([A-Za-z]+/[A-Za-z]+)\]"
 
 
