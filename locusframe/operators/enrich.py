@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import hypergeom_sf, magnitude_bin
+from ..functions.stats import hypergeom_log_sf, magnitude_bin
 from .ordered import BIN, running
 
 
@@ -43,7 +45,8 @@ def enrich(gene_term: DataFrame, picked: DataFrame, by: list[str] = []) -> DataF
     """Over-representation of each term among the picked genes of each list.
 
     ``gene_term`` is ``gene, term``; ``picked`` is ``gene`` plus the list keys
-    ``by``, so all lists are tested in one job.
+    ``by``, so all lists are tested in one job.  ``neglog10_p`` holds where ``pvalue`` is
+    below the smallest double.
     """
     gt = gene_term.select("gene", "term").distinct()
     bg_total = gene_term.agg(F.countDistinct("gene")).scalar()
@@ -56,10 +59,11 @@ def enrich(gene_term: DataFrame, picked: DataFrame, by: list[str] = []) -> DataF
     ).join(bg, "term")
     c = c.join(totals, by) if by else c.withColumn("pick_total", totals.scalar())
     c = c.withColumn("bg_total", bg_total)
-    p = hypergeom_sf(*[F.col(x) for x in ("pick_count", "bg_total", "pick_total", "bg_count")])
+    log_p = hypergeom_log_sf(*[F.col(x) for x in ("pick_count", "bg_total", "pick_total", "bg_count")])
     c = c.withColumns(
         {
-            "pvalue": p,
+            "pvalue": F.exp(log_p),
+            "neglog10_p": -log_p / math.log(10),
             "gene_ratio": F.concat_ws("|", "pick_count", "pick_total"),
             "bg_ratio": F.concat_ws("|", "bg_count", "bg_total"),
         }

@@ -1,5 +1,7 @@
 """One query per scalar expression."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ...functions import alignment as A
@@ -301,6 +303,22 @@ def hypergeom_sf(v):
     return x.withColumn("p", F.round(ST.hypergeom_sf(c("k"), F.lit(5000), c("m"), c("n")), 4))
 
 
+@query(
+    "scl_hypergeom_log_sf",
+    """WITH x AS (SELECT DISTINCT l_orderkey % 400 AS k, CAST(l_quantity AS BIGINT) * 12 AS m, 400 AS n, 20000 AS t FROM lineitem),
+l AS (SELECT k, m, unnest(range(k, least(m, n) + 1)) AS i, n, t FROM x),
+e AS (SELECT k, m, lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + lgamma(t - m + 1) - lgamma(n - i + 1) - lgamma(t - m - n + i + 1)
+    - lgamma(t + 1) + lgamma(n + 1) + lgamma(t - n + 1) AS g FROM l),
+s AS (SELECT k, m, max(g) AS top FROM e GROUP BY k, m)
+SELECT x.k, x.m, CASE WHEN count(e.g) > 0 THEN round(abs(least(0, any_value(s.top) + ln(sum(exp(e.g - s.top))))) / ln(10), 4) END AS neglog10_p
+FROM x LEFT JOIN s ON x.k = s.k AND x.m = s.m LEFT JOIN e ON x.k = e.k AND x.m = e.m GROUP BY x.k, x.m""",
+)
+def hypergeom_log_sf(v):
+    x = v.lineitem.select((c("l_orderkey") % 400).alias("k"), (c("l_quantity").cast("bigint") * 12).alias("m")).distinct()
+    log_p = ST.hypergeom_log_sf(c("k"), F.lit(20000), c("m"), F.lit(400))
+    return x.withColumn("neglog10_p", F.when(log_p > float("-inf"), F.round(F.abs(log_p) / math.log(10), 4)))
+
+
 @query(
     "scl_probe_score",
     """WITH t AS (SELECT id, gc, alleles, score, match_0, match_60, match_100, maf,

@@ -156,7 +156,7 @@ pv AS (SELECT *, least(1, list_sum(list_transform(range(k, least(n, pt) + 1),
   lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + lgamma(t - n + 1) - lgamma(pt - i + 1) - lgamma(t - n - pt + i + 1)
     - lgamma(t + 1) + lgamma(pt + 1) + lgamma(t - pt + 1))))) AS p FROM j),
 r AS (SELECT *, p * count(*) OVER ({PART}) / row_number() OVER ({PART} ORDER BY p) AS q FROM pv),
-e AS (SELECT {BY} term, k AS pick_count, n AS bg_count, round(p, 4) AS p4, genes, concat(CAST(k AS VARCHAR), '|', CAST(pt AS VARCHAR)) AS gene_ratio,
+e AS (SELECT {BY} term, k AS pick_count, n AS bg_count, round(p, 4) AS p4, abs(round(log10(p), 4)) AS l4, genes, concat(CAST(k AS VARCHAR), '|', CAST(pt AS VARCHAR)) AS gene_ratio,
   concat(CAST(n AS VARCHAR), '|', CAST(t AS VARCHAR)) AS bg_ratio,
   round(least(1, min(q) OVER ({PART} ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 4) AS q4 FROM r)
 """
@@ -171,7 +171,7 @@ def _enrich_sql(pick: str, by: list[str], gt: str = "g_gene_term") -> str:
 
 def _show(df, by):
     cols = ["term", "pick_count", "bg_count", "genes", "gene_ratio", "bg_ratio"]
-    return df.select(*by, *cols, F.round("pvalue", 4).alias("p4"), F.round("p_adjust", 4).alias("q4"))
+    return df.select(*by, *cols, F.round("pvalue", 4).alias("p4"), F.round("p_adjust", 4).alias("q4"), F.abs(F.round("neglog10_p", 4)).alias("l4"))
 
 
 @query(
@@ -229,7 +229,7 @@ def name_terms(v):
     "agg_enrich_kegg",
     """WITH gt AS (SELECT DISTINCT concat('N', CAST(l_partkey % 1000 AS VARCHAR)) AS gene, concat('T', CAST(l_suppkey % 50 AS VARCHAR)) AS term FROM lineitem),
 pick AS (SELECT DISTINCT concat('N', CAST(p_partkey % 1000 AS VARCHAR)) AS gene FROM part WHERE p_size < 10),"""
-    + _enrich_sql("pick", [], "gt") + "SELECT concat('ko', term) AS term, pick_count, bg_count, gene_ratio, bg_ratio, p4, q4 FROM e",
+    + _enrich_sql("pick", [], "gt") + "SELECT concat('ko', term) AS term, pick_count, bg_count, gene_ratio, bg_ratio, p4, q4, l4 FROM e",
 )
 def enrich_kegg(v):
     gt = v.lineitem.selectExpr("concat('N', l_partkey % 1000) AS gene", "concat('T', l_suppkey % 50) AS term").distinct()

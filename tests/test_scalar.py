@@ -128,6 +128,25 @@ def test_hypergeom(spark):
         assert p == pytest.approx(exact / math.comb(t, n), abs=1e-9)
 
 
+def test_hypergeom_deep_tails(spark):
+    rows = [(k, t, m, n) for t, m, n in [(20000, 600, 400), (3000, 1000, 900), (50, 40, 30), (5, 5, 5), (7, 0, 3), (0, 0, 0)]
+            for k in {-1, 0, 1, n // 4, m * n // max(t, 1), m * n // max(t, 1) + 1, n - 1, n, n + 1}]
+    got = values(spark, rows, "k int, t int, m int, n int", ST.hypergeom_log_sf(c("k"), c("t"), c("m"), c("n")))
+    deepest = 0.0
+    for (k, t, m, n), log_p in zip(rows, got):
+        exact = sum(math.comb(m, i) * math.comb(t - m, n - i) for i in range(max(k, 0, n + m - t), min(m, n) + 1))
+        if not exact:
+            assert log_p == -math.inf
+            continue
+        want = math.log(exact) - math.log(math.comb(t, n))
+        assert log_p == pytest.approx(want, rel=1e-6, abs=1e-9), (k, t, m, n)
+        deepest = min(deepest, want)
+    assert deepest < -400 * math.log(10)
+    nothing = values(spark, [(None, 5, 2, 2), (1, None, 2, 2), (9, 5, 2, None)], "k int, t int, m int, n int",
+                     ST.hypergeom_log_sf(c("k"), c("t"), c("m"), c("n")))
+    assert nothing == [None, None, None]
+
+
 def test_accession_and_af(spark):
     text = [("S1=0/1;3,7",), ("S2=./.;4,4",), ("S3=1/1;.,5",)]
     a = V.parse_accession(c("t"))
