@@ -131,12 +131,20 @@ def lift_sites(paf: DataFrame, offsets: DataFrame, min_ratio: float = 0.0) -> Da
     )
 
 
-def relocate(anno: DataFrame, idmap: DataFrame) -> DataFrame:
-    """Annotation rows moved to their new ids, probe windows re-centred."""
+def relocate(anno: DataFrame, idmap: DataFrame, by_position: bool = False) -> DataFrame:
+    """Annotation rows moved to their new ids, probe windows re-centred.
+
+    ``idmap`` is ``id, new_id``.  With ``by_position`` its ids are read as sites and
+    meet the annotation's ``chrom`` and ``pos``, so the annotation may have any ids or
+    none.  Rows without a new place are left out.
+    """
     chrom, pos = V.split_site_id(F.col("new_id"))
-    j = idmap.select("id", "new_id").join(anno.drop("chrom", "pos"), "id").withColumns(
-        {"chrom": chrom, "pos": pos}
-    )
+    if by_position:
+        old_chrom, old_pos = V.split_site_id(F.col("id"))
+        j = idmap.select(old_chrom.alias("chrom"), old_pos.alias("pos"), "new_id").join(anno, ["chrom", "pos"])
+    else:
+        j = idmap.select("id", "new_id").join(anno.drop("chrom", "pos"), "id")
+    j = j.withColumns({"chrom": chrom, "pos": pos})
     length = F.col("probe_end") - F.col("probe_start")
     start = A.probe_start(F.col("pos"), length, F.col("probe_type"), F.col("offset"))
     return (

@@ -168,6 +168,19 @@ def relocate(v):
     return H.relocate(a, idmap).select("id", "chrom", "pos", "probe_start")
 
 
+@query(
+    "jn_relocate_by_position",
+    """SELECT id, concat(chrom, '_alt') AS chrom, pos + 5 AS pos, start - CASE p_size % 3 WHEN 0 THEN 60 WHEN 1 THEN 120 ELSE 0 END + 65 + p_size % 2 AS probe_start
+  FROM (SELECT *, start + 61 AS pos FROM g_intervals) x WHERE pos % 7 <> 0""",
+)
+def relocate_by_position(v):
+    a = _anno(v)
+    idmap = a.filter(c("pos") % 7 != 0).select("chrom", "pos").distinct().select(
+        F.concat_ws("_", "chrom", "pos").alias("id"), F.concat_ws("_", "chrom", F.lit("alt"), c("pos") + 5).alias("new_id")
+    )
+    return H.relocate(a, idmap, by_position=True).select("id", "chrom", "pos", "probe_start")
+
+
 # --- genome access -----------------------------------------------------------
 
 
