@@ -2,8 +2,9 @@
 
 A text's score is linear in features of its form; that one text beats another has the
 logistic of the difference of their scores as its probability, so the weights are
-those of a logistic regression without intercept on feature differences.  A quantile
+those of a logistic regression without intercept on feature differences.  The exact quantile
 of the scores of the labelled texts, at the share of bad ones, is the threshold.
+Every labelled text that may be learned from takes part in all of this.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.operators.tracks import quantile_nearest
+
 from .common import ident, lean, raw, slices, stored
 from .words import Words
 
-#: Labelled rows that the weights are fitted on, about, and pairs for each of them.
-FIT_ROWS, PAIRS = 40_000, 4
+#: Pairs for each labelled row, and bits of a hash that tell the groups in which rows are numbered.
+PAIRS, GROUP_BITS = 4, 12
 #: Score that the threshold gets.
 CUT = 0.3
 _MARKS = (b".,;:", b"!?", b"|", b"#$%&*@^~+=", b"\"'()[]{}<>-_/\\`")
@@ -92,25 +95,33 @@ def _dot(weights: list[float]) -> Column:
     return F.aggregate(F.zip_with("x", w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
+def numbered(known: DataFrame) -> DataFrame:
+    """``k``: numbers from 0 within each label, in the order of a hash.
+
+    Rows are numbered within groups of hashes, and one row a group says how many are ahead.
+    """
+    x = known.withColumn("h", F.xxhash64("id", "version", F.lit("order"))).withColumn("group", F.shiftright("h", 64 - GROUP_BITS))
+    ahead = Window.partitionBy("y").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = x.groupBy("y", "group").count().select("y", "group", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy("y", "group").orderBy("h", "id", "version")) - 1
+    return x.withColumn("place", place).join(F.broadcast(sizes), ["y", "group"]).withColumn("k", F.col("ahead") + F.col("place")).drop("h", "group", "place", "ahead")
+
+
 def rank(
     docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
     """Score every whole text by a Bradley-Terry model of the labelled ones.
 
     ``labels`` has ``id_col`` and ``label_col`` (1 beats 0; other values and nulls are not
     used, repeated rows count once); ``train``, over ``id``, says which may be learned from.
-    About ``fit_rows`` of them are drawn by a hash of the id, and every one is paired with
-    four of the other label.  Returns a row per input row: ``id``, ``version``, ``raw`` (log
+    Every one of them is paired with four of the other label.  Returns a row per input row: ``id``, ``version``, ``raw`` (log
     odds), ``score`` (0 to 1; the threshold is at 0.3) and ``good``.  Without labels of both
     kinds every score is 0.5.  A null text is empty and is scored; a null id counts as the
     smallest bigint, in both tables; repeated rows get equal scores.  Other columns are not read.
     """
     x = stored(featured(docs, id_col, text_col), "features")
     marks = labels.select(ident(id_col).alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("y in (0, 1)").filter(train).distinct()
-    total = marks.count()
-    draw = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    known = stored(x.join(marks.filter(draw * total < fit_rows), "id").select("id", "version", "y", "x"), "known")
+    known = stored(x.join(marks, "id").select("id", "version", "y", "x"), "known")
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return x.select("id", "version", F.lit(0.0).alias("raw"), F.lit(0.5).alias("score"), F.lit(True).alias("good"))
@@ -118,14 +129,12 @@ def rank(
     stats = known.agg(*[f(F.col("x")[k]).alias(f"{n}{k}") for k in range(width) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     mean, spread = np.array([stats[f"m{k}"] for k in range(width)]), np.array([stats[f"s{k}"] for k in range(width)])
     spread = np.where(spread > 1e-9, spread, np.inf)
-    # the sample is bounded, so one task may number a label's rows
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id", F.lit("order")), "id", "version")
-    numbered = known.withColumn("k", F.row_number().over(order) - 1)
+    placed = numbered(known)
     few, many = sorted(sizes, key=sizes.get)
     turns = F.explode(F.sequence(F.lit(0), F.lit(PAIRS - 1)))
-    left = numbered.filter(F.col("y") == many).select(F.col("x").alias("a"), "k", turns.alias("t"))
+    left = placed.filter(F.col("y") == many).select(F.col("x").alias("a"), "k", turns.alias("t"))
     left = left.withColumn("j", (F.col("k") * PAIRS + F.col("t")) % sizes[few])
-    right = numbered.filter(F.col("y") == few).select(F.col("x").alias("b"), F.col("k").alias("j"))
+    right = placed.filter(F.col("y") == few).select(F.col("x").alias("b"), F.col("k").alias("j"))
     scale = F.array(*[F.lit(float(1 / s)) for s in spread])
     sign = F.when((F.col("k") + F.col("t")) % 2 == 0, 1.0).otherwise(-1.0)  # half of the pairs the other way round
     diff = F.zip_with(F.zip_with("a", "b", lambda p, q: p - q), scale, lambda d, s: d * s)
@@ -137,6 +146,7 @@ def rank(
     weights = np.asarray(fitted.coefficients.toArray()) / spread
     scored = x.select("id", "version", (_dot(weights.tolist()) - float(weights @ mean)).alias("raw"))
     share = sizes[0] / (sizes[0] + sizes[1])
-    cut = known.select((_dot(weights.tolist()) - float(weights @ mean)).alias("raw")).approxQuantile("raw", [share], 0.001)[0]
+    seen = known.select((_dot(weights.tolist()) - float(weights @ mean)).alias("raw"))
+    cut = seen.sparkSession.range(1).select(quantile_nearest(seen, "raw", share)).first()[0]
     odds = F.col("raw") - cut + math.log(CUT / (1 - CUT))
     return scored.withColumn("score", 1 / (1 + F.exp(-odds))).withColumn("good", F.col("score") >= CUT)

@@ -92,3 +92,24 @@ def test_weights_against_newton_steps(spark, monkeypatch):
     good = np.array([scores[r["id"], r["version"]][2] for r in known])
     assert abs((~good).mean() - (y == 0).mean()) < 0.01
     assert all((s >= 0.3) == g for _, s, g in scores.values())
+
+
+def test_every_labelled_text_is_learned_from(spark, monkeypatch):
+    told = {}
+    keep = module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: told.setdefault(name, keep(df, name)))
+    n = 45_000
+    frame = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("a "), F.repeat(F.lit("b, "), (F.col("id") % 7).cast("int"))).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 3 > 0).cast("int").alias("quality"))
+    got = rank(frame, labels, train=F.lit(True))
+    assert told["known"].count() == n and told["preferences"].count() == 4 * (n - n // 3)
+    # the exact quantile: no more than the ties at the threshold differ from the share
+    scores = sorted(r["raw"] for r in got.collect())
+    assert abs(min(r["raw"] for r in got.filter("good").select("raw").collect()) - scores[round(n / 3)]) < 1e-9
+
+
+def test_numbers_of_a_label_have_no_gaps(spark):
+    known = spark.range(5000).select("id", F.lit(1).alias("version"), (F.col("id") % 3 > 0).cast("int").alias("y"))
+    rows = module.numbered(known).collect()
+    for y in (0, 1):
+        assert sorted(r["k"] for r in rows if r["y"] == y) == list(range(sum(r["y"] == y for r in rows)))
