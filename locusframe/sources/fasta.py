@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from .ranges import Range, cut, files_of, lines, split_bytes
+from .ranges import Range, Task, cut, files_of, lines, split_bytes, task_options, tasks
 
 _SPACE = b" \t\r\n\x0b\x0c"
 
@@ -39,11 +39,16 @@ class FastaSource(DataSource):
 class FastaReader(DataSourceReader):
     def __init__(self, options):
         self.files, self.split, self.width = json.loads(options["files"]), int(options["split"]), int(options["width"])
+        self.options = options
 
-    def partitions(self) -> list[Range]:
-        return cut(self.files, self.split)
+    def partitions(self) -> list[Task]:
+        return tasks(cut(self.files, self.split), self.options)
 
-    def read(self, part: Range):
+    def read(self, task: Task):
+        for part in task.ranges:
+            yield from self._range(part)
+
+    def _range(self, part: Range):
         """``segment`` 0 is what comes ahead of the range's first header."""
         import pyarrow as pa
 
@@ -103,14 +108,15 @@ def read_fasta_pieces(spark: SparkSession, path: str | list[str], width: int = 1
     ``start`` is 0-based in the record, ``record`` its number in the file from 1.  A record
     also has one piece without bases at its header, so that an empty record is there too.
     Lines ahead of a file's first header belong to no record.  ``split`` is the number of
-    bytes that one task reads, by default Spark's own; the text is read twice.
+    bytes of a range, by default what Spark lets a task read, and a task has as many ranges
+    as make up that; the text is read twice.
     """
     spark.dataSource.register(FastaSource)
     files = json.dumps(files_of(spark, path))
 
     def source(width: int) -> DataFrame:
         read = spark.read.format("locusframe_fasta").option("files", files).option("split", split or split_bytes(spark))
-        return read.option("width", width).load()
+        return read.options(**task_options(spark)).option("width", width).load()
 
     # a row per range; ranges since the one with the last header add up
     order = Window.partitionBy("file").orderBy("no")

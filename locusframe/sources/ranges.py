@@ -3,7 +3,8 @@
 A plain file can be cut anywhere and a bgzip file at the borders of its blocks, so
 one large file is read by many tasks; an ordinary gzip file is one task.  A range
 has the lines behind its first line break up to the first line break at or behind
-its end, so every line belongs to exactly one range.
+its end, so every line belongs to exactly one range.  A task has one or more ranges:
+as many as Spark itself would let it read of the files.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import InputPartition
 
 READ_BYTES, BLOCK_BYTES = 2 << 20, 1 << 16
+#: Bytes that are read first where only the rest of a line is wanted.
+REST_BYTES = 1 << 12
 _MAGIC = b"\x1f\x8b\x08\x04"
 
 
@@ -32,6 +35,13 @@ class Range(InputPartition):
     first: str
 
 
+@dataclass
+class Task(InputPartition):
+    """Ranges that one task reads one after the other."""
+
+    ranges: list[Range]
+
+
 def files_of(spark: SparkSession, path: str | list[str]) -> list[str]:
     """The files that Spark itself would read, in order; lists folders, reads nothing."""
     return sorted(spark.read.text(path).inputFiles())
@@ -44,6 +54,26 @@ def split_bytes(spark: SparkSession) -> int:
     return int(said[:-1] if unit else said) << unit
 
 
+def task_options(spark: SparkSession) -> dict[str, int]:
+    """Most bytes of a task by the session's setting, and how many tasks run at a time."""
+    return {"task": split_bytes(spark), "slots": spark.sparkContext.defaultParallelism}
+
+
+def tasks(ranges: list[Range], options) -> list[Task]:
+    """Neighbouring ranges to tasks, so that short ranges are not a task each."""
+    total = sum(r.hi - r.lo for r in ranges)
+    most = min(int(options["task"]), -(-total // max(1, int(options["slots"]))))
+    out: list[Task] = []
+    held = most
+    for r in ranges:
+        if held + r.hi - r.lo > most:
+            out.append(Task([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += r.hi - r.lo
+    return out
+
+
 def opened(uri: str):
     """The file for random access, and its size."""
     from urllib.parse import unquote
@@ -145,7 +175,15 @@ def lines(part: Range) -> Iterator[bytes]:
             yield from _whole_lines(own(blocks), beyond, part.lo == 0)
         else:
             read = lambda lo, hi: (file.read_at(min(READ_BYTES, hi - at), at) for at in range(lo, hi, READ_BYTES))
-            yield from _whole_lines(read(part.lo, part.hi), read(part.hi, size), part.lo == 0)
+            yield from _whole_lines(read(part.lo, part.hi), _rest(file, part.hi, size), part.lo == 0)
+
+
+def _rest(file, at: int, size: int) -> Iterator[bytes]:
+    """Data from ``at`` on in growing pieces: a line mostly ends soon."""
+    n = REST_BYTES
+    while at < size:
+        yield file.read_at(min(n, size - at), at)
+        at, n = at + n, min(2 * n, READ_BYTES)
 
 
 def _whole_lines(own: Iterator[bytes], beyond: Iterator[bytes], first: bool) -> Iterator[bytes]:
