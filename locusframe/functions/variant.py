@@ -217,20 +217,29 @@ def split_site_id(sid: Column) -> tuple[Column, Column]:
 
 
 def parse_accession(text: Column) -> Column:
-    """``sample=a/b;ref,alt`` to a struct; a missing genotype has zero depths."""
-    sample = F.split_part(text, F.lit("="), F.lit(1))
-    info = F.split_part(text, F.lit("="), F.lit(2))
-    gt = F.split_part(info, F.lit(";"), F.lit(1))
-    depths = F.split_part(info, F.lit(";"), F.lit(2))
-    miss = gt.contains(".")
-    part = lambda i: F.when(miss, F.lit(0)).otherwise(
-        F.coalesce(F.split_part(depths, F.lit(","), F.lit(i)).try_cast("int"), F.lit(0))
-    )
-    r, a = part(1), part(2)
-    return F.struct(
-        sample.alias("sample_id"),
-        F.when(miss, "./.").otherwise(gt).alias("gt"),
-        r.alias("ref_depth"),
-        a.alias("alt_depth"),
-        F.when(r + a == 0, F.lit(0.0)).otherwise(a / (r + a)).alias("af"),
-    )
+    """``sample=a/b;ref,alt`` to a struct; a missing genotype has zero depths.
+
+    Every part is bound to a name once: a filter on the struct's fields would otherwise
+    work out the text and its parts anew wherever they occur.
+    """
+    bound = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    first = lambda x, by: F.substring_index(x, by, 1)
+    second = lambda x, one, by: first(F.substr(x, F.length(one) + 2), by)
+    number = lambda x: F.coalesce(x.try_cast("int"), F.lit(0))
+
+    def fields(sample: Column, gt: Column, miss: Column, d: Column) -> Column:
+        r, a = d["r"], d["a"]
+        return F.struct(
+            sample.alias("sample_id"), F.when(miss, "./.").otherwise(gt).alias("gt"), r.alias("ref_depth"), a.alias("alt_depth"),
+            F.when(r + a == 0, F.lit(0.0)).otherwise(a / (r + a)).alias("af"),
+        )
+
+    def depths(sample: Column, info: Column, gt: Column) -> Column:
+        texts = bound(second(info, gt, ";"), lambda x: bound(first(x, ","), lambda r: F.struct(r.alias("r"), second(x, r, ",").alias("a"))))
+        read = lambda miss: bound(texts, lambda x: F.struct(*[F.when(miss, F.lit(0)).otherwise(number(x[n])).alias(n) for n in "ra"]))
+        return bound(gt.contains("."), lambda miss: bound(read(miss), lambda d: fields(sample, gt, miss, d)))
+
+    def parsed(t: Column, sample: Column) -> Column:
+        return bound(second(t, sample, "="), lambda info: bound(first(info, ";"), lambda gt: depths(sample, info, gt)))
+
+    return bound(text, lambda t: bound(first(t, "="), lambda sample: parsed(t, sample)))

@@ -26,12 +26,11 @@ EFFECTS = [
 
 def build_db(accessions: DataFrame, annotation: DataFrame, min_depth: int = 5, min_af: float = 0.2) -> DataFrame:
     """Packed accessions filtered and joined to one annotation row per site."""
-    a = V.parse_accession(F.col("accession"))
-    flat = accessions.filter(~F.col("alt").contains(",")).withColumn("a", a)
-    depth = F.col("a.ref_depth") + F.col("a.alt_depth")
-    flat = flat.filter(
-        (F.col("a.gt") != G.MISSING) & (depth >= min_depth) & (F.col("a.af") >= min_af)
-    ).select(*SITE, "a.sample_id", F.col("a.gt").alias("genotype"), "a.ref_depth", "a.alt_depth")
+    # parsed once a row: a filter on columns would be moved below and parse once a condition
+    passed = lambda a: (a["gt"] != G.MISSING) & (a["ref_depth"] + a["alt_depth"] >= min_depth) & (a["af"] >= min_af)
+    good = F.filter(F.array(V.parse_accession(F.col("accession"))), passed)
+    flat = accessions.filter(~F.col("alt").contains(",")).select(*SITE, F.explode(good).alias("a"))
+    flat = flat.select(*SITE, "a.sample_id", F.col("a.gt").alias("genotype"), "a.ref_depth", "a.alt_depth")
     rest = [c for c in annotation.columns if c not in SITE]
     one = annotation.groupBy(*SITE).agg(F.min(F.struct(*rest)).alias("_x")).select(*SITE, "_x.*")
     return flat.join(one, SITE)

@@ -76,3 +76,11 @@ def test_short_ranges_share_a_task(spark, tmp_path):
 def test_probe_sequences_fetch_once(spark):
     plan = entry.queries()["scl_probe_with_marker"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Union" not in plan
+
+
+def test_accession_is_parsed_once_a_row(spark):
+    """The text of an accession is in no filter, where each condition would work it out anew."""
+    for name in ("jn_build_db", "flow_mutant_summary"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("format_string") and not any("Filter" in x and "format_string" in x for x in plan.split("\n")), name
+        assert sum("format_string" in x for x in plan.split("\n")) <= 1, name
