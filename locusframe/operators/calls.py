@@ -2,9 +2,9 @@
 
 A call row is ``chrom, pos, ref, alt, sample_id, gt`` plus ``ref_depth`` and
 ``alt_depth`` where depths are needed.  Pair and trio operators take the small
-table of wanted families, send each call to the families it belongs to and
-rebuild the family rows with one conditional aggregate per (family, site);
-whether that table is broadcast is left to the planner's size check.
+table of wanted families.  A few families pick their calls from those of a site;
+many have each call sent to the families it belongs to and their rows rebuilt with
+one conditional aggregate per (family, site).
 """
 
 from __future__ import annotations
@@ -282,6 +282,10 @@ def sample_pairs(samples: DataFrame) -> DataFrame:
     return a.join(ids.withColumnRenamed("sample_id", "sample_b"), "n").select("sample_a", "sample_b")
 
 
+#: Families up to which each site looks for all of them among its calls.
+FEW_FAMILIES = 200
+
+
 def _families(table: DataFrame, roles: dict[str, str]) -> DataFrame:
     cols = list(roles.values())
     members = F.array(
@@ -290,6 +294,20 @@ def _families(table: DataFrame, roles: dict[str, str]) -> DataFrame:
     return table.select(*cols, F.explode(members).alias("m")).select(*cols, "m.role", "m.sample_id")
 
 
+def _families_at_sites(calls: DataFrame, few: DataFrame, roles: dict[str, str], values: list[str], site: list[str]) -> DataFrame:
+    """:func:`family_calls` of few families: a site's calls of their members meet once, then the
+    families pick from them, so that no call is sorted once for every family that it belongs to."""
+    cols = list(roles.values())
+    members = few.select(F.explode(F.array(*cols)).alias("sample_id")).distinct()
+    own = calls.select(*site, "sample_id", *values).join(F.broadcast(members), "sample_id", "left_semi")
+    at = own.groupBy(*site).agg(F.collect_list(F.struct("sample_id", *values)).alias("_c")).crossJoin(F.broadcast(few))
+    of = lambda c: F.filter("_c", lambda x: x["sample_id"] == F.col(c))
+    found = F.struct(*[of(c).alias(r) for r, c in roles.items()])
+    whole = lambda x: F.forall(F.array(*[F.size(x[r]) for r in roles]), lambda n: n > 0)
+    out = at.select(*cols, *site, F.explode(F.filter(F.array(found), whole)).alias("_f"))
+    return out.select(*cols, *site, *[F.array_max(F.col(f"_f.{r}.{v}")).alias(f"{r}_{v}") for r in roles for v in values])
+
+
 def family_calls(
     calls: DataFrame, table: DataFrame, roles: dict[str, str], values: list[str] = ["gt"],
     site: list[str] = SITE,
@@ -300,6 +318,9 @@ def family_calls(
     outcome has ``<role>_<value>`` columns.
     """
     cols = list(roles.values())
+    few = table.select(*cols).distinct()
+    if few.limit(FEW_FAMILIES + 1).count() <= FEW_FAMILIES:
+        return _families_at_sites(calls, few, roles, values, site)
     j = lookup_join(calls.select(*site, "sample_id", *values), _families(table, roles), "sample_id", spread=site)
     aggs = [
         F.max(F.when(F.col("role") == r, F.col(v))).alias(f"{r}_{v}") for r in roles for v in values

@@ -6,6 +6,7 @@ from check import rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from locusframe.operators import calls as C
 from locusframe.operators import probes as P
 from locusframe.sources import fasta
 from locusframe.sources.fasta import FastaReader
@@ -84,3 +85,15 @@ def test_accession_is_parsed_once_a_row(spark):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("format_string") and not any("Filter" in x and "format_string" in x for x in plan.split("\n")), name
         assert sum("format_string" in x for x in plan.split("\n")) <= 1, name
+
+
+def test_few_and_many_families_have_the_same_rows(spark, monkeypatch):
+    gts = ["0/0", "0/1", "1/1", "./.", None]
+    rows_ = [("c", p, "A", "T", f"S{k}", gts[(p * k + k) % 5]) for p in range(40) for k in range(5) if (p + k) % 4] + [("c", 1, "A", "T", "S2", "1/1"), ("c", 2, "A", "T", None, "0/0"), (None, 3, "A", "T", "S1", "0/0"), (None, 3, "A", "T", "S2", "0/1")]
+    calls = spark.createDataFrame(rows_, "chrom string, pos bigint, ref string, alt string, sample_id string, gt string")
+    pairs = spark.createDataFrame([("S1", "S2"), ("S2", "S1"), ("S1", "S2"), ("S3", "S3"), ("S4", None), ("S0", "S9"), ("S0", "S4")], "sample_a string, sample_b string")
+    got = sorted(map(repr, C.pair_calls(calls, pairs).collect()))
+    plan = C.pair_calls(calls, pairs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    monkeypatch.setattr(C, "FEW_FAMILIES", 0)
+    assert got and got == sorted(map(repr, C.pair_calls(calls, pairs).collect()))
