@@ -6,15 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import QUALITY_JSON
+from .bundles import read_bundle
 from .tables import numbered_lines
 
 _FILE_STEM = r"([^/]+?)(?:\.[^/.]+)*$"
 
 
-def read_fastp(spark: SparkSession, path: str | list[str], name_re: str = _FILE_STEM) -> DataFrame:
-    """Mean quality curves per library and read side; the library's name comes from the path."""
-    raw = spark.read.json(path, schema=QUALITY_JSON, multiLine=True)
-    lib = F.regexp_extract(F.col("_metadata.file_path"), name_re, 1)
+def read_fastp(spark: SparkSession, path: str | list[str], name_re: str = _FILE_STEM, bundle: bool = False) -> DataFrame:
+    """Mean quality curves per library and read side; the library's name comes from the path.
+
+    ``bundle``: the reports are rows of a bundle in place of files.
+    """
+    if bundle:
+        raw = read_bundle(spark, path).select("path", F.from_json("text", QUALITY_JSON).alias("x")).select("path", "x.*")
+    else:
+        raw = spark.read.json(path, schema=QUALITY_JSON, multiLine=True).select("*", F.col("_metadata.file_path").alias("path"))
+    lib = F.regexp_extract("path", name_re, 1)
     side = lambda n: F.struct(
         F.lit(n).alias("read_type"), F.col(f"{n}_before_filtering.quality_curves.mean").alias("curve")
     )
@@ -64,16 +71,20 @@ def read_snpeff_stats(
 
 
 def read_log_values(
-    spark: SparkSession, path: str | list[str], patterns: dict[str, str], name_re: str = _FILE_STEM
+    spark: SparkSession, path: str | list[str], patterns: dict[str, str], name_re: str = _FILE_STEM, bundle: bool = False
 ) -> DataFrame:
-    """Numbers scraped from logs, one row per file: the last match of each pattern.
+    """Numbers scraped from logs, one row per name: the last match of each pattern.
 
-    Lines are in order of the block that they are in, then of reading.
+    Lines are in order of the block that they are in, then of reading.  With ``bundle``
+    the logs are rows of a bundle and their lines in order of the path, then of the log.
     """
-    lines = spark.read.text(path).select(
-        F.regexp_extract(F.col("_metadata.file_path"), name_re, 1).alias("name"), "value",
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
-    )
+    if bundle:
+        logs = read_bundle(spark, path).filter("text <> ''").select("path", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("line", "value"))
+        at = F.struct("path", "line")
+    else:
+        logs = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+        at = F.struct("block", F.monotonically_increasing_id().alias("line"))
+    lines = logs.select(F.regexp_extract("path", name_re, 1).alias("name"), "value", at.alias("at"))
     found = []
     for n, p in patterns.items():
         number = F.nullif(F.regexp_extract("value", p, 1), F.lit("")).try_cast("double")
