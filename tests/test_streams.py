@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 from check import rows
 from locusframe.plans.catalog import files
 from locusframe.plans.session import shared_dir
+from locusframe.streaming import intake
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +31,13 @@ def test_stream_files_grow_in_number(spark, monkeypatch, name, table):
     assert max(sizes) <= 150 and sum(sizes) > 600
     # the files come in two batches however many they are
     assert len([p for p in (made["mark"] / "commits").iterdir() if p.name.isdigit()]) == 2
+
+
+def test_state_is_not_in_the_heap(spark, tmp_path):
+    src, key = str(tmp_path / "in"), "spark.sql.streaming.stateStore.providerClass"
+    calls = spark.createDataFrame([("c", 1, "A", "G", "S1", "0/1"), ("c", 1, "A", "G", "S2", "1/1")], "chrom string, pos long, ref string, alt string, sample_id string, gt string")
+    calls.write.parquet(src)
+    q = intake.running_site_stats(intake.file_stream(spark, src, calls.schema), str(tmp_path / "out"), str(tmp_path / "mark"))
+    q.awaitTermination()
+    assert any(k.startswith("rocksdb") for k in q.lastProgress["stateOperators"][0]["customMetrics"])
+    assert spark.conf.get(key, None) is None
